@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querent.llm import bpe, mixing, secrets
+from querent.llm import bpe, mixing, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_simhash_near_dedup": simhash.query,
         "op6_byte_bpe": bpe.query,
         "op7_secret_scan": secrets.query,
         "op9_source_mixing": mixing.query,
