@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querent.llm import bpe, mixing, secrets, simhash
+from querent.llm import bpe, mixing, secrets, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,10 +15,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_byte_bpe": bpe.query,
         "op7_secret_scan": secrets.query,
         "op9_source_mixing": mixing.query,
+        "op10_warc_writer": warc.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op9_source_mixing": mixing.ORACLE_SQL,
+        "op10_warc_writer": warc.ORACLE_SQL,
     }
