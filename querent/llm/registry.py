@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querent.llm import bpe, flac, mixing, secrets, simhash, warc
+from querent.llm import bpe, egojoin, flac, mixing, secrets, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_flac_media": flac.query,
         "op3_simhash_near_dedup": simhash.query,
+        "op5_embedding_near_dedup": egojoin.query,
         "op6_byte_bpe": bpe.query,
         "op7_secret_scan": secrets.query,
         "op9_source_mixing": mixing.query,
