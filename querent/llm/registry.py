@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querent.llm import bpe, egojoin, flac, mixing, secrets, simhash, warc
+from querent.llm import bpe, egojoin, flac, mixing, secrets, simhash, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_embedding_near_dedup": egojoin.query,
         "op6_byte_bpe": bpe.query,
         "op7_secret_scan": secrets.query,
+        "op8_toxicity": toxicity.query,
         "op9_source_mixing": mixing.query,
         "op10_warc_writer": warc.query,
     }
