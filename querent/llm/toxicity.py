@@ -31,6 +31,9 @@ GRAM, WINDOW, OVERLAP, TOP = 5, 24, 12, 3
 #: Bytes that texts don't hold; all windows and both dictionaries share them.
 MARK = bytes(b for b in range(1, 32) if b not in b"\t\n\v\f\r\x1b\x1c\x1d\x1e\x1f")[:16]
 FOLDS = 5
+#: UTF-8 continuation bytes in an order without repeats of five, which no text holds: it brings dictionaries to one
+#: size, so that offsets cost alike, and stands behind the mark, as zstandard doesn't index a dictionary's last bytes.
+FILLER = bytes(0x80 | (i * i * 7 + i // 64 * 13 + i * 29) % 64 for i in range(16384))
 
 
 @dataclass(frozen=True)
@@ -84,6 +87,7 @@ def dictionary(own: list[bytes], other: list[bytes], size: int, ratio: float = 3
     for counts, texts in ((mine, own), (theirs, other)):
         for t in texts:
             counts.update(_grams(t))
+    whole = size + 512
     chosen = {g for g, n in mine.items() if n >= 3 and n / len(own) - ratio * (theirs[g] + 1) / len(other) > margin}
     found = Counter()
     for t in own:
@@ -95,7 +99,8 @@ def dictionary(own: list[bytes], other: list[bytes], size: int, ratio: float = 3
         if not any(s in k for k in kept):
             kept.append(s)
             size -= len(s) + 1
-    return b"\x7f".join([*reversed(kept), MARK])
+    body = b"\x7f".join([*reversed(kept), MARK]) + FILLER[-24:]
+    return FILLER[: max(0, whole - len(body))] + body
 
 
 class Scorer:
@@ -105,7 +110,7 @@ class Scorer:
         import zstandard as zs
 
         self.model, self.squeeze = model, []
-        for data in (model.ordinary, model.toxic):
+        for data in (model.ordinary, model.toxic) if model.weights else ():
             how = {"window_log": 15, "hash_log": 14, "chain_log": 14, "search_log": 8, "min_match": GRAM, "target_length": 64, "strategy": zs.STRATEGY_LAZY2, "write_content_size": False, "write_dict_id": False, "write_checksum": False}
             known = zs.ZstdCompressionDict(data, dict_type=zs.DICT_TYPE_RAWCONTENT)
             known.precompute_compress(compression_params=zs.ZstdCompressionParameters(**how))
@@ -153,7 +158,7 @@ def fit(rows: list[tuple[str | None, int]], bounds: Bounds = Bounds()) -> Model:
     """A model from (text, label) rows, in their order."""
     sides = [[t for t, y in rows if y == label] for label in (0, 1)]
     if min(map(len, sides)) < 3:
-        return Model(MARK, MARK, (), len(sides[1]) / len(rows) if rows else 0.0)
+        return Model(b"", b"", (), len(sides[1]) / len(rows) if rows else 0.0)
     learn = [[plain(t) for i, t in enumerate(s) if i % 3] for s in sides]
     model = Model(dictionary(learn[1], learn[0], bounds.dictionary), dictionary(learn[0], learn[1], bounds.dictionary), (0.0,) * TOP, 0.0)
     scorer = Scorer(model)
