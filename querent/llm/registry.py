@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querent.llm import bpe, egojoin, flac, mixing, paragraphs, secrets, simhash, toxicity, warc
+from querent.llm import bpe, egojoin, flac, mixing, ngramlm, paragraphs, secrets, simhash, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_flac_media": flac.query,
+        "op2_ngram_lm": ngramlm.query,
         "op3_simhash_near_dedup": simhash.query,
         "op4_paragraph_dedup": paragraphs.query,
         "op5_embedding_near_dedup": egojoin.query,
