@@ -19,10 +19,11 @@ tie the smallest id and position stay; an empty table gives no rows; further col
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,107 +53,102 @@ class _Words(dict):
         return found
 
 
-def word_hashes(text: str | None, known: dict) -> np.ndarray:
-    words = (text or "").encode().lower().split()
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-def cut(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends (word offsets) of a text's paragraphs."""
-    n = len(h)
-    if n < EDGE:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pair = _mixed(h[1:] * _A + h[:-1])
-    edge = np.full(RADIUS, _MOST)
-    around = np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, pair, edge]), 2 * RADIUS + 1)
-    at = np.nonzero(pair == around.min(axis=1))[0] + 1
-    ends = np.append(at, n)
-    starts = np.insert(at, 0, 0)
-    least = np.full(len(starts), INNER)
-    least[[0, -1]] = EDGE
-    long = ends - starts >= least
-    return starts[long], ends[long]
-
-
-def shingles(h: np.ndarray) -> np.ndarray:
-    """A hash of every SHINGLE successive words."""
-    n = len(h) - SHINGLE + 1
-    s = h[:n].copy()
-    for j in range(1, SHINGLE):
-        s = s * _A + h[j : n + j]
-    return _mixed(s)
-
-
-def _class(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each paragraph's words, as int64."""
-    from xxhash import xxh64_intdigest
-
-    raw = h.tobytes()
-    return np.array([xxh64_intdigest(raw[8 * a : 8 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64).view(np.int64)
-
-
-def _bands(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """(BANDS, paragraphs) keys: the smallest hash of each paragraph's shingles under each hash function."""
-    s = np.append(shingles(h), _MOST)
-    at = np.stack([starts, ends - SHINGLE + 1], 1).ravel()
-    seeds = np.arange(1, BANDS + 1, dtype=np.uint64) * _A
-    return np.stack([_mixed(np.minimum.reduceat(_mixed(s ^ seed), at)[::2] ^ seed) for seed in seeds]).view(np.int64)
-
-
-def _mapper(make: Callable, names: list[str], kinds: list[pa.DataType]) -> Callable:
-    """A mapInArrow function that concatenates the columns that make(row, hashes) returns for each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
-        for batch in batches:
-            held: list[tuple] = []
-            size = 0
-            for i in range(batch.num_rows):
-                if (found := make(batch, i, known)) is not None:
-                    held.append(found)
-                    size += len(found[0])
-                if size > 50_000 or (held and i == batch.num_rows - 1):
-                    columns = [np.concatenate(c) if isinstance(c[0], np.ndarray) else sum(c, []) for c in zip(*held, strict=True)]
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-                    held, size = [], 0
-
-    return run
+#: Stands between texts; no word of UTF-8. So many that no window reaches from one text into the next.
+_GAP = b"\xff"
+_BETWEEN = b" " + b" ".join([_GAP] * (RADIUS + 1)) + b" "
+
+
+class Cut:
+    """The paragraphs of some texts: word hashes h of all, and for each paragraph start and end in h, text, number."""
+
+    def __init__(self, texts: list[str | None], known: dict):
+        words = (_BETWEEN + _BETWEEN.join([(t or "").encode().lower() for t in texts]) + _BETWEEN).split()
+        h = self.h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        real = h != np.uint64(known[_GAP])
+        first, behind = np.nonzero(real[1:] & ~real[:-1])[0] + 1, np.nonzero(real[:-1] & ~real[1:])[0] + 1
+        pair = np.full(len(h), _MOST)
+        pair[1:] = np.where(real[1:] & real[:-1], _mixed(h[1:] * _A + h[:-1]), _MOST)
+        least = pair.copy()
+        for d in range(1, RADIUS + 1):
+            np.minimum(least[d:], pair[:-d], out=least[d:])
+            np.minimum(least[:-d], pair[d:], out=least[:-d])
+        opens = (pair == least) & (pair != _MOST)
+        opens[first] = True
+        self.starts = np.nonzero(opens)[0]
+        own = np.searchsorted(first, self.starts, side="right") - 1
+        end = behind[own] if len(own) else own
+        self.ends = np.minimum(np.append(self.starts[1:], len(h)), end)
+        least_words = np.where((self.starts == first[own]) | (self.ends == end), EDGE, INNER) if len(own) else own
+        # Texts without words have no run of their own; which text a run is from is told by the gaps before it.
+        gaps = np.cumsum(~real)[self.starts] // (RADIUS + 1) - 1
+        self.text, self.offset = gaps, first[own] if len(own) else own
+        number = np.arange(len(self.starts)) - np.searchsorted(self.starts, self.offset)
+        keep = self.ends - self.starts >= least_words
+        for name, v in (("starts", self.starts), ("ends", self.ends), ("text", self.text), ("offset", self.offset), ("number", number)):
+            setattr(self, name, v[keep])
+
+    def classes(self) -> np.ndarray:
+        """A hash of each paragraph's words, as int64: a polynomial in an odd number, from running sums."""
+        up = np.cumprod(np.full(len(self.h) + 1, _A))
+        down = np.cumprod(np.full(len(self.h), np.uint64(pow(int(_A), -1, 1 << 64))))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.h * down)])
+        value = up[self.ends] * (sums[self.ends] - sums[self.starts])
+        return _mixed(_mixed(value) + (self.ends - self.starts).astype(np.uint64)).view(np.int64)
+
+    def shingles(self) -> np.ndarray:
+        """A hash of the SHINGLE words from every word on; for the last ones of a text and for gaps it is of no use."""
+        s, n = self.h.copy(), len(self.h)
+        for k in range(1, SHINGLE):
+            s[: n - k] = s[: n - k] * _A + self.h[k:]
+        return _mixed(s)
+
+    def bands(self) -> np.ndarray:
+        """(BANDS, paragraphs) keys: the smallest hash of each paragraph's shingles under each hash function."""
+        if not len(self.starts):
+            return np.zeros((BANDS, 0), np.int64)
+        s, at = self.shingles(), np.stack([self.starts, self.ends - SHINGLE + 1], 1).ravel()
+        seeds = np.arange(1, BANDS + 1, dtype=np.uint64) * _A
+        return np.stack([_mixed(np.minimum.reduceat(_mixed(s ^ seed), at)[::2] ^ seed) for seed in seeds]).view(np.int64)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, Cut]]:
+    """Runs of rows of about ``most`` bytes of text with their paragraphs."""
+    known = _Words()
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+        mark = np.cumsum(sizes) // most
+        for at in np.split(np.arange(batch.num_rows), np.nonzero(np.diff(mark))[0] + 1):
+            if len(at):
+                part = batch.slice(int(at[0]), len(at))
+                yield part, Cut(part.column(column).to_pylist(), known)
 
 
 def units(docs: DataFrame) -> DataFrame:
     """class, doc_id, paragraph, start, end (word offsets, end exclusive) of every paragraph."""
 
-    def make(batch, i, known):
-        h = word_hashes(batch.column(1)[i].as_py(), known)
-        starts, ends = cut(h)
-        return (_class(h, starts, ends), [batch.column(0)[i].as_py()] * len(starts), np.arange(len(starts), dtype=np.int32), starts.astype(np.int32), ends.astype(np.int32)) if len(starts) else None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, c in _slices(batches, 1):
+            columns = [pa.array(c.classes()), part.column(0).take(pa.array(c.text)), *(pa.array(v.astype(np.int32)) for v in (c.number, c.starts - c.offset, c.ends - c.offset))]
+            yield pa.record_batch(columns, names=["class", "doc_id", "paragraph", "start", "end"])
 
-    names = ["class", "doc_id", "paragraph", "start", "end"]
-    run = _mapper(make, names, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()])
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "class long, doc_id long, paragraph int, start int, end int")
 
 
 def band_rows(docs: DataFrame) -> DataFrame:
     """(band, class) of every paragraph; repeats that one task comes across shortly after each other are left out."""
 
-    def make(batch, i, known):
-        h = word_hashes(batch.column(1)[i].as_py(), known)
-        starts, ends = cut(h)
-        return (_bands(h, starts, ends).ravel(), np.tile(_class(h, starts, ends), BANDS)) if len(starts) else None
-
-    whole = _mapper(make, ["band", "class"], [pa.int64(), pa.int64()])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent: np.ndarray = np.zeros(0, np.uint64)  # of pairs that came twice in one batch; bounded
-        for batch in whole(batches):
-            band, kind = (batch.column(c).to_numpy() for c in (0, 1))
+        frequent: np.ndarray = np.zeros(0, np.uint64)  # of pairs that came twice in one slice; bounded
+        for _, c in _slices(batches, 0):
+            band, kind = c.bands().ravel(), np.tile(c.classes(), BANDS)
             both = _mixed(band.view(np.uint64) * _A ^ kind.view(np.uint64))
             seen, at, times = np.unique(both, return_index=True, return_counts=True)
             at = at[~np.isin(seen, frequent)]
-            frequent = np.unique(np.concatenate([frequent, seen[times > 1]]))[-(1 << 17) :] if len(frequent) < 1 << 17 else seen[times > 1]
+            twice = seen[times > 1]
+            frequent = np.unique(np.concatenate([frequent, twice])) if len(frequent) < 1 << 17 else twice
             yield pa.record_batch([pa.array(band[at]), pa.array(kind[at])], names=["band", "class"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "band long, class long")
+    return docs.select("text").mapInArrow(run, "band long, class long")
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,16 +181,14 @@ def candidates(docs: DataFrame, partitions: int) -> DataFrame:
 def class_shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(class, grams array) of the classes at wanted (doc_id, paragraphs array); equal ids may add other classes."""
 
-    def make(batch, i, known):
-        h = word_hashes(batch.column(1)[i].as_py(), known)
-        starts, ends = cut(h)
-        pick = [p for p in batch.column(2)[i].as_py() if p < len(starts)]
-        if not pick:
-            return None
-        s = shingles(h).view(np.int64)
-        return _class(h, starts[pick], ends[pick]), [np.unique(s[starts[p] : ends[p] - SHINGLE + 1]).tolist() for p in pick]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, c in _slices(batches, 1):
+            asked = {(i, p) for i, ps in enumerate(part.column(2).to_pylist()) for p in ps}
+            pick = [k for k, at in enumerate(zip(c.text.tolist(), c.number.tolist(), strict=True)) if at in asked]
+            s, starts, ends = c.shingles().view(np.int64), c.starts, c.ends - SHINGLE + 1
+            grams = [np.unique(s[starts[k] : ends[k]]) for k in pick]
+            yield pa.record_batch([pa.array(c.classes()[pick]), pa.array(grams, pa.list_(pa.int64()))], names=["class", "grams"])
 
-    run = _mapper(make, ["class", "grams"], [pa.int64(), pa.list_(pa.int64())])
     with_text = docs.select(F.col("doc_id").cast("long"), "text").alias("d").join(wanted.alias("w"), F.expr("d.doc_id <=> w.doc_id"))
     return with_text.select("d.doc_id", "d.text", "w.paragraphs").mapInArrow(run, "class long, grams array<long>").dropDuplicates(["class"])
 
