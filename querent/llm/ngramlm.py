@@ -202,6 +202,13 @@ class _Words(dict):
 
 
 END, BEGIN = b"", b" "  # no words
+_KNOWN = _Words()  # of this process; workers are reused by later tasks
+
+
+def _hashed(text: str | None) -> np.ndarray:
+    """The hashes of a text's start, words and end."""
+    words = [BEGIN, *(text or "").encode().lower().split(), END]
+    return np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words))
 
 
 def training(doc_id: Column) -> Column:
@@ -211,18 +218,11 @@ def training(doc_id: Column) -> Column:
 class Group:
     """The distinct words and bigrams of some texts, in the order of their hashes, with training counts."""
 
-    def __init__(self, texts: list[str | None], train: np.ndarray, known: dict):
-        end, begin = known[END], known[BEGIN]
-        parts = []
-        for t in texts:
-            words = (t or "").encode().lower().split()
-            h = np.empty(len(words) + 2, np.uint64)
-            h[0], h[-1] = begin, end
-            h[1:-1] = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-            parts.append(h)
+    def __init__(self, texts: list[str | None], train: np.ndarray):
+        parts = [_hashed(t) for t in texts]
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
         every = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        self.begin = np.uint64(begin)
+        self.begin = np.uint64(_KNOWN[BEGIN])
         self.words, at = np.unique(every, return_inverse=True)
         last = np.cumsum(lengths) - 1
         keep = np.ones(len(every), bool)
@@ -322,12 +322,9 @@ def unigrams(docs: DataFrame) -> DataFrame:
     """(word hash, count) over the training part, end tokens included, and text starts as a word of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
         for _, rows in _grouped(batches):
-            g = Group(rows.column("text").to_pylist(), np.ones(rows.num_rows), known)
-            counts = g.counts.copy()
-            counts[g.words == g.begin] = g.starts
-            yield pa.record_batch([pa.array(g.words.view(np.int64)), pa.array(counts)], names=["word", "n"])
+            words, counts = np.unique(np.concatenate([_hashed(t) for t in rows.column("text").to_pylist()]), return_counts=True)
+            yield pa.record_batch([pa.array(words.view(np.int64)), pa.array(counts)], names=["word", "n"])
 
     found = docs.filter(training(F.col("doc_id"))).select("text").mapInArrow(run, "word long, n long")
     return found.groupBy("word").agg(F.sum("n").alias("n"))
@@ -335,7 +332,7 @@ def unigrams(docs: DataFrame) -> DataFrame:
 
 def score(docs: DataFrame, discount: float = DISCOUNT, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    begin = int(np.array(_Words()[BEGIN], np.uint64).view(np.int64))
+    begin = int(np.array(_KNOWN[BEGIN], np.uint64).view(np.int64))
     counted = materialize(unigrams(docs), "lm-words")
     row = counted.filter(F.col("word") != begin).agg(F.sum("n"), F.count("*")).first()
     tokens, kinds = row[0] or 0, row[1]
@@ -348,9 +345,8 @@ def score(docs: DataFrame, discount: float = DISCOUNT, shard_tokens: int = SHARD
     source = docs.select("doc_id", "text", training(F.col("doc_id")).alias("train"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
         for number, rows in _grouped(batches):
-            g = Group(rows.column("text").to_pylist(), rows.column("train").to_numpy(), known)
+            g = Group(rows.column("text").to_pylist(), rows.column("train").to_numpy())
             out = [[], [], []]
             counts = g.counts.copy()
             counts[g.words == g.begin] = g.starts
@@ -409,7 +405,7 @@ def score(docs: DataFrame, discount: float = DISCOUNT, shard_tokens: int = SHARD
                 yield batch
 
     def finish(rows: pa.Table, replies: pa.Table) -> pa.Table:
-        g = Group(rows.column("text").to_pylist(), rows.column("train").to_numpy(), _Words())
+        g = Group(rows.column("text").to_pylist(), rows.column("train").to_numpy())
         counts, successors, codes = np.zeros(len(g.words), np.int64), np.zeros(len(g.words), np.int64), np.zeros(len(g.first), np.uint16)
         by_shard = dict(zip(replies.column("shard").to_pylist(), replies.column("answer"), strict=True))
         for s, own, pairs in g.dealt(shards, frequent):
