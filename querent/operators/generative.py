@@ -60,28 +60,25 @@ def retrieve(passages: DataFrame, queries: DataFrame, model: AutoregressiveModel
     return score_passages(passages, (model or WordModel()).generate(queries, beam), k)
 
 
-def passage_identifiers(text: str | Column, most: int = 100, longest: int = 200) -> Column:
-    """title, substring, pseudo_query of a passage, cut by characters.
+def passage_identifiers(passages: DataFrame, most: int = 100, longest: int = 200) -> DataFrame:
+    """doc_id, title, substring, pseudo_query of passages (doc_id, text), cut by characters.
 
     The title is the first line if shorter than ``longest``, else the first sentence if shorter, else 50 characters; the
     substring starts a quarter in if the text is long enough; the pseudo-query has the five most frequent words of
     more than three bytes, of ties the smaller first.
     """
-    t = F.col(text) if isinstance(text, str) else text
-    t = F.coalesce(t, F.lit(""))
-    line = F.trim(F.substring_index(t, "\n", 1))
-    sentence = F.trim(F.substring_index(t, ".", 1))
-    title = F.when((F.char_length(line) < longest) & (line != ""), line).when((F.char_length(sentence) < longest) & (sentence != ""), sentence).otherwise(F.trim(F.substring(t, 1, 50)))
+    t = F.coalesce("text", F.lit(""))
+    line, sentence = F.trim(F.substring_index(t, "\n", 1)), F.trim(F.substring_index(t, ".", 1))
+    fits = lambda c: (F.char_length(c) < longest) & (c != "")
+    title = F.when(fits(line), line).when(fits(sentence), sentence).otherwise(F.trim(F.substring(t, 1, 50)))
     n = F.char_length(t)
     start = F.when(n > 2 * most, F.floor(n / 4)).otherwise(0).cast("int")
-    words = F.filter(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), lambda w: F.octet_length(w) > 3)
-    sorted_ = F.array_sort(words)
-    # In a sorted array a word's count is the distance between its first places.
-    distinct = F.array_distinct(sorted_)
-    counted = F.transform(distinct, lambda w, i: F.struct((F.array_position(sorted_, w) - F.coalesce(F.array_position(sorted_, F.get(distinct, i + 1)), F.size(sorted_) + F.lit(1))).alias("minus"), w.alias("w")))
-    counted = F.transform(counted, lambda x: F.struct(x["minus"].alias("minus"), x["w"].alias("w")))
-    pseudo = F.array_join(F.transform(F.slice(F.array_sort(counted), 1, 5), lambda x: x["w"]), " ")
-    return F.struct(title.alias("title"), F.trim(F.substr(t, start + 1, F.lit(most))).alias("substring"), pseudo.alias("pseudo_query"))
+    words = F.explode(F.split(F.lower(t), "[^a-z0-9]+"))
+    counts = passages.select("doc_id", words.alias("w")).filter(F.octet_length("w") > 3).groupBy("doc_id", "w").agg(F.count("*").alias("c"))
+    best = counts.withColumn("at", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("c"), "w"))).filter("at <= 5")
+    best = best.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "w"))).alias("b"))
+    rows = passages.select("doc_id", title.alias("title"), F.trim(F.substr(t, start + 1, F.lit(most))).alias("substring")).join(best, "doc_id", "left")
+    return rows.select("doc_id", "title", "substring", F.coalesce(F.array_join(F.transform("b", lambda x: x["w"]), " "), F.lit("")).alias("pseudo_query"))
 
 
 @dataclass(frozen=True)
