@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querent.queries import lexical
+from querent.queries import lexical, ranking, vectors
 
-MODULES = (lexical,)
+MODULES = (lexical, vectors, ranking)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
