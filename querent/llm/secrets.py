@@ -122,7 +122,8 @@ def scan(docs: DataFrame, rules=RULES) -> tuple[DataFrame, DataFrame]:
     asked = [r for r in rules if trigram_query(r.pattern)]
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").alias("d")
-    chosen = candidates(postings, rules).alias("c")
+    # As a table of known size, candidates are broadcast if they are few, and texts are shuffled only if they aren't.
+    chosen = materialize(candidates(postings, rules), "secret-candidates").alias("c")
     same = F.expr("d.doc_id <=> c.doc_id AND d.text_hash = c.text_hash")
     verified = texts.join(chosen, same).select("d.doc_id", "d.text_hash", *[F.when(F.col(f"c.{r.kind}"), _matched(r, F.col("d.text"))).alias(r.kind) for r in asked])
     spans = _spans(verified, asked)
@@ -157,7 +158,7 @@ def redact(docs: DataFrame, rules=RULES, mark: str = MARK) -> DataFrame:
     run = Window.partitionBy(*KEY).orderBy("start", "rule").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("from", F.coalesce(F.max("end").over(run), F.lit(0).cast("long")))
     rows = F.array_sort(F.collect_list(F.struct("start", "rule", "from", "end")))
-    by = spans.groupBy(*KEY).agg(rows.alias("s"), F.max("end").alias("last")).alias("s")
+    by = materialize(spans.groupBy(*KEY).agg(rows.alias("s"), F.max("end").alias("last")), "secret-spans").alias("s")
     left = docs.withColumn("text_hash__", F.xxhash64(F.coalesce("text", F.lit("")))).alias("d")
     joined = left.join(by, F.expr("d.doc_id <=> s.doc_id AND d.text_hash__ = s.text_hash"), "left")
     text = F.col("d.text")
