@@ -123,11 +123,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, bits:
 
 
 def deduplicate(docs: DataFrame, words: int = 5, seed: int = SEED, bits: int = BITS) -> DataFrame:
-    """One row of each group of near-duplicates, that with the smallest id, columns unchanged."""
+    """One row of each group of near-duplicates, that with the smallest id, columns unchanged. Rows without id can't be
+    named and stay; of rows with equal ids that stay, one does."""
     found = near_duplicates(docs, words, seed, bits)
-    stay = materialize(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "simhash")
-    kept = docs.alias("d").join(stay.alias("s"), F.expr("d.doc_id <=> s.doc_id"), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    stay = materialize(found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "simhash")
+    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])  # one shuffle serves both
+    return named.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
