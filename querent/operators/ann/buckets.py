@@ -44,9 +44,10 @@ class Ivf(_Buckets):
 
     def build(self, vectors: DataFrame) -> Ivf:
         self.centroids = kmeans.fit(vectors, self.clusters, seed=self.seed)
-        self._store(vectors, lambda x: (x @ self.centroids.T).argmax(axis=1)[:, None])
-        n = max(1, min(self.nprobe, len(self.centroids)))
-        self._probe = lambda x: np.argsort(-(x @ self.centroids.T), axis=1, kind="stable")[:, :n]
+        c = self.centroids
+        self._store(vectors, lambda x: (x @ c.T).argmax(axis=1)[:, None])
+        n = max(1, min(self.nprobe, len(c)))
+        self._probe = lambda x: np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :n]
         return self
 
     def with_categories(self, metadata: DataFrame) -> Ivf:
@@ -96,11 +97,10 @@ class Lsh(_Buckets):
     def build(self, vectors: DataFrame) -> Lsh:
         dim = vectors.agg(F.max(F.size("embedding"))).first()[0] or 1
         planes = np.random.default_rng(self.seed).standard_normal((self.tables, self.functions, dim))
-        weights = 1 << np.arange(self.functions)
+        weights, first = 1 << np.arange(self.functions), np.arange(self.tables) << self.functions
 
         def assign(x: np.ndarray) -> np.ndarray:
-            bits = np.einsum("nd,tfd->ntf", x, planes) > 0
-            return (bits @ weights) + (np.arange(self.tables) << self.functions)
+            return (np.einsum("nd,tfd->ntf", x, planes) > 0) @ weights + first
 
         self._store(vectors, assign)
         return self
@@ -119,10 +119,10 @@ class Annoy(_Buckets):
         total = vectors.count()
         least = max(2, int(self.leaf * len(x) / max(1, total)))  # a leaf of all rows holds about ``leaf``
         rng = np.random.default_rng(self.seed)
-        forest = [self._grow(x, least, rng) for _ in range(self.trees)]
+        forest, leaf = [self._grow(x, least, rng) for _ in range(self.trees)], self._leaf
 
         def assign(v: np.ndarray) -> np.ndarray:
-            return np.stack([(t << 40) + self._leaf(tree, v) for t, tree in enumerate(forest)], axis=1)
+            return np.stack([(t << 40) + leaf(tree, v) for t, tree in enumerate(forest)], axis=1)
 
         self._store(vectors, assign)
         return self
@@ -207,8 +207,9 @@ class KMeansTree(_Buckets):
                 out[i, : len(front)] = [node for _, node in front]
             return out
 
+        beam = self.beam
         self._store(vectors, lambda v: descend(v, 1))
-        self._probe = lambda v: descend(v, self.beam)
+        self._probe = lambda v: descend(v, beam)
         return self
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querent.queries import lexical, ranking, vectors
+from querent.queries import ann, lexical, ranking, vectors
 
-MODULES = (lexical, vectors, ranking)
+MODULES = (lexical, vectors, ranking, ann)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
