@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querent.llm.components import components
+from querent.operators.components import components
 from querent.runtime import materialize, table
 
 RADIUS, INNER, EDGE = 6, 7, 14

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querent.llm.components import components
+from querent.operators.components import components
 from querent.runtime import materialize, table
 
 WORDS, SEED, BITS = 4, 42, 4
