@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querent.queries import ann, lexical, ranking, vectors
+from querent.queries import ann, lexical, ranking, storage, vectors
 
-MODULES = (lexical, vectors, ranking, ann)
+MODULES = (lexical, vectors, ranking, ann, storage)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
