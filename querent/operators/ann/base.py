@@ -74,14 +74,15 @@ def bucket_search(docs: DataFrame, queries: DataFrame, k: int, task_rows: int =
     """
     sizes = materialize(docs.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(task_rows)).cast("int").alias("parts")), "buckets")
     dealt = docs.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).drop("parts")
-    asked = queries.join(sizes, "bucket").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    fresh = queries.select("query_id", F.col("embedding").alias("asked"), F.col("bucket").alias("place"))  # may stem from the same table
+    asked = fresh.join(sizes, F.col("place") == F.col("bucket")).select("query_id", "asked", "place", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("piece"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "doc_id", "score"]
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
         ids, qids = (t.column(c).to_numpy() for t, c in ((left, "doc_id"), (right, "query_id")))
-        x, q = (unit(matrix(t.column("embedding").combine_chunks())) for t in (left, right))
+        x, q = (unit(matrix(t.column(c).combine_chunks())) for t, c in ((left, "embedding"), (right, "asked")))
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], x[order]
         out = []
@@ -91,6 +92,6 @@ def bucket_search(docs: DataFrame, queries: DataFrame, k: int, task_rows: int =
             out.append((np.repeat(qids[i : i + 512], top.shape[1]), ids[top.ravel()], np.take_along_axis(s, top, 1).ravel()))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
 
-    both = dealt.groupBy("bucket", "part").cogroup(asked.groupBy("bucket", "part"))
+    both = dealt.groupBy("bucket", "part").cogroup(asked.groupBy("place", "piece"))
     found = both.applyInArrow(run, "query_id long, doc_id long, score double")
     return ranked(found.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k)

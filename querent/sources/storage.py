@@ -117,7 +117,8 @@ class SegmentStore:
 
     def merge(self, segments: list[int], partitions: int = 8) -> int:
         """Replace segments by one without their deleted documents; returns its id."""
-        started = self.append("start_merge", segment_ids=segments)
+        started = (self.events().agg(F.max("entry_id")).first()[0] or 0) + 1
+        self.append("start_merge", transaction_id=started, segment_ids=segments)
         target = max(r[0] for r in self.events().select(F.greatest(F.coalesce("segment_id", F.lit(0)), F.coalesce("new_segment_id", F.lit(0)))).collect()) + 1
         gone = deletions(self.events()).filter(F.col("segment_id").isin(segments)).select("doc_id").distinct()
         for part in ("postings", "lengths"):
