@@ -94,9 +94,9 @@ def apply_plan(docs: DataFrame, thresholds: DataFrame, source_col: str = "source
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """The mixed corpus: every row of ``docs`` as often as the mix takes it, columns unchanged."""
     sizes = materialize(sized(docs), "mix-sizes")
-    taken = apply_plan(docs, plan(sizes, weights, share, cap))
-    copies = F.explode(F.array_repeat(F.lit(1), F.col("copies")))
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], copies).drop("col")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "source", "doc_id")  # columns may have any name
+    taken = apply_plan(rows, plan(sizes, weights, share, cap))
+    return taken.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
