@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,20 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch that Python functions on texts are given at once.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, after lowering the session's bound on Arrow batches where it is higher: several copies of a batch exist at
+    a time, in the executor and in its Python workers."""
+    key, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    now = re.match(r"-?\d+", spark.conf.get(key, "-1"))
+    if not now or not 0 < int(now[0]) <= BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+    return df
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a path written by this engine."""
     jvm = spark.sparkContext._jvm
