@@ -20,14 +20,16 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from querent.runtime import table
+from querent.runtime import bounded_batches, table
 
 #: Unicode's White_Space characters, as in the splitting pattern's \s.
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A piece never crosses these chunks: a single space joins what follows, other white space stands alone.
 CHUNK = f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 #: Entries that a worker's table of encoded chunks holds before it starts anew.
-CACHED = 300_000
+CACHED = 100_000
+#: And of pairs of tokens whose compatibility is known.
+PAIRS = 400_000
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -37,6 +39,11 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def public_pattern() -> str:
+    """The pattern whose pieces of letters are known to be whole chunks."""
+    return default_vocabulary()[1]
+
+
 class Bpe:
     """Encoder and decoder of one vocabulary."""
 
@@ -56,7 +63,9 @@ class Bpe:
         self.halves = {i: self._split(t, i) for t, i in ranks.items()}
         self.merged = {pair: i for i, pair in self.halves.items() if pair[1] >= 0}
         self.shorter: dict[int, int] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
+        self.plain = pattern == public_pattern()
+        self.known = _Cache(lambda piece: array("I", self.encode_piece(piece.encode())).tobytes())
 
     def _split(self, token: bytes, rank: int) -> tuple[int, int]:
         """The two tokens whose merge makes this one; (rank, -1) for a single byte."""
@@ -84,7 +93,8 @@ class Bpe:
         The merges are undone from the latest: at each step the pair that touches at the border must not be
         one that would have been merged earlier than the step undone. Of equal ranks the left merge is first.
         """
-        known = self.fits.get((left, right))
+        pair = left << 32 | right
+        known = self.fits.get(pair)
         if known is not None:
             return known
         a, b, bound, good = left, right, 1 << 40, True
@@ -100,9 +110,9 @@ class Bpe:
                 bound, b = b + 1, from_right[0]
             else:
                 break
-        if len(self.fits) > 2_000_000:
+        if len(self.fits) >= PAIRS:
             self.fits.clear()
-        self.fits[left, right] = good
+        self.fits[pair] = good
         return good
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -136,25 +146,30 @@ class Bpe:
 
     def encode_chunk(self, chunk: str) -> bytes:
         """The ids of a chunk as little-endian unsigned 32-bit integers."""
-        ids = array("I")
-        for piece in self.pieces(chunk):
-            ids.extend(self.encode_piece(piece.encode()))
-        return ids.tobytes()
+        if self.plain and (chunk[1:] if chunk[0] == " " else chunk).isalpha():  # an optional space and letters are one piece
+            return array("I", self.encode_piece(chunk.encode())).tobytes()
+        return b"".join([self.known[piece] for piece in self.pieces(chunk)])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I")))
 
 
 class _Cache(dict):
-    def __init__(self, bpe: Bpe):
-        self.bpe = bpe
+    """Encoded strings. Where it is full it starts anew, but takes what is asked for again from the one before."""
 
-    def __missing__(self, chunk: str) -> bytes:
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.before = make, {}
+
+    def __missing__(self, string: str) -> bytes:
         if len(self) >= CACHED:
+            self.before = dict(self)
             self.clear()
-        found = self.bpe.encode_chunk(chunk)
-        if len(chunk) < 64:
-            self[chunk] = found
+        found = self.before.get(string)
+        if found is None:
+            found = self.make(string)
+        if len(string) < 64:
+            self[string] = found
         return found
 
 
@@ -167,7 +182,7 @@ class Encoder:
         import re
 
         self.bpe = Bpe(rank_path, pattern)
-        self.known = _Cache(self.bpe)
+        self.known = _Cache(self.bpe.encode_chunk)
         self.chunks = re.compile(CHUNK).findall
         self.decode = self.bpe.decode
 
@@ -191,7 +206,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
             ids = [own.encode(x.as_py() or "") for x in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
+    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
 def decode(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
@@ -203,7 +218,7 @@ def decode(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
             texts = [own.decode(x.as_py()).decode() for x in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
+    return bounded_batches(encoded.select("doc_id", "ids")).mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def round_trip(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
@@ -221,7 +236,7 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(coded), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

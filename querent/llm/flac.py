@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from querent.runtime import table
+from querent.runtime import bounded_batches, table
 
 BLOCK = 576
 PARTS = 4  # highest partition order that the encoder tries
@@ -537,7 +537,7 @@ def to_media(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch([batch.column(0).slice(at, len(texts)), pa.array(media, pa.binary())], names=["doc_id", "media"])
                 at += len(texts)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, media binary")
+    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, media binary")
 
 
 def to_blocks(media: DataFrame, samples: int = 64 * BLOCK) -> DataFrame:
@@ -557,7 +557,7 @@ def to_blocks(media: DataFrame, samples: int = 64 * BLOCK) -> DataFrame:
                 columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
                 yield pa.record_batch([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.binary())], names=["doc_id", "sample_offset", "n_samples", "pcm"])
 
-    return media.select("doc_id", "media").mapInArrow(run, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, sample_offset long, n_samples int, pcm binary")
+    return bounded_batches(media.select("doc_id", "media")).mapInArrow(run, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, sample_offset long, n_samples int, pcm binary")
 
 
 DIGESTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -578,7 +578,7 @@ def digests(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch([batch.column(0).slice(at, len(texts)), *columns], names=["doc_id", *(x.split()[0] for x in DIGESTS.split(", "))])
                 at += len(texts)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {DIGESTS}")
+    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {DIGESTS}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

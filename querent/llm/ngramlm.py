@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querent.runtime import materialize, table
+from querent.runtime import bounded_batches, materialize, table
 
 DISCOUNT = 0.9
 GROUP_BYTES = 8 << 20
@@ -392,7 +392,7 @@ def score(docs: DataFrame, discount: float = DISCOUNT, shard_tokens: int = SHARD
         empty = [[]] * (len(groups) - 1)
         return pa.table([pa.array([shard] * len(groups), pa.int32()), pa.array(groups, pa.int64()), pa.array(out, pa.binary()), pa.array([partial[0], *empty], pa.list_(pa.int64())), pa.array([partial[1], *empty], pa.list_(pa.int64()))], names=["shard", "grp", "answer", "word", "successors"])
 
-    sent = source.mapInArrow(send, "shard int, grp long, message binary")
+    sent = bounded_batches(source).mapInArrow(send, "shard int, grp long, message binary")
     answers = materialize(sent.groupBy("shard").applyInArrow(answer, "shard int, grp long, answer binary, word array<long>, successors array<long>"), "lm-answers")
     parts = answers.select(F.explode(F.arrays_zip("word", "successors")).alias("x")).groupBy("x.word").agg(F.sum("x.successors").alias("n")).collect()
     joint = {int(r["word"]) & (2**64 - 1): int(r["n"]) for r in parts}
@@ -430,7 +430,7 @@ def score(docs: DataFrame, discount: float = DISCOUNT, shard_tokens: int = SHARD
         held = ~rows.column("train").to_numpy()
         return pa.table([rows.column("doc_id"), pa.array(held), pa.array(g.tokens), pa.array(summed[2]), pa.array(np.full(len(held), tokens)), pa.array(summed[0]), pa.array(summed[1])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    numbered = source.mapInArrow(number, f"doc_id {kind}, text string, train boolean, grp long")
+    numbered = bounded_batches(source).mapInArrow(number, f"doc_id {kind}, text string, train boolean, grp long")
     replies = answers.select("grp", "shard", "answer")
     both = numbered.groupBy("grp").cogroup(replies.groupBy("grp"))
     return both.applyInArrow(finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

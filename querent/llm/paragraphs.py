@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querent.operators.components import components
-from querent.runtime import materialize, table
+from querent.runtime import bounded_batches, materialize, table
 
 RADIUS, INNER, EDGE = 6, 7, 14
 SHINGLE, JACCARD, BANDS = 5, 0.8, 3
@@ -131,7 +131,7 @@ def units(docs: DataFrame) -> DataFrame:
             columns = [pa.array(c.classes()), part.column(0).take(pa.array(c.text)), *(pa.array(v.astype(np.int32)) for v in (c.number, c.starts - c.offset, c.ends - c.offset))]
             yield pa.record_batch(columns, names=["class", "doc_id", "paragraph", "start", "end"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "class long, doc_id long, paragraph int, start int, end int")
+    return bounded_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "class long, doc_id long, paragraph int, start int, end int")
 
 
 def band_rows(docs: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def band_rows(docs: DataFrame) -> DataFrame:
             frequent = np.unique(np.concatenate([frequent, twice])) if len(frequent) < 1 << 17 else twice
             yield pa.record_batch([pa.array(band[at]), pa.array(kind[at])], names=["band", "class"])
 
-    return docs.select("text").mapInArrow(run, "band long, class long")
+    return bounded_batches(docs.select("text")).mapInArrow(run, "band long, class long")
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

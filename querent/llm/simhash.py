@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querent.operators.components import components
-from querent.runtime import materialize, table
+from querent.runtime import bounded_batches, materialize, table
 
 WORDS, SEED, BITS = 4, 42, 4
 #: Positions in three groups; a triple inside a group, or two of a group with one of the next.
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataF
             found = [fingerprint(x.as_py(), words, seed) for x in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def _posted(fp: str) -> Column:

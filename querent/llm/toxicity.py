@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querent.runtime import materialize, table
+from querent.runtime import bounded_batches, materialize, table
 
 GRAM, WINDOW, OVERLAP, TOP = 5, 24, 12, 3
 #: Bytes that texts don't hold; all windows and both dictionaries share them.
@@ -194,7 +194,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             found = [scorer.score(t.as_py()) for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    scored = bounded_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -211,7 +211,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
             clean = pa.array([scorer.score(t.as_py()) < 0.5 for t in batch.column(at)], pa.bool_())
             yield pa.RecordBatch.from_arrays(batch.filter(clean).columns, schema=schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
