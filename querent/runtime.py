@@ -45,7 +45,7 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     """``df``, after lowering the session's bound on Arrow batches where it is higher: several copies of a batch exist at
     a time, in the executor and in its Python workers."""
     key, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
-    now = re.match(r"-?\d+", spark.conf.get(key, "-1"))
+    now = re.match(r"-?\d+", spark.conf.get(key))
     if not now or not 0 < int(now[0]) <= BATCH_BYTES:
         spark.conf.set(key, BATCH_BYTES)
     return df
