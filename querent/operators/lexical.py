@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from querent.errors import EmptyQuery, InvalidParameter
 from querent.functions.text import tokens
 from querent.operators.topk import ranked
-from querent.runtime import materialize
+from querent.runtime import materialize, spread
 
 
 @dataclass(frozen=True)
@@ -72,10 +72,12 @@ class LexicalIndex:
 
     def __init__(self, docs: DataFrame):
         self.docs = docs.select("doc_id", "terms")
+        self._matched: tuple[DataFrame, DataFrame] | None = None
 
     @classmethod
     def from_texts(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LexicalIndex:
-        return cls(docs.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("terms")))
+        rows = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+        return cls(rows.select("doc_id", tokens("text").alias("terms")))
 
     @property
     def postings(self) -> DataFrame:
@@ -114,7 +116,13 @@ class LexicalIndex:
         return terms.withColumn("local", local).join(sizes.select("part", before.alias("before")), "part").select("term", (F.col("before") + F.col("local") - 1).alias("term_id"))
 
     def matches(self, queries: DataFrame) -> DataFrame:
-        """(query_id, term, qtf, doc_id, tf, dl, df, cf) of query terms and documents that have them."""
+        """(query_id, term, qtf, doc_id, tf, dl, df, cf) of query terms and documents that have them; those of the last
+        queries are kept, as several models are often asked the same."""
+        if self._matched is None or self._matched[0] is not queries:
+            self._matched = (queries, self._match(queries))
+        return self._matched[1]
+
+    def _match(self, queries: DataFrame) -> DataFrame:
         asked = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
         wanted = asked.select("term").distinct()
         rows = self.docs.select("doc_id", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term")).join(wanted, "term", "left_semi")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from querent.errors import InvalidParameter
 from querent.functions.vectors import cosine, dot
 from querent.operators.topk import ranked
+from querent.runtime import spread
 
 
 def rerank_cosine(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, k: int | None = 10) -> DataFrame:
@@ -37,7 +38,7 @@ def rank_maxsim(queries: DataFrame, docs: DataFrame, candidates: DataFrame | Non
     """query_id, doc_id, score, rank by MaxSim of token matrices: ``queries`` (query_id, tokens), ``docs`` (doc_id, tokens).
     Without candidates every document is scored against the stated queries."""
     q = queries.select("query_id", F.col("tokens").alias("q"))
-    d = docs.select("doc_id", F.col("tokens").alias("d"))
+    d = spread(docs.select("doc_id", F.col("tokens").alias("d")))
     pairs = q.crossJoin(d) if candidates is None else candidates.select("query_id", "doc_id").join(d, "doc_id").join(q, "query_id")
     return ranked(pairs.select("query_id", "doc_id", maxsim("q", "d").alias("score")), k)
 

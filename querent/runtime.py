@@ -63,6 +63,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as the session has cores, if it comes in fewer, as a small single file does.
+
+    So few partitions are small or come from a file that can't be split; all else stays where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def has_rows(df: DataFrame) -> bool:
     """Whether ``df`` has any row; reads one row at most from each partition it has to look at."""
     return bool(df.limit(1).take(1))
