@@ -151,7 +151,7 @@ def band_rows(docs: DataFrame) -> DataFrame:
     return bounded_batches(docs.select("text")).mapInArrow(run, "band long, class long")
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def listed_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs from rows (band, class) sorted by both: each class with the first, the next and the last of its list."""
     band, first, last = None, None, None
     for batch in batches:
@@ -175,7 +175,7 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidates(docs: DataFrame, partitions: int) -> DataFrame:
     """(a, b): pairs of different classes that share a band."""
     rows = band_rows(docs).repartition(partitions, "band").sortWithinPartitions("band", "class")
-    return rows.mapInArrow(_listed, "a long, b long").distinct()
+    return rows.mapInArrow(listed_pairs, "a long, b long").distinct()
 
 
 def class_shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
