@@ -10,6 +10,9 @@ and largest fingerprint, and those links' components are contracted; only member
 their list's smallest are then paired, and only with members of other components. No link between components
 is lost, and a group of near copies costs one row a member.
 
+``near_duplicates`` links fingerprints; ``similar`` and ``deduplicate`` link texts by the Jaccard similarity of their shingle
+sets, with candidates from several fingerprints in an index of the same kind, and exact verification.
+
 Edge cases: null and empty texts and those without words have fingerprint zero and link to each other; fewer
 words than a shingle count as one; equal texts have equal fingerprints and are joined once; a component's name
 is its smallest id, null only if all its ids are null; an empty table gives no rows; other columns are ignored.

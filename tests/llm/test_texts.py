@@ -203,6 +203,30 @@ def test_simhash_dense_groups(spark):
         assert all(any(set(t) <= set(q) for t in simhash.TRIPLES) for q in __import__("itertools").combinations(range(8), 4))
 
 
+def test_similar(spark):
+    """Near copies at a Jaccard similarity of 0.8 or more are joined, and no others."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(25):
+        base = prose(rng, 250).split()
+        rows.append((i, " ".join(base)))
+        for k, edits in enumerate((1, 3, 5, 12)):
+            words = list(base)
+            for at in rng.sample(range(250), edits):
+                words[at] = f"changed{at}"
+            rows.append((100 + 10 * i + k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["node"]: r["component"] for r in simhash.similar(docs).collect()}
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    same = [found.get(a, a) == found.get(b, b) for a, b in near]
+    assert sum(same) >= 0.95 * len(near) and len(near) > 50
+    group = dict(zip(sets, linked_by(list(sets), lambda a, b: (min(a, b), max(a, b)) in near_set), strict=True)) if (near_set := set(near)) else {}
+    assert all(group[a] == group[b] for a in sets for b in sets if found.get(a, a) == found.get(b, b))
+    kept = {r["doc_id"] for r in simhash.deduplicate(docs).collect()}
+    assert set(range(25)) <= kept and not {100 + 10 * i for i in range(25)} & kept
+
+
 def test_deduplicate(odd):
     kept = simhash.deduplicate(odd)
     assert kept.columns == odd.columns
