@@ -99,6 +99,20 @@ class Layers:
         return layers.filter(F.col("threshold") == best).select("doc_id", "cluster")
 
 
+def merge_tree(layers: DataFrame) -> DataFrame:
+    """(threshold, cluster, parent, parent_threshold, size): which cluster of the next lower threshold holds each cluster.
+
+    ``layers`` is the result of ``Layers.fit``; layers nest, so any member tells the parent.
+    """
+    some = layers.filter("cluster >= 0")
+    sizes = some.groupBy("threshold", "cluster").agg(F.count("*").alias("size"), F.min("doc_id").alias("member"))
+    steps = layers.select("threshold").distinct().alias("a")
+    lower = layers.select(F.col("threshold").alias("t")).distinct().alias("b")
+    next_ = steps.join(lower, F.col("b.t") < F.col("a.threshold")).groupBy("a.threshold").agg(F.max("b.t").alias("parent_threshold"))
+    up = some.select(F.col("threshold").alias("parent_threshold"), F.col("doc_id").alias("member"), F.col("cluster").alias("parent"))
+    return sizes.join(next_, "threshold", "left").join(up, ["parent_threshold", "member"], "left").select("threshold", "cluster", "parent", "parent_threshold", "size")
+
+
 def duplicates(vectors: DataFrame, distance: float = 1e-6) -> DataFrame:
     """(doc_id, group): groups of vectors nearer than ``distance`` in cosine distance, named by the smallest id."""
     links = linked(vectors, (1 - distance,))

@@ -63,6 +63,25 @@ def truncation(n: int, dimension: int) -> float:
     return min(2.0, max(1.0, math.log(max(n, 2)) * math.sqrt(dimension)))
 
 
+@dataclass
+class CandidateEvolution:
+    """Running mean and variance of candidate set sizes, each new size weighing a tenth."""
+
+    mean: float = 0.0
+    variance: float = 0.0
+    steps: int = 0
+
+    def update(self, size: int) -> CandidateEvolution:
+        gap = size - self.mean
+        if self.steps == 0:
+            self.mean = float(size)
+        else:
+            self.mean += 0.1 * gap
+            self.variance = 0.9 * self.variance + 0.1 * gap * gap
+        self.steps += 1
+        return self
+
+
 def max_degree(n: int, radius: float) -> int:
     return int(min(256, max(16, math.ceil(n ** (2 / 3) * radius))))
 
@@ -230,6 +249,16 @@ class GraphIndex:
         pairs = self.shards.crossJoin(asked)  # the stated queries, in blocks, against every shard
         return ranked(pairs.mapInArrow(run, "query_id long, doc_id long, score double"), k)
 
+    def save(self, path: str) -> None:
+        self.shards.write.parquet(path)
+
+    @classmethod
+    def load(cls, spark, path: str, **options):
+        """A stored index, with the options that its searches are to use."""
+        index = cls(**options)
+        index.shards = spark.read.parquet(path)
+        return index
+
     def stats(self) -> AnnStats:
         row = self.shards.agg(F.sum("n"), F.max("dim"), F.sum(F.octet_length("vectors") + F.octet_length("edges") + F.octet_length("ids"))).first()
         return AnnStats(*(int(v or 0) for v in row))
@@ -285,12 +314,3 @@ class Vamana(GraphIndex):
 @dataclass
 class DiskAnn(Vamana):
     """A Vamana graph that stays in the stored shards: nothing is cached but what a task reads."""
-
-    def save(self, path: str) -> None:
-        self.shards.write.parquet(path)
-
-    @classmethod
-    def load(cls, spark, path: str, **options) -> DiskAnn:
-        index = cls(**options)
-        index.shards = spark.read.parquet(path)
-        return index

@@ -20,6 +20,16 @@ class UtilityMetrics:
     latency_ms: float = 0.0
 
 
+@dataclass(frozen=True)
+class RouterTrainingConfig:
+    """Settings for a trainer outside this package."""
+
+    metric: str = "ndcg"
+    epochs: int = 10
+    learning_rate: float = 0.01
+    validation_share: float = 0.2
+
+
 def features(terms: str | Column) -> Column:
     """n_terms, avg_length (bytes), complexity (distinct terms over terms) and kind of a query."""
     t = F.col(terms) if isinstance(terms, str) else terms

@@ -75,7 +75,16 @@ def test_saved_graph(spark, data, tmp_path):
     assert index.edges().count() > 1000 and index.stats().num_vectors == 1000
 
 
+def test_mock_embeddings(spark):
+    from querent.functions.text import mock_embedding, mock_token_embeddings
+
+    rows = spark.createDataFrame([("ab c",), (None,)], "text string").select(mock_embedding("text", 4).alias("e"), mock_token_embeddings("text", 4).alias("t")).collect()
+    assert np.linalg.norm(rows[0]["e"]) == pytest.approx(1.0) and len(rows[0]["t"]) == 2 and rows[1]["e"] == [0.0] * 4
+
+
 def test_sng_rules():
+    evolution = graphs.CandidateEvolution().update(10).update(20)
+    assert evolution.mean == 11.0 and evolution.variance == pytest.approx(10.0)
     assert graphs.truncation(10**6, 64) == 2.0 and graphs.max_degree(8, 1.0) == 16 and graphs.max_degree(10**6, 2.0) == 256
 
 
@@ -89,6 +98,9 @@ def test_clusters_and_duplicates(spark):
     assert {(r["doc_id"], r["group"]) for r in density.duplicates(vectors).collect()} == {(80, 80), (81, 80)}
     with pytest.raises(InvalidParameter):
         density.projection(4, 4)
+    layers = density.Layers(dimension=12, least=5, thresholds=(0.9, 0.0)).fit(vectors).cache()
+    tree = density.merge_tree(layers).collect()
+    assert len([r for r in tree if r["threshold"] == 0.9]) == 4 and all(r["parent"] is not None for r in tree if r["threshold"] == 0.9)
 
 
 def test_components(spark):
