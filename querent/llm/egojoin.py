@@ -41,39 +41,40 @@ def _packed(values: list[np.ndarray]) -> pa.Array:
     return pa.array([v.tobytes() for v in values], pa.binary())
 
 
-def _unit(raw: list[bytes], dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), "<f8").reshape(-1, dim)
+def _unit(raw: list[bytes], dim: int, form: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), form).astype(np.float64).reshape(-1, dim)
     # Scaling first keeps the squares of very large and very small components in range.
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def packed_vectors(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """(vec_id, vec) with vec the components as little-endian doubles, null if invalid; and the dimension."""
+def packed_vectors(vectors: DataFrame) -> tuple[DataFrame, int, str]:
+    """(vec_id, vec) with vec the components' bytes, null if invalid; the dimension; and the form of a component."""
     kind = vectors.schema["vec_id"].dataType.simpleString()
     dim = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
     dim = max(dim, 1)
+    form = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for x in batch.column(1):
-                v = x.values.to_numpy(zero_copy_only=False).astype("<f8") if x.is_valid and len(x) else None
+                v = x.values.to_numpy(zero_copy_only=False).astype(form) if x.is_valid and len(x) else None
                 good = v is not None and np.isfinite(v).all() and v.any()  # null components arrive as NaN
                 out.append(np.pad(v, (0, dim - len(v))).tobytes() if good else None)
             yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "vec"])
 
-    return vectors.select("vec_id", "embedding").mapInArrow(run, f"vec_id {kind}, vec binary"), dim
+    return vectors.select("vec_id", "embedding").mapInArrow(run, f"vec_id {kind}, vec binary"), dim, form
 
 
-def principal_axes(vecs: DataFrame, dim: int) -> np.ndarray:
+def principal_axes(vecs: DataFrame, dim: int, form: str) -> np.ndarray:
     """The principal axes of the unit vectors as columns, by falling variance; needs dim**2 sums from Spark."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dim, dim + 1))
         for batch in batches:
             for i in range(0, batch.num_rows, LEAF):
-                x = _unit(batch.column(0).slice(i, LEAF).to_pylist(), dim)
+                x = _unit(batch.column(0).slice(i, LEAF).to_pylist(), dim, form)
                 total[:, :dim] += x.T @ x
                 total[:, dim] += x.sum(axis=0)
         yield pa.record_batch([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["at", "value"])
@@ -87,7 +88,7 @@ def principal_axes(vecs: DataFrame, dim: int) -> np.ndarray:
     return np.linalg.eigh(total[:, :dim] / n - np.outer(mean, mean))[1][:, ::-1].copy()
 
 
-def _leaves(unique: DataFrame, dim: int, axes: np.ndarray, epsilon: float, count: int) -> DataFrame:
+def _leaves(unique: DataFrame, dim: int, form: str, axes: np.ndarray, epsilon: float, count: int) -> DataFrame:
     """leaf (its place in the sequence), n, vecs, uids, weights, lo, hi: runs of the epsilon grid order."""
     lead = min(AXES, dim)
 
@@ -95,7 +96,7 @@ def _leaves(unique: DataFrame, dim: int, axes: np.ndarray, epsilon: float, count
         for batch in batches:
             for i in range(0, batch.num_rows, LEAF):
                 part = batch.slice(i, LEAF)
-                at = _unit(part.column("vec").to_pylist(), dim) @ axes[:, :lead]
+                at = _unit(part.column("vec").to_pylist(), dim, form) @ axes[:, :lead]
                 cells = np.floor(at / epsilon).astype(np.int64).astype(">i8").view(np.uint8).reshape(len(at), 8 * lead).copy()
                 cells[:, ::8] ^= 128  # so that bytes sort as the signed numbers do
                 yield pa.record_batch([part.column("uid"), part.column("copies"), part.column("vec"), _packed(list(cells)), pa.array(at[:, 0])], names=["uid", "copies", "vec", "cells", "first"])
@@ -113,7 +114,7 @@ def _leaves(unique: DataFrame, dim: int, axes: np.ndarray, epsilon: float, count
             while t.num_rows > LEAF or (final and t.num_rows):
                 leaf, t = t.slice(0, LEAF), t.slice(LEAF)
                 raw = leaf.column("vec").to_pylist()
-                at = _unit(raw, dim) @ axes[:, :lead]
+                at = _unit(raw, dim, form) @ axes[:, :lead]
                 columns = [pa.array([(part << 20) + number]), pa.array([leaf.num_rows], pa.int32()), pa.array([b"".join(raw)], pa.binary())]
                 columns += [pa.array([leaf.column(c).to_numpy().astype("<i8").tobytes()], pa.binary()) for c in ("uid", "copies")]
                 columns += [pa.array([v.tolist()], pa.list_(pa.float64())) for v in (at.min(axis=0), at.max(axis=0))]
@@ -216,12 +217,12 @@ def join_leaves(x: np.ndarray, y: np.ndarray, wx: np.ndarray, wy: np.ndarray, sa
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding)."""
     epsilon = math.sqrt(max(0.0, 2 - 2 * cosine))
-    packed, dim = packed_vectors(vectors)
+    packed, dim, form = packed_vectors(vectors)
     packed = materialize(packed, "ego")
     unique = packed.filter("vec IS NOT NULL").groupBy("vec").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
     unique = materialize(unique.withColumn("uid", F.monotonically_increasing_id()), "ego")
-    axes = principal_axes(unique, dim)
-    leaves = materialize(_leaves(unique.select("uid", "copies", "vec"), dim, axes, epsilon, unique.count()), "ego")
+    axes = principal_axes(unique, dim, form)
+    leaves = materialize(_leaves(unique.select("uid", "copies", "vec"), dim, form, axes, epsilon, unique.count()), "ego")
     pairs = _pairs(leaves.select("leaf", "lo", "hi"), min(AXES, dim), epsilon)
     one = leaves.select(F.col("leaf").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("vecs", "uids", "weights")])
     two = leaves.select(F.col("leaf").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("vecs", "uids", "weights")])
@@ -230,7 +231,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 a, b, *rest = (batch.column(c)[row].as_py() for c in ("a", "b", "vecs_a", "uids_a", "weights_a", "vecs_b", "uids_b", "weights_b"))
-                x, y = _unit([rest[0]], dim), _unit([rest[3]], dim)
+                x, y = _unit([rest[0]], dim, form), _unit([rest[3]], dim, form)
                 ux, wx, uy, wy = (np.frombuffer(v, "<i8") for v in (rest[1], rest[2], rest[4], rest[5]))
                 nx, ny, hi, lo = join_leaves(x, y, wx, wy, a == b, axes, cosine)
                 names = ux if a == b else np.concatenate([ux, uy])

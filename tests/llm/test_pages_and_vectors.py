@@ -99,6 +99,9 @@ def test_egojoin(spark):
     got = Counter(tuple(r) for r in egojoin.near_duplicates(df).select("vec_id", "n_links", "component_id", "kept").collect())
     assert got == brute(rows, 0.9)
     assert egojoin.near_duplicates(df.limit(0)).count() == 0
+    single = df.withColumn("embedding", df["embedding"].cast("array<float>"))
+    rows = [(r["vec_id"], r["embedding"]) for r in single.collect()]
+    assert Counter(tuple(r) for r in egojoin.near_duplicates(single).select("vec_id", "n_links", "component_id", "kept").collect()) == brute(rows, 0.9)
 
 
 def test_egojoin_recursion(monkeypatch):
