@@ -183,7 +183,6 @@ def similar(docs: DataFrame, words: int = 5, jaccard: float = 0.8, rounds: int =
     spark = docs.sparkSession
     near = materialize(near_duplicates(docs, words, seed).filter("doc_id IS NOT NULL").select("doc_id", "component_id").distinct(), "simhash")
     heads = near.filter("doc_id = component_id").select("doc_id")
-    own = docs.join(heads, "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     wide = materialize(wide_fingerprints(docs.select("doc_id", "text").filter("doc_id IS NOT NULL"), words, rounds, seed).join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "simhash")
     every = F.flatten(F.transform("wide", lambda fp, k: _keys(fp, k.cast("long") * len(TRIPLES))))
     posted = wide.select(F.explode(every).alias("band"), F.col("doc_id").alias("class"))
@@ -194,7 +193,7 @@ def similar(docs: DataFrame, words: int = 5, jaccard: float = 0.8, rounds: int =
     differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, v: acc + v)
     likely = materialize(both.filter(differ <= int(FAR * 64 * rounds)).select("a", "b"), "simhash")
     asked = materialize(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "simhash")
-    grams = materialize(shingle_sets(own.join(asked, "doc_id", "left_semi"), words, seed).dropDuplicates(["doc_id"]), "simhash")
+    grams = materialize(shingle_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id", "left_semi"), words, seed).dropDuplicates(["doc_id"]), "simhash")
     sides = likely.join(grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     linked_ = sides.filter(common >= F.lit(jaccard) * (F.size("x") + F.size("y") - common)).select("a", "b")
@@ -205,8 +204,12 @@ def deduplicate(docs: DataFrame, words: int = 5, jaccard: float = 0.8) -> DataFr
     """One row of each group of near-duplicates, that with the smallest id, columns unchanged. Rows without id can't be
     named and stay; of rows with equal ids that stay, one does."""
     gone = materialize(similar(docs, words, jaccard).filter("node <> component").select(F.col("node").alias("doc_id")), "simhash")
-    named = docs.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])  # one shuffle serves both
-    return named.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    again = materialize(docs.select("doc_id").filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "simhash")
+    kept = docs.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
+    # Only rows whose ids repeat need to meet; the others stay where they are.
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rest = kept.join(again, "doc_id", "left_anti").unionByName(docs.filter(F.col("doc_id").isNull()))
+    return rest.unionByName(once).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
