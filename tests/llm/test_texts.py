@@ -227,6 +227,16 @@ def test_similar(spark):
     assert set(range(25)) <= kept and not {100 + 10 * i for i in range(25)} & kept
 
 
+def test_similar_needs_shared_shingles(spark):
+    """A shingle that repeats gives unrelated texts nearly equal fingerprints; they stay, also beside verified copies."""
+    rng = random.Random(21)
+    rows = [(i, " ".join(f"own{i}n{rng.randint(0, 9999)}" for _ in range(104)) + " row" * 60) for i in range(12)]
+    rows += [(20, rows[3][1]), (21, "first " + rows[4][1]), (30, ""), (31, None), (32, "row")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len({r["component_id"] for r in simhash.near_duplicates(docs.filter("doc_id < 12"), 5).collect()}) < 12
+    assert {r["doc_id"] for r in simhash.deduplicate(docs).collect()} == {*range(12), 30, 32}
+
+
 def test_deduplicate(odd):
     kept = simhash.deduplicate(odd)
     assert kept.columns == odd.columns
