@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import acos, ceil, comb, pi
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,8 @@ from querent.operators.components import components
 from querent.runtime import bounded_batches, materialize, table
 
 WORDS, SEED, BITS = 4, 42, 4
-#: Independent fingerprints of ``similar``, and the share of differing bits beyond which a pair isn't verified: at Jaccard
-#: 0.8 about 0.15 of the bits differ, with a standard deviation of 0.016 over 512 bits.
-ROUNDS, FAR = 8, 0.21
+#: Independent fingerprints of ``similar`` besides the text's own.
+ROUNDS = 8
 #: Positions in three groups; a triple inside a group, or two of a group with one of the next.
 GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
 TRIPLES = tuple(t for g in GROUPS for t in combinations(g, 3)) + tuple((*p, x) for i, g in enumerate(GROUPS) for p in combinations(g, 2) for x in GROUPS[(i + 1) % 3])
@@ -147,19 +147,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, bits:
 
 
 def sketches(docs: DataFrame, words: int, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
-    """doc_id, class (a hash of the set of shingles), size (their number) and wide (the text's fingerprint and ``rounds``
-    independent ones) of every row."""
+    """doc_id, class (a hash of the set of shingles), size (their number) and wide (the set's fingerprint and ``rounds``
+    independent ones) of every row. Repeats don't count, as they don't in the similarity of sets."""
     from xxhash import xxh64_intdigest as digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds, sizes, wide = [], [], []
             for x in batch.column(1):
-                h = shingle_hashes(x.as_py(), words, seed)
-                once = np.unique(h)
+                once = np.unique(shingle_hashes(x.as_py(), words, seed))
                 kinds.append(digest(once.tobytes()))
                 sizes.append(len(once))
-                wide.append([majority(h), *(majority(rehashed(h, k)) for k in range(rounds))])
+                wide.append([majority(once), *(majority(rehashed(once, k)) for k in range(rounds))])
             columns = [batch.column(0), pa.array(np.array(kinds, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(wide, pa.list_(pa.int64()))]
             yield pa.record_batch(columns, names=["doc_id", "class", "size", "wide"])
 
@@ -190,13 +189,38 @@ def verified(docs: DataFrame, kinds: DataFrame, pairs: DataFrame, words: int, ja
     return materialize(sides.filter(common >= F.lit(jaccard) * (F.size("x") + F.size("y") - common)).select("a", "b"), "simhash")
 
 
+def far(jaccard: float, bits: int) -> int:
+    """The number of ``bits`` bits of fingerprints that sets of this Jaccard similarity differ in at most.
+
+    By their counts of common and own shingles: few are the worst, 4 of 5 at 0.8, which differ in 0.1875 of the bits, many
+    come to the angle between the sets. Seven standard deviations are added, which leaves out one pair in 10**11.
+    """
+    if jaccard <= 0:
+        return bits
+    worst = acos(min(2 * jaccard / (1 + jaccard), 1)) / pi
+    for n in {*range(2, 41), ceil(1 / (1 - jaccard)) if jaccard < 1 else 2}:
+        for own in range(int((1 - jaccard) * n + 1e-9) + 1):
+            worst = max([worst, *(_differ(n - own, k, own - k) for k in range(own // 2 + 1))])
+    return min(bits, ceil(bits * worst + 7 * (bits * worst * (1 - worst)) ** 0.5))
+
+
+def _differ(common: int, a: int, b: int) -> float:
+    """The chance that a bit differs between the majorities over ``common`` hashes and ``a`` or ``b`` further ones."""
+
+    def over(own: int, k: int) -> float:
+        return sum(comb(own, i) for i in range(own + 1) if 2 * (k + i) > common + own) / 2**own
+
+    each = [(comb(common, k) / 2**common, over(a, k), over(b, k)) for k in range(common + 1)]
+    return sum(p * (x * (1 - y) + y * (1 - x)) for p, x, y in each)
+
+
 def similar(docs: DataFrame, words: int = 5, jaccard: float = 0.8, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
     """(node, component): components, named by the smallest id, of ids whose rows' shingle sets have this Jaccard similarity.
 
     Rows with equal sets are a class. Similar rows' fingerprints may differ in a dozen bits, more than the index of one
     fingerprint is sure to find; so every class is posted with its fingerprint and ``rounds`` independent ones. In a list
-    each class is paired with the first, the next and the last one; pairs whose fingerprints together differ in more than
-    ``FAR`` of their bits are dropped, the others verified by their shingles: no row is linked unverified.
+    each class is paired with the first, the next and the last one; pairs whose fingerprints together differ in more bits
+    than ``far`` allows are dropped, the others verified by their shingles: no row is linked unverified.
     """
     spark = docs.sparkSession
     named = docs.filter("doc_id IS NOT NULL")
@@ -209,7 +233,7 @@ def similar(docs: DataFrame, words: int = 5, jaccard: float = 0.8, rounds: int =
     met = materialize(lists.mapInArrow(listed_pairs, "a long, b long").distinct(), "simhash")
     both = met.join(kinds.select(F.col("class").alias("a"), F.col("wide").alias("x")), "a").join(kinds.select(F.col("class").alias("b"), F.col("wide").alias("y")), "b")
     differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, v: acc + v)
-    likely = materialize(both.filter(differ <= int(FAR * 64 * (rounds + 1))).select("a", "b"), "simhash")
+    likely = materialize(both.filter(differ <= far(jaccard, 64 * (rounds + 1))).select("a", "b"), "simhash")
     links = verified(named, kinds, likely, words, jaccard, seed)
     low = kinds.select("class", F.col("doc_id").alias("low"))
     between = links.join(low.withColumnsRenamed({"class": "a", "low": "i"}), "a").join(low.withColumnsRenamed({"class": "b", "low": "j"}), "b").select("i", "j")

@@ -237,6 +237,24 @@ def test_similar_needs_shared_shingles(spark):
     assert {r["doc_id"] for r in simhash.deduplicate(docs).collect()} == {*range(12), 30, 32}
 
 
+def test_similar_ignores_repeats(spark):
+    """Texts with the same shingles, one of which repeats some, are joined; few shingles are not too far apart."""
+    rng = random.Random(22)
+    rows = []
+    for i in range(8):
+        words = [f"t{i}n{k}" for k in range(100)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words + words[:4] + words[:5] * 30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    assert all(len(sets[2 * i] & sets[2 * i + 1]) >= 0.8 * len(sets[2 * i] | sets[2 * i + 1]) for i in range(8))
+    assert {r["doc_id"] for r in simhash.deduplicate(docs).collect()} == {2 * i for i in range(8)}
+    for common, own in ((4, 1), (8, 2), (100, 25)):
+        for _ in range(50):
+            h = np.array([rng.getrandbits(64) for _ in range(common + own)], np.uint64)
+            bits = sum(((simhash.majority(simhash.rehashed(h, k)) ^ simhash.majority(simhash.rehashed(h[:common], k))) & (2**64 - 1)).bit_count() for k in range(9))
+            assert bits <= simhash.far(0.8, 576) < 0.32 * 576
+
+
 def test_deduplicate(odd):
     kept = simhash.deduplicate(odd)
     assert kept.columns == odd.columns
