@@ -29,7 +29,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querent.llm.paragraphs import listed_pairs
 from querent.operators.components import components
 from querent.runtime import bounded_batches, materialize, table
 
@@ -214,13 +213,37 @@ def _differ(common: int, a: int, b: int) -> float:
     return sum(p * (x * (1 - y) + y * (1 - x)) for p, x, y in each)
 
 
+def listed_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (band, class, first) from rows (band, class) sorted by both: each class but the first of a list, with the first."""
+    band, first, last = None, None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        b, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        carried = 0
+        if band is not None:  # carry the open list's first and latest class over
+            b, c = np.concatenate([[band, band], b]), np.concatenate([[first, last], c])
+            carried = 1 + (first != last)
+        new = np.ones(len(b), bool)
+        new[1:] = (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+        b, c = b[new], c[new]
+        head = np.ones(len(b), bool)
+        head[1:] = b[1:] != b[:-1]
+        start = np.maximum.accumulate(np.where(head, np.arange(len(b)), 0))
+        band, first, last = b[-1], c[start[-1]], c[-1]
+        head[:carried] = True  # told before
+        yield pa.record_batch([pa.array(b[~head]), pa.array(c[~head]), pa.array(c[start][~head])], names=["band", "class", "first"])
+
+
 def similar(docs: DataFrame, words: int = 5, jaccard: float = 0.8, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
     """(node, component): components, named by the smallest id, of ids whose rows' shingle sets have this Jaccard similarity.
 
     Rows with equal sets are a class. Similar rows' fingerprints may differ in a dozen bits, more than the index of one
-    fingerprint is sure to find; so every class is posted with its fingerprint and ``rounds`` independent ones. In a list
-    each class is paired with the first, the next and the last one; pairs whose fingerprints together differ in more bits
-    than ``far`` allows are dropped, the others verified by their shingles: no row is linked unverified.
+    fingerprint is sure to find; so every class is posted with its fingerprint and ``rounds`` independent ones. All pairs
+    that meet in a list count: each class is first compared with the nearest of its lists' first ones, the components of
+    the links found are contracted, and members outside the component of their list's first are then paired with all
+    members in other components. Pairs whose sizes or whose fingerprints together (``far``) rule the similarity out are
+    dropped, the others verified by their shingles: no row is linked unverified.
     """
     spark = docs.sparkSession
     named = docs.filter("doc_id IS NOT NULL")
@@ -230,13 +253,32 @@ def similar(docs: DataFrame, words: int = 5, jaccard: float = 0.8, rounds: int =
     posted = kinds.select(F.explode(keys).alias("band"), "class")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     lists = posted.repartition(parts, "band").sortWithinPartitions("band", "class")
-    met = materialize(lists.mapInArrow(listed_pairs, "a long, b long").distinct(), "simhash")
-    both = met.join(kinds.select(F.col("class").alias("a"), F.col("wide").alias("x")), "a").join(kinds.select(F.col("class").alias("b"), F.col("wide").alias("y")), "b")
-    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, v: acc + v)
-    likely = materialize(both.filter(differ <= far(jaccard, 64 * (rounds + 1))).select("a", "b"), "simhash")
-    links = verified(named, kinds, likely, words, jaccard, seed)
+    members = materialize(lists.mapInArrow(listed_members, "band long, class long, first long"), "simhash")
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(kinds.select(F.col("class").alias("a"), F.col("size").alias("m"), F.col("wide").alias("x")), "a")
+        both = both.join(kinds.select(F.col("class").alias("b"), F.col("size").alias("n"), F.col("wide").alias("y")), "b")
+        both = both.filter(F.least("m", "n") >= F.lit(jaccard) * F.greatest("m", "n"))
+        differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, v: acc + v)
+        return both.select("a", "b", differ.alias("differ")).filter(F.col("differ") <= far(jaccard, 64 * (rounds + 1)))
+
+    nearest = likely(members.select(F.col("class").alias("b"), F.col("first").alias("a")).distinct()).groupBy("b").agg(F.min(F.struct("differ", "a")).alias("to"))
+    tried = materialize(nearest.select(F.col("to.a").alias("a"), "b"), "simhash")
+    links = verified(named, kinds, tried, words, jaccard, seed)
+    near = materialize(components(links), "simhash")
+    owned = members.join(near.select(F.col("node").alias("class"), F.col("component").alias("own")), "class", "left")
+    owned = owned.join(near.select(F.col("node").alias("first"), F.col("component").alias("main")), "first", "left")
+    owned = owned.select("band", "class", "first", F.coalesce("own", "class").alias("own"), F.coalesce("main", "first").alias("main"))
+    rest = materialize(owned.filter("own <> main"), "simhash")
+    heads = rest.select("band", F.col("first").alias("class"), "first", F.col("main").alias("own"), "main").distinct()
+    with_rest = materialize(owned.join(rest.select("band").distinct(), "band", "left_semi").unionByName(heads), "simhash")
+    one, two = rest.alias("p"), with_rest.alias("q")
+    once = (F.col("q.own") == F.col("q.main")) | (F.col("p.class") < F.col("q.class"))
+    met = one.join(two, (F.col("p.band") == F.col("q.band")) & (F.col("p.own") != F.col("q.own")) & once)
+    met = met.select(F.least("p.class", "q.class").alias("a"), F.greatest("p.class", "q.class").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    others = verified(named, kinds, materialize(likely(met).select("a", "b"), "simhash"), words, jaccard, seed)
     low = kinds.select("class", F.col("doc_id").alias("low"))
-    between = links.join(low.withColumnsRenamed({"class": "a", "low": "i"}), "a").join(low.withColumnsRenamed({"class": "b", "low": "j"}), "b").select("i", "j")
+    between = links.union(others).join(low.withColumnsRenamed({"class": "a", "low": "i"}), "a").join(low.withColumnsRenamed({"class": "b", "low": "j"}), "b").select("i", "j")
     return components(between.union(every.join(low, "class").select("doc_id", "low")))
 
 

@@ -255,6 +255,36 @@ def test_similar_ignores_repeats(spark):
             assert bits <= simhash.far(0.8, 576) < 0.32 * 576
 
 
+def test_similar_in_shared_lists(spark, monkeypatch):
+    """Every pair of a list counts, also if its neighbours and ends are of other groups: here all meet in the same lists."""
+    rng = random.Random(23)
+    bases = [[f"g{g}n{k}" for k in range(120)] for g in range(6)]
+    rows = []
+    for i in range(60):
+        words = list(bases[i % 6])
+        for at in rng.sample(range(0, 120, 9), 1):
+            words[at] = f"changed{i}"
+        rows.append((i, " ".join(words)))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(116)} for i, t in rows}
+    want = linked_by(range(60), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(simhash, "_keys", lambda fp, first: F.array(first))
+    found = {r["node"]: r["component"] for r in simhash.similar(docs).collect()}
+    assert len(set(want)) == 6 and [found.get(i, i) for i in range(60)] == want
+
+
+def test_listed_members():
+    """Lists are cut alike however rows are batched."""
+    pa = pytest.importorskip("pyarrow")
+    rows = sorted({(b, c) for b in range(9) for c in range(-b, b * 3, 2)} | {(20, 5)})
+    want = [(b, c, min(x for k, x in rows if k == b)) for b, c in rows]
+    for n in (1, 2, 3, 7, 1000):
+        parts = [rows[i : i + n] for i in range(0, len(rows), n)]
+        batches = [pa.record_batch([pa.array([r[k] for r in part], pa.int64()) for k in (0, 1)], names=["band", "class"]) for part in parts]
+        got = [tuple(r.values()) for out in simhash.listed_members(iter(batches)) for r in out.to_pylist()]
+        assert got == [w for w in want if w[1] != w[2]]
+
+
 def test_deduplicate(odd):
     kept = simhash.deduplicate(odd)
     assert kept.columns == odd.columns
