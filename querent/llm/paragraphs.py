@@ -2,8 +2,11 @@
 
 Paragraphs are cut where the content says so: before a word whose pair with its predecessor has the smallest hash
 among the pairs within ``RADIUS`` words. So a passage is cut alike wherever it stands, also inside other text, and
-one of more than 50 words holds whole paragraphs (7 to about 30 words). Pieces at the edges of a text are cut on
-one side only and count from 14 words.
+one of more than 50 words mostly holds whole paragraphs (7 to about 30 words): of 4,000 random passages 12 of 51 words
+held none, and none of 60. Words that repeat with a period of up to ``RADIUS`` tie; only their first and last tie cut, so a run
+of them is one paragraph. Pieces at the edges of a text are cut on one side only and count from 14 words; shorter ones
+aren't joined to their neighbour, which would then differ from the same piece inside other text. A text of 14
+words or more that keeps no piece is a paragraph as a whole.
 
 Equal paragraphs form a class (a 64-bit hash of the words). Classes are joined by MinHash: three hash functions
 over five-word shingles, one to a band, so that paragraphs of Jaccard similarity 0.8 share a band with probability
@@ -72,8 +75,12 @@ class Cut:
         for d in range(1, RADIUS + 1):
             np.minimum(least[d:], pair[:-d], out=least[d:])
             np.minimum(least[:-d], pair[d:], out=least[:-d])
-        opens = (pair == least) & (pair != _MOST)
-        opens[first] = True
+        ties = np.nonzero((pair == least) & (pair != _MOST))[0]
+        # Ties within the radius are a chain, as in words that repeat; its first one opens a paragraph, and its last one if far enough.
+        head = np.diff(ties, prepend=-RADIUS - 1) > RADIUS
+        last, start = ties[np.append(head[1:], True)] if len(ties) else ties, ties[head]
+        opens = np.zeros(len(h), bool)
+        opens[start] = opens[last[last - start >= INNER]] = opens[first] = True
         self.starts = np.nonzero(opens)[0]
         own = np.searchsorted(first, self.starts, side="right") - 1
         end = behind[own] if len(own) else own
@@ -84,6 +91,12 @@ class Cut:
         self.text, self.offset = gaps, first[own] if len(own) else own
         number = np.arange(len(self.starts)) - np.searchsorted(self.starts, self.offset)
         keep = self.ends - self.starts >= least_words
+        # A text that keeps no piece is a paragraph as a whole.
+        if len(own):
+            kept = np.bincount(own[keep], minlength=len(first)) > 0
+            whole = (number == 0) & ~kept[own] & (end - self.starts >= EDGE)
+            self.ends = np.where(whole, end, self.ends)
+            keep |= whole
         for name, v in (("starts", self.starts), ("ends", self.ends), ("text", self.text), ("offset", self.offset), ("number", number)):
             setattr(self, name, v[keep])
 

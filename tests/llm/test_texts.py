@@ -324,6 +324,21 @@ def test_paragraph_jaccard(spark):
         assert (own.bands() == one.bands()[:, pick]).all() and (own.number == one.number[pick]).all()
 
 
+def test_paragraphs_of_short_and_periodic_texts():
+    """Texts from EDGE words on have a paragraph, and so has a run of words that repeat, wherever it stands."""
+    known, rng = paragraphs._Words(), random.Random(24)
+    texts = [prose(rng, n) for n in range(paragraphs.EDGE, 40) for _ in range(40)]
+    assert set(paragraphs.Cut(texts, known).text.tolist()) == set(range(len(texts)))
+    assert not len(paragraphs.Cut([prose(rng, paragraphs.EDGE - 1), "", None], known).text)
+    for period in range(1, 7):
+        run = ([f"w{period}n{k}" for k in range(period)] * 200)[:200]
+        cuts = [paragraphs.Cut([f"{prose(rng, 50)} {' '.join(run)} {prose(rng, 50)}"], known) for _ in range(20)]
+        for c in cuts:
+            inside = (c.starts - c.offset >= 50) & (c.ends - c.offset <= 250)
+            assert (c.ends - c.starts)[inside].max() >= 150
+            assert (c.ends[:-1] <= c.starts[1:]).all()
+
+
 # LM --------------------------------------------------------------------------------------------------------
 
 
