@@ -1,13 +1,18 @@
 """A deterministic sharded WARC writer and its reader.
 
 Writing: a histogram of page ids (4,096 buckets at most) cuts the id range into shards of about equal payload
-bytes; a bucket larger than a shard is dealt over several by a hash of id and digest. Records go to their shard in one shuffle and
-are sorted there by id. A task writes each shard as files of one gzip member a record, rolled by compressed size,
+bytes; a bucket larger than a shard gets a histogram of its own, of 4,096 cells, and is cut between cells, so shards
+sort as their ids do. Only a cell that is larger than a shard by itself, a 16-millionth of the id range, is dealt by a hash of
+id and digest, and repeated rows of one id and payload that are more than a shard in turn. Records go to their
+shard in one shuffle and are sorted there by id. A task writes each shard as files of one gzip member a record, rolled by compressed size,
 below a temporary name of its own attempt; the manifest of the attempts that Spark accepted is written as Parquet,
 and only the files in it are renamed to their final names. Whatever lost or repeated attempts left goes away with
 the temporary folder. Headers and digests are regenerated from the payload; dates are fixed, record ids derive
 from page id and digest, so a rerun writes the same bytes.
 
+Reading follows the manifest: its files, and no others that may lie there, are read in windows of a bounded size, and their
+SHA-256, number of records, lengths and digests are compared.
+
 Of records with equal payloads of at least ``least_bytes`` bytes the one with the largest page id is a response,
 the others are revisits without payload that refer to it; smaller payloads are responses all.
 
@@ -22,17 +27,17 @@ import base64
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from querent.runtime import fresh_path, materialize, remove_path, table
+from querent.runtime import fresh_path, has_rows, materialize, remove_path, table
 
 BUCKETS = 4096
 #: A shard holds this part of all bytes, within bounds: enough shards for many tasks, none too large for one.
-SHARDS, LEAST_SHARD_BYTES, MOST_SHARD_BYTES = 256, 256 << 10, 64 << 20
+SHARDS, LEAST_SHARD_BYTES, MOST_SHARD_BYTES = 256, 256 << 10, 512 << 20
 OVERHEAD = 512  # of a record's headers, about
 ROLL_BYTES = 16 << 20
 LEVEL = 4
@@ -71,43 +76,89 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return _member(headers, block, level)
 
 
-def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of every record of a file; raises ValueError where a digest or a length is wrong."""
-    at = 0
-    while at < len(data):
-        open_ = zlib.decompressobj(31)
-        raw = open_.decompress(data[at:] if at else data)
-        if not open_.eof:
-            raise ValueError(f"the gzip member at {at} is cut off")
-        at = len(data) - len(open_.unused_data)
+WINDOW = 64 << 10
+
+
+def _members(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """The contents of the gzip members of a file that comes in pieces; what is held is one member and one piece."""
+    open_, raw, at = zlib.decompressobj(31), [], 0
+    for chunk in chunks:
+        while chunk:
+            raw.append(open_.decompress(chunk))
+            if not open_.eof:
+                at += len(chunk)
+                break
+            yield b"".join(raw)
+            at += len(chunk) - len(open_.unused_data)
+            chunk, open_, raw = open_.unused_data, zlib.decompressobj(31), []
+    if raw:
+        raise ValueError(f"the gzip member before {at} is cut off")
+
+
+def read_records(source: bytes | Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of every record of a file, whole or in pieces; raises ValueError where a digest or a length is wrong."""
+    for number, raw in enumerate(_members([source] if isinstance(source, bytes) else source)):
         head, _, rest = raw.partition(b"\r\n\r\n")
         version, *lines = head.decode().split("\r\n")
         headers = dict(line.split(": ", 1) for line in lines)
         block = rest[: int(headers["Content-Length"])]
         if version != "WARC/1.1" or rest[len(block) :] != b"\r\n\r\n" or len(block) != int(headers["Content-Length"]):
-            raise ValueError(f"malformed record before {at}")
+            raise ValueError(f"record {number} is malformed")
         if headers["WARC-Block-Digest"] != f"sha1:{base32_sha1(block)}":
-            raise ValueError(f"block digest mismatch before {at}")
+            raise ValueError(f"record {number} has another block digest")
         yield headers, block
 
 
 def _cuts(rows: DataFrame, shard_bytes: int | None):
-    """A function that adds the column shard to a table with page_id and sha1, from ``rows`` (page_id, sha1, bytes);
-    the same for the same rows in any order. Shards sort as their page ids do."""
+    """Functions that add the column shard to a table with page_id and sha1, for payloads and for what is known of them,
+    from ``rows`` (page_id, sha1, bytes); the same for the same rows in any order. Shards sort as their page ids do."""
     low, high, total = rows.agg(F.min("page_id"), F.max("page_id"), F.sum(F.col("bytes") + OVERHEAD)).first()
+    low, high = low or 0, high or 0
     aim = shard_bytes or min(MOST_SHARD_BYTES, max(LEAST_SHARD_BYTES, (total or 0) // SHARDS))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // BUCKETS))
-    bucket = F.coalesce(F.floor((F.col("page_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("int")
-    sums = rows.groupBy(bucket.alias("bucket")).agg(F.sum(F.col("bytes") + OVERHEAD).alias("size"))  # at most BUCKETS + 1 rows
+    width = max(1, -(-(high - low + 1) // BUCKETS))
+    fine = max(1, -(-width // BUCKETS))
+    kind = "long" if high - low < 1 << 62 else "decimal(38,0)"
+    offset = f"(cast(page_id as {kind}) - cast({low} as {kind}))"
+    bucket = F.expr(f"coalesce(cast({offset} div cast({width} as {kind}) as int), -1)")
+    cell = F.expr(f"coalesce(cast(({offset} % cast({width} as {kind})) div cast({fine} as {kind}) as int), 0)")
+    size = F.sum(F.col("bytes") + OVERHEAD).alias("size")
+    sums = rows.groupBy(bucket.alias("bucket")).agg(size)  # at most BUCKETS + 1 rows
     before = F.coalesce(F.sum("size").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = materialize(sums.select("bucket", F.floor(before / F.lit(aim)).cast("int").alias("first"), F.ceil(F.col("size") / F.lit(aim)).cast("int").alias("parts")), "warc-cuts")
-
-    def place(df: DataFrame) -> DataFrame:
-        split = F.when(F.col("parts") > 1, F.format_string("%08d-%04d-%06d", "first", "bucket", F.pmod(F.xxhash64("page_id", "sha1"), F.col("parts"))))
-        placed = df.withColumn("bucket", bucket).join(F.broadcast(cut), "bucket")
-        return placed.withColumn("shard", F.coalesce(split, F.format_string("%08d", "first"))).drop("bucket", "first", "parts")
-
-    return place
+    sums = materialize(sums.select("bucket", "size", F.floor(before / F.lit(aim)).cast("int").alias("first")), "warc-cuts")
+    large = sums.filter(F.col("size") > 2 * aim).select("bucket")
+    # At most BUCKETS rows are broadcast here, and BUCKETS cells of a bucket meet in a window.
+    cells = rows.withColumn("bucket", bucket).join(F.broadcast(large), "bucket").groupBy("bucket", cell.alias("cell")).agg(size)
+    inside = Window.partitionBy("bucket").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("part", F.floor(F.coalesce(F.sum("size").over(inside), F.lit(0)) / F.lit(aim)).cast("int"))
+    split = F.collect_list(F.when(F.col("size") > 2 * aim, F.struct("cell", F.ceil(F.col("size") / F.lit(aim)).cast("int").alias("parts"))))
+    inner = cells.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("part", "cell"))).alias("cells"), split.alias("split"))
+    # Where parts begin: 4 bytes for each shard, the only thing here that grows with the data.
+    begins = F.expr("transform(filter(cells, (c, i) -> i = 0 OR c.part > cells[i - 1].part), c -> c.cell)")
+    cut = materialize(sums.join(inner.select("bucket", begins.alias("begins"), "split"), "bucket", "left").select("bucket", "first", "begins", "split"), "warc-cuts")
+
+    def place(df: DataFrame, known: bool) -> DataFrame:
+        placed = df.withColumn("bucket", bucket).withColumn("cell", cell).join(cut, "bucket")
+        parts = F.expr("try_element_at(transform(filter(split, s -> s.cell = cell), s -> s.parts), 1)")
+        # Rows of one id and payload go to one part, unless they are too many: then to all parts in turn, and what is known of them to each.
+        again = F.coalesce("repeats", F.lit(False))
+        chosen = F.when(parts.isNull(), F.array(F.lit(0)))
+        by_hash = F.pmod(F.xxhash64("page_id", "sha1"), parts).cast("int")
+        in_turn = F.sequence(F.lit(0), parts - 1) if known else F.array(F.pmod(F.monotonically_increasing_id(), parts).cast("int"))
+        chosen = chosen.when(again, in_turn).otherwise(F.array(by_hash))
+        place_ = F.expr("size(filter(begins, b -> b <= cell))")
+        name = F.when(F.col("begins").isNull(), F.format_string("%08d", "first"))
+        name = name.when(parts.isNull(), F.format_string("%08d-%04d-%06d", "first", F.col("bucket") + 1, place_))
+        name = name.otherwise(F.format_string("%08d-%04d-%06d-%06d", "first", F.col("bucket") + 1, place_, F.col("turn")))
+        return placed.withColumn("turn", F.explode(chosen)).withColumn("shard", name).drop("bucket", "cell", "first", "begins", "split", "turn", "repeats")
+
+    return place, aim
+
+
+def _marked(df: DataFrame, often: DataFrame) -> DataFrame:
+    """``df`` with the column repeats: whether (page_id, sha1) is in ``often``."""
+    found = often.select(F.col("page_id").alias("page_id_"), F.col("sha1").alias("sha1_"))
+    joined = df.join(found, F.col("page_id").eqNullSafe(F.col("page_id_")) & (F.col("sha1") == F.col("sha1_")), "left")
+    return joined.withColumn("repeats", F.col("sha1_").isNotNull()).drop("page_id_", "sha1_")
 
 
 def write(pages: DataFrame, path: str, least_bytes: int = 0, shard_bytes: int | None = None, roll_bytes: int = ROLL_BYTES, level: int = LEVEL) -> DataFrame:
@@ -119,10 +170,14 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, shard_bytes: int |
     latest = materialize(rows.filter(F.col("bytes") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("latest")), "warc-latest")
     # What is known of a row goes to its shard by itself and meets the payload there, so payloads move once.
     known = rows.join(latest, "sha1", "left").select("page_id", "sha1", "bytes", F.when((F.col("bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("latest")), F.col("latest")).alias("refers_to"))
-    place = _cuts(rows, shard_bytes)
-    placed = materialize(place(known.distinct()), "warc-placed")
+    place, aim = _cuts(rows, shard_bytes)
+    # Ids and payloads whose rows alone are larger than a shard: no more than there are shards.
+    often = rows.groupBy("page_id", "sha1").agg(F.sum(F.col("bytes") + OVERHEAD).alias("size"), F.count("*").alias("n")).filter((F.col("size") > 2 * aim) & (F.col("n") > 1))
+    often = materialize(often.select("page_id", "sha1"), "warc-often")
+    mark = (lambda df: df.withColumn("repeats", F.lit(False))) if not has_rows(often) else lambda df: _marked(df, often)
+    placed = materialize(place(mark(known.distinct()), True), "warc-placed")
     shards = placed.agg(F.countDistinct("shard")).first()[0]
-    sent = place(full).select("shard", "page_id", "sha1", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"), "url", "html")
+    sent = place(mark(full), False).select("shard", "page_id", "sha1", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"), "url", "html")
     both = sent.unionByName(placed.select("shard", "page_id", "sha1", F.lit(0).alias("kind"), "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html")))
     temporary, final = f"{path}/_temporary", f"{path}/data"
 
@@ -187,33 +242,54 @@ RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """Every record of the files that ``write`` left below ``path``, digests verified: page_id, payload_bytes,
+    """Every record of the files in the manifest that ``write`` left below ``path``, verified: page_id, payload_bytes,
     payload_digest, record_type, refers_to, url, record_id, file, payload (null for revisits or without ``payloads``)."""
+    data = f"{path}/data"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        disk, base = fs.FileSystem.from_uri(data)
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for name, records, size, sha in zip(*(batch.column(c).to_pylist() for c in ("name", "records", "bytes", "sha256")), strict=True):
+                digest, got, taken = hashlib.sha256(), 0, 0
+
+                def pieces(stream, digest=digest) -> Iterator[bytes]:
+                    nonlocal taken
+                    while piece := stream.read(WINDOW):
+                        digest.update(piece)
+                        taken += len(piece)
+                        yield piece
+
                 rows, held = [], 0
-                for headers, block in read_records(data.as_py()):
-                    digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
-                    length, payload = int(headers["X-Payload-Length"]), None
-                    if headers["WARC-Type"] == "response":
-                        payload = block.partition(b"\r\n\r\n")[2]
-                        if len(payload) != length or base32_sha1(payload) != digest:
-                            raise ValueError(f"payload digest mismatch in {name}")
-                    own, other = headers["X-Page-ID"], headers.get("X-Refers-To-Page-ID")
-                    rows.append((int(own) if own else None, length, digest, headers["WARC-Type"], int(other) if other else None, headers["WARC-Target-URI"], headers["WARC-Record-ID"], name.rpartition("/")[2], payload if payloads else None))
-                    held += len(payload or b"") if payloads else 100
-                    if held > 4 << 20:
-                        yield _batch(rows)
-                        rows, held = [], 0
+                with disk.open_input_stream(f"{base}/{name}", compression=None) as stream:
+                    for headers, block in read_records(pieces(stream)):
+                        rows.append(_row(headers, block, name, payloads))
+                        got, held = got + 1, held + (len(block) if payloads else 100)
+                        if held > 4 << 20:
+                            yield _batch(rows)
+                            rows, held = [], 0
+                if (got, taken, digest.hexdigest()) != (records, size, sha):
+                    raise ValueError(f"{name} isn't the file that the manifest names")
                 if rows:
                     yield _batch(rows)
 
-    if spark.read.parquet(f"{path}/manifest").isEmpty():
-        return spark.createDataFrame([], RECORDS)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(f"{path}/data")
-    return files.select("path", "content").mapInArrow(run, RECORDS)
+    manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").select("name", "records", "bytes", "sha256")
+    files, total = manifest.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = max(1, min(files, max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), total // (128 << 20))))
+    return manifest.repartition(tasks).mapInArrow(run, RECORDS)
+
+
+def _row(headers: dict[str, str], block: bytes, name: str, payloads: bool) -> tuple:
+    """A row of ``read`` from a record; raises ValueError if the payload isn't what its headers say."""
+    digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
+    length, payload = int(headers["X-Payload-Length"]), None
+    if headers["WARC-Type"] == "response":
+        payload = block.partition(b"\r\n\r\n")[2]
+        if len(payload) != length or base32_sha1(payload) != digest:
+            raise ValueError(f"payload digest mismatch in {name}")
+    own, other = headers["X-Page-ID"], headers.get("X-Refers-To-Page-ID")
+    return (int(own) if own else None, length, digest, headers["WARC-Type"], int(other) if other else None, headers["WARC-Target-URI"], headers["WARC-Record-ID"], name, payload if payloads else None)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

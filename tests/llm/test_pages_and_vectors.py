@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from querent.llm import egojoin, warc
 from querent.runtime import fresh_path
@@ -55,12 +56,45 @@ def test_warc_empty_and_damage(spark, pages):
     assert [h["WARC-Type"] for h, _ in records] == ["response", "revisit"] and records[0][1].endswith(b"payload")
     with pytest.raises(ValueError):
         list(warc.read_records(data[:-5]))
+    for n in (1, 7, 64, 10_000):  # members end anywhere in a window
+        assert list(warc.read_records(data[i : i + n] for i in range(0, len(data), n))) == records
     bad = bytearray(data)
     bad[60] ^= 1
     with pytest.raises(Exception):  # noqa: B017
         list(warc.read_records(bytes(bad)))
 
 
+def test_warc_manifest(spark, pages):
+    """Files that the manifest doesn't name are not read; files that differ from it are refused."""
+    path = fresh_path(spark, "warc-test")
+    name = warc.write(pages, path).first()["name"]
+    there = f"{path}/data".removeprefix("file://")
+    with open(f"{there}/stray.warc.gz", "wb") as f:
+        f.write(warc.record(999, "u", b"stray", None))
+    assert warc.read(spark, path).count() == pages.count()
+    with open(f"{there}/{name}", "ab") as f:
+        f.write(warc.record(999, "u", b"appended", None))
+    with pytest.raises(Exception, match="manifest names"):
+        warc.read(spark, path).count()
+
+
+def test_warc_range_order(spark):
+    """Ids of a shard lie between those of its neighbours, also where all ids are in one bucket or at the ends of the range."""
+    near = [5 * 10**9 + 1000 * i for i in range(300)]
+    for ids in ([0, *near], [*near, -(2**63), 2**63 - 1]):
+        rows = [(i, "u", f"{i}" + "x" * 300) for i in ids] + [(near[99], "u", "same")] * 60
+        path = fresh_path(spark, "warc-test")
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+        warc.write(df, path, shard_bytes=8000)
+        got = warc.read(spark, path, payloads=False)
+        assert got.count() == len(rows)
+        spans = sorted((r["shard"], r["low"], r["high"]) for r in got.groupBy(F.expr("regexp_replace(file, '-[0-9]{5}.warc.gz', '')").alias("shard")).agg(F.min("page_id").alias("low"), F.max("page_id").alias("high")).collect())
+        assert len(spans) > 5
+        whole = [x for x in spans if x[0].count("-") < 3]  # cells larger than a shard are dealt
+        assert all(a[2] <= b[1] for a, b in zip(whole, whole[1:], strict=False)) and (ids[0] or len(whole) > 5)
+        assert max(r["n"] for r in got.filter(f"page_id = {near[99]}").groupBy("file").agg(F.count("*").alias("n")).collect()) < 60
+
+
 def brute(rows, cosine):
     units = {}
     for k, (_, v) in enumerate(rows):
