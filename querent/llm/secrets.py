@@ -1,10 +1,16 @@
 r"""Secret scans by a trigram inverted index (native DataFrame operations only).
 
-Each rule's regular expression gives a Boolean trigram query. One scan of the texts writes the index, postings
-(trigram, document) for those trigrams that some rule asks for, and runs the rules that have no mandatory
-trigram (runs of hexadecimal digits) on every text. Postings are intersected by document, the Boolean queries
-are evaluated, and only candidates' texts are verified with the rules' own expressions. Spans come from the
-pieces between matches: a match starts after all earlier pieces and matches, a running sum over pieces.
+The index holds every trigram of the lower-cased texts. Documents are numbered as they are scanned, 64 to a block, and
+a posting is a trigram, a block, and the set of the block's documents that hold it, as 64 bits; postings are written
+once, in the order of trigrams, and serve any rules. Each rule's regular expression gives a Boolean trigram query. A query
+reads the postings of the trigrams that it asks for, intersects and unites them block by block, and only the documents left
+are verified with the rule's own expression. Rules without a mandatory trigram (runs of hexadecimal digits; parts of
+a rule that allow more than ``trigrams.MOST_STRINGS`` strings ask for none) run on every text in the scan that extracts the
+trigrams. Spans come from the pieces between matches: a match starts after all earlier pieces and matches, a running
+sum over pieces.
+
+Very long texts are cut for the index into pieces of ``PIECE`` characters that overlap by two, so a row holds a
+bounded number of trigrams.
 
 Edge cases: a null text counts as empty; a null id is an id like any other; rows with equal id and text share
 one verification and each get its result; rows with equal ids and other texts are kept apart by a hash of the
@@ -50,6 +56,7 @@ RULES = (
 BASE = 3
 KEY = ("doc_id", "text_hash")
 MARK = "[secret]"
+PIECE = 50_000
 
 
 def _matched(rule: Rule, text: Column) -> Column:
@@ -64,42 +71,55 @@ def _matched(rule: Rule, text: Column) -> Column:
     return F.when(text.rlike(java), rows)
 
 
-def _numbered(rules) -> list[str]:
+def _asked(rules) -> list[str]:
     return sorted({g for r in rules for clause in trigram_query(r.pattern) for option in clause for g in option})
 
 
-def _satisfied(rule: Rule, numbers: dict[str, int]) -> Column:
-    """The rule's Boolean query on the bit set of a document's trigrams."""
-    out = F.lit(True)
+def _satisfied(rule: Rule, columns: dict[str, Column]) -> Column:
+    """Those of a block's documents that satisfy the rule's Boolean query, from the postings of its trigrams."""
+    out = F.lit(-1).cast("long")
     for clause in trigram_query(rule.pattern):
-        masks = sorted(sum(1 << numbers[g] for g in option) for option in clause)
-        some = F.lit(False)
-        for mask in masks:
-            some = some | (F.col("grams").bitwiseAND(F.lit(mask)) == F.lit(mask))
-        out = out & some
+        some = F.lit(0).cast("long")
+        for option in sorted(map(sorted, clause)):
+            every = F.lit(-1).cast("long")
+            for gram in option:
+                every = every.bitwiseAND(columns[gram])
+            some = some.bitwiseOR(every)
+        out = out.bitwiseAND(some)
     return out
 
 
 def build_index(docs: DataFrame, rules=RULES) -> tuple[DataFrame, DataFrame]:
-    """(scanned, postings). scanned: one row per document with the matches of the rules that scan fully;
-    postings: (gram, doc_id, text_hash) for the trigrams that some rule asks for."""
-    grams = _numbered(rules)
-    if len(grams) > 63:
-        raise ValueError("the rules ask for more than 63 trigrams; pass them in several calls")
+    """(directory, postings). directory: doc_id, text_hash, number and the matches of the rules that scan fully, one row
+    per document; postings: gram, block, docs (the bits of the block's documents that hold the trigram)."""
     full = [r for r in rules if not trigram_query(r.pattern)]
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", F.lower("text").alias("low"))
-    has = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(i)) for i, g in enumerate(grams)])) if grams else F.array().cast("array<int>")
-    scanned = materialize(rows.select(*KEY, has.alias("grams"), *[_matched(r, F.col("text")).alias(r.kind) for r in full]), "secret-index")
-    return scanned, scanned.select(F.explode("grams").alias("gram"), *KEY)
-
-
-def candidates(postings: DataFrame, rules=RULES) -> DataFrame:
-    """Intersect postings: (doc_id, text_hash, one Boolean column for each rule that has a trigram query)."""
-    numbers = {g: i for i, g in enumerate(_numbered(rules))}
+    rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", F.lower("text").alias("low"), F.monotonically_increasing_id().alias("number"))
+    cuts = F.sequence(F.lit(0), F.floor((F.char_length("low") - 3) / F.lit(PIECE)).cast("int"))
+    pieces = F.when(F.char_length("low") <= PIECE + 2, F.array("low")).otherwise(F.transform(cuts, lambda i: F.substr(F.col("low"), i * PIECE + 1, F.lit(PIECE + 2))))
+    parts = rows.select(*KEY, "number", *[_matched(r, F.col("text")).alias(r.kind) for r in full], F.posexplode(pieces).alias("part", "low"))
+    grams = F.array_distinct(F.regexp_extract_all("low", F.lit("(?s)(?=(...))"), F.lit(1)))
+    # What is scanned is stored, so that numbers stay what they are.
+    scanned = materialize(parts.select(*KEY, "number", "part", *[F.when(F.col("part") == 0, F.col(r.kind)).alias(r.kind) for r in full], grams.alias("grams")), "secret-grams")
+    bit = F.expr("shiftleft(1L, cast(number & 63 as int))")
+    each = scanned.select(F.shiftright("number", 6).alias("block"), bit.alias("bit"), F.explode("grams").alias("gram"))
+    postings = each.groupBy("gram", "block").agg(F.bit_or("bit").alias("docs")).sortWithinPartitions("gram", "block")
+    return scanned.filter("part = 0").drop("part", "grams"), materialize(postings, "secret-postings")
+
+
+def candidates(directory: DataFrame, postings: DataFrame, rules=RULES) -> DataFrame:
+    """The Boolean queries on the postings: (doc_id, text_hash, one Boolean column for each rule that has a query)."""
     asked = [r for r in rules if trigram_query(r.pattern)]
-    sets = postings.groupBy(*KEY).agg(F.bit_or(F.expr("shiftleft(1L, gram)")).alias("grams"))
-    flags = sets.select(*KEY, *[_satisfied(r, numbers).alias(r.kind) for r in asked])
+    grams = _asked(rules)
+    if not asked:
+        return directory.select(*KEY).limit(0)
+    # A block has one posting at most for a trigram, so there is nothing to sum.
+    lists = postings.filter(F.col("gram").isin(grams)).groupBy("block").agg(*[F.bit_or(F.when(F.col("gram") == g, F.col("docs"))).alias(f"g{i}") for i, g in enumerate(grams)])
+    columns = {g: F.coalesce(f"g{i}", F.lit(0).cast("long")) for i, g in enumerate(grams)}
+    left = lists.select("block", *[_satisfied(r, columns).alias(r.kind) for r in asked]).filter(" OR ".join(f"{r.kind} <> 0" for r in asked))
+    left = materialize(left, "secret-blocks")
+    here = directory.select(*KEY, F.shiftright("number", 6).alias("block"), F.expr("cast(number & 63 as int)").alias("slot"))
+    flags = here.join(left, "block").select(*KEY, *[(F.expr(f"shiftrightunsigned({r.kind}, slot) & 1") == 1).alias(r.kind) for r in asked])
     return flags.filter(" OR ".join(r.kind for r in asked))
 
 
@@ -117,20 +137,21 @@ def _spans(matches: DataFrame, rules) -> DataFrame:
 def scan(docs: DataFrame, rules=RULES) -> tuple[DataFrame, DataFrame]:
     """(keys, spans): every row's (doc_id, text_hash), and the spans (doc_id, text_hash, rule, start, end);
     positions are code points, ``end`` is exclusive, ``rule`` numbers ``rules``."""
-    scanned, postings = build_index(docs, rules)
+    directory, postings = build_index(docs, rules)
     full = [r for r in rules if not trigram_query(r.pattern)]
     asked = [r for r in rules if trigram_query(r.pattern)]
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").alias("d")
     # As a table of known size, candidates are broadcast if they are few, and texts are shuffled only if they aren't.
-    chosen = materialize(candidates(postings, rules), "secret-candidates").alias("c")
+    # Rows that repeat share one candidate.
+    chosen = materialize(candidates(directory, postings, rules).distinct(), "secret-candidates").alias("c")
     same = F.expr("d.doc_id <=> c.doc_id AND d.text_hash = c.text_hash")
     verified = texts.join(chosen, same).select("d.doc_id", "d.text_hash", *[F.when(F.col(f"c.{r.kind}"), _matched(r, F.col("d.text"))).alias(r.kind) for r in asked])
     spans = _spans(verified, asked)
     if full:
-        some = scanned.filter(" OR ".join(f"{r.kind} IS NOT NULL" for r in full))
+        some = directory.filter(" OR ".join(f"{r.kind} IS NOT NULL" for r in full))
         spans = spans.unionByName(_spans(some, full))
-    return scanned.select(*KEY), spans
+    return directory.select(*KEY), spans
 
 
 def _listed(spans: DataFrame, rules=RULES) -> DataFrame:
@@ -159,12 +180,14 @@ def redact(docs: DataFrame, rules=RULES, mark: str = MARK) -> DataFrame:
     spans = spans.withColumn("from", F.coalesce(F.max("end").over(run), F.lit(0).cast("long")))
     rows = F.array_sort(F.collect_list(F.struct("start", "rule", "from", "end")))
     by = materialize(spans.groupBy(*KEY).agg(rows.alias("s"), F.max("end").alias("last")), "secret-spans").alias("s")
-    left = docs.withColumn("text_hash__", F.xxhash64(F.coalesce("text", F.lit("")))).alias("d")
-    joined = left.join(by, F.expr("d.doc_id <=> s.doc_id AND d.text_hash__ = s.text_hash"), "left")
+    own = "text_hash"
+    while own in docs.columns:
+        own += "_"
+    left = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit("")))).alias("d")
+    joined = left.join(by, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col(f"d.{own}") == F.col("s.text_hash")), "left")
     text = F.col("d.text")
     # A span that starts inside what has been cut already adds no mark.
     kept = F.transform("s.s", lambda x: F.when((x["start"] >= x["from"]), F.concat(F.substr(text, (x["from"] + 1).cast("int"), (x["start"] - x["from"]).cast("int")), F.lit(mark))).otherwise(F.lit("")))
     clean = F.concat(F.array_join(kept, ""), F.substr(text, (F.col("s.last") + 1).cast("int")))
     new = F.when(F.col("s.s").isNotNull(), clean).otherwise(text)
     return joined.select(*[(new if c == "text" else F.col(f"d.`{c}`")).alias(c) for c in docs.columns])
-

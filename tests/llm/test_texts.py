@@ -111,6 +111,29 @@ def test_secrets(spark, odd, none, secret_dir):
     assert keys.count() == 0 and spans.count() == 0
 
 
+def test_secret_postings(spark, odd, monkeypatch):
+    """The index holds every trigram of every text, also of texts cut into pieces; queries with many trigrams work."""
+    monkeypatch.setattr(secrets, "PIECE", 700)
+    directory, postings = secrets.build_index(odd)
+    numbers = {(r["doc_id"], r["text_hash"]): set() for r in directory.collect()}
+    for r in directory.collect():
+        numbers[r["doc_id"], r["text_hash"]].add(r["number"])
+    got = defaultdict(set)
+    for r in postings.collect():
+        got[r["gram"]] |= {64 * r["block"] + i for i in range(64) if r["docs"] >> i & 1}
+    want = defaultdict(set)
+    for r in odd.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.lower("text").alias("low")).collect():
+        for i in range(len(r["low"] or "") - 2):
+            want[r["low"][i : i + 3]] |= numbers[r["doc_id"], r["h"]]
+    # A position inside a surrogate pair posts "?" for the half; that only adds candidates.
+    assert all(got[g] == want[g] or g[0] == "?" for g in {*got, *want}) and all(got[g] >= want[g] for g in want)
+    wide = [secrets.Rule(f"k{i}", f"(word{i:03d}xyz|other{i:03d}abc)[0-9]+") for i in range(40)]
+    assert len(secrets._asked(wide)) > 64
+    docs = spark.createDataFrame([(1, "a word003xyz7 here"), (2, "other039abc12"), (3, "word003xyz")], "doc_id long, text string")
+    _, spans = secrets.scan(docs, wide)
+    assert sorted((r["doc_id"], r["start"], r["end"]) for r in spans.collect()) == [(1, 2, 13), (2, 0, 13)]
+
+
 def test_redaction(spark, odd):
     def clean(text):
         out, end = "", 0
@@ -120,8 +143,8 @@ def test_redaction(spark, odd):
             end = max(end, b)
         return text if text is None else out + text[end:]
 
-    rows = secrets.redact(odd)
-    assert rows.columns == odd.columns
+    rows = secrets.redact(odd.withColumn("text_hash_", F.lit(7)))
+    assert rows.columns == [*odd.columns, "text_hash_"] and rows.filter("text_hash_ <> 7").isEmpty()
     assert Counter((r["doc_id"], r["text"]) for r in rows.collect()) == Counter((r["doc_id"], clean(r["text"])) for r in odd.collect())
 
 
