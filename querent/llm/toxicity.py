@@ -1,17 +1,22 @@
 r"""Toxicity by compression distance: two zstandard dictionaries, window lengths and calibrated thresholds.
 
 Training takes a bounded sample of labelled rows (``Bounds``). From two thirds of it come the dictionaries: a
-class's dictionary is made of the segments of its texts that are covered by byte 5-grams far more frequent among
-its texts than among the other's, most frequent segments last, where offsets are cheapest. A text is scored by
-compressing its windows of 24 bytes (and 12 more, so that no word is cut in all windows) with either dictionary; a
-window's gain is how many bytes the toxic one saves over the ordinary one. Every window begins with a mark that
-both dictionaries hold, so the fixed cost of a compressed block weighs on both alike. The other third of the
-sample calibrates: a logistic regression turns a text's three largest gains into a score of 0 to 1.
+class's dictionary is made of the segments of its texts that are covered by byte 5-grams far more frequent in
+its texts than in the other's, most frequent segments last, where offsets are cheapest. (Dictionaries that zstandard's own
+trainer makes of the classes' texts, or of those segments, tell windows apart far worse: what is toxic is a few words in
+a hundred, which such a dictionary holds among much that both classes share. README has the figures.)
+
+A text is scored by compressing its windows of 24 bytes (and 12 more, so that no word is cut in all windows) with either
+dictionary; a window's gain is how many bytes the toxic one saves over the ordinary one. Every window begins with a mark
+that both dictionaries hold, so the fixed cost of a compressed block weighs on both alike. The other third of the
+sample calibrates: how much likelier each gain is in a toxic text's windows than in an ordinary one's, made monotone
+in the gain; and a logistic regression that turns a text's sum, maximum and mean of these into a score of 0 to 1.
 
 Whole texts are scored, in windows, so memory is bounded; nothing but the text enters a score. Edge cases: null
 and empty texts have no gains and get the score of that; a sample without toxic or without ordinary rows gives a
 model that scores the labels' mean everywhere (0 without labels); labels that repeat for an id count once, as
-toxic if any is; a null id is hashed as the empty string; repeated rows are scored alike; further columns are ignored.
+toxic if any is; null labels don't count; a null id is hashed as the empty string, and ids of any type are taken; repeated
+rows are scored alike; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +33,9 @@ from pyspark.sql import functions as F
 
 from querent.runtime import bounded_batches, materialize, table
 
-GRAM, WINDOW, OVERLAP, TOP = 5, 24, 12, 3
+GRAM, WINDOW, OVERLAP = 5, 24, 12
+#: Gains are told apart up to this many bytes either way; a text's sum of likelihoods counts up to ``MOST_SUM``.
+MOST_GAIN, MOST_SUM = 12, 30.0
 #: Bytes that texts don't hold; all windows and both dictionaries share them.
 MARK = bytes(b for b in range(1, 32) if b not in b"\t\n\v\f\r\x1b\x1c\x1d\x1e\x1f")[:16]
 FOLDS = 5
@@ -48,10 +56,12 @@ class Bounds:
 
 @dataclass(frozen=True)
 class Model:
-    """Two dictionaries and the weights of the largest gains; without dictionaries ``bias`` alone counts."""
+    """Two dictionaries, the log likelihood ratios of gains from -MOST_GAIN to MOST_GAIN, and the weights of their sum,
+    maximum and mean; without dictionaries ``bias`` alone counts."""
 
     toxic: bytes
     ordinary: bytes
+    levels: tuple[float, ...]
     weights: tuple[float, ...]
     bias: float
 
@@ -61,34 +71,40 @@ def plain(text: str | None) -> bytes:
     return b" " + b" ".join((text or "").encode().lower().split()) + b" "
 
 
-def _grams(data: bytes) -> set[bytes]:
-    return {data[i : i + GRAM] for i in range(len(data) - GRAM + 1)}
+def _grams(data: bytes) -> np.ndarray:
+    """The number of each of the data's 5-grams, in order."""
+    x = np.frombuffer(data, np.uint8).astype(np.uint64)
+    out = np.zeros(max(0, len(x) - GRAM + 1), np.uint64)
+    for i in range(GRAM):
+        out = out << np.uint64(8) | x[i : i + len(out)]
+    return out
 
 
-def _segments(data: bytes, chosen: set[bytes]) -> set[bytes]:
-    """The maximal runs of ``data`` that chosen 5-grams cover."""
-    out, start, end = set(), -1, 0
-    for i in range(len(data) - GRAM + 1):
-        if data[i : i + GRAM] in chosen:
-            if start < 0:
-                start = i
-            end = i + GRAM
-        elif 0 <= start and end <= i:
-            out.add(data[start:end])
-            start = -1
-    if start >= 0:
-        out.add(data[start:end])
-    return out
+def _counts(texts: list[bytes], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(5-grams, texts that hold each, occurrences of each, up to ``most`` a text)."""
+    each = [np.unique(_grams(t), return_counts=True) for t in texts]
+    grams, at = np.unique(np.concatenate([g for g, _ in each]), return_inverse=True)
+    return grams, np.bincount(at, minlength=len(grams)), np.bincount(at, np.concatenate([np.minimum(n, most) for _, n in each]), len(grams))
 
 
-def dictionary(own: list[bytes], other: list[bytes], size: int, ratio: float = 30.0, margin: float = 0.003) -> bytes:
-    """Segments of ``own`` made of 5-grams whose share of texts exceeds ``ratio`` times that among ``other``."""
-    mine, theirs = Counter(), Counter()
-    for counts, texts in ((mine, own), (theirs, other)):
-        for t in texts:
-            counts.update(_grams(t))
+def _segments(data: bytes, chosen: np.ndarray) -> set[bytes]:
+    """The maximal runs of ``data`` that chosen 5-grams cover."""
+    at = np.nonzero(np.isin(_grams(data), chosen))[0]
+    if not len(at):
+        return set()
+    cut = np.nonzero(np.diff(at) >= GRAM)[0]
+    return {data[a : b + GRAM] for a, b in zip(at[np.append(0, cut + 1)].tolist(), at[np.append(cut, len(at) - 1)].tolist(), strict=True)}
+
+
+def dictionary(own: list[bytes], other: list[bytes], size: int, ratio: float = 6.0, share: float = 0.03, most: int = 4) -> bytes:
+    """Segments of ``own`` made of 5-grams that more than this share of its texts hold, and whose occurrences (up to ``most`` a
+    text) are a part of all that exceeds ``ratio`` times that in ``other``."""
+    mine, held, often = _counts(own, most)
+    theirs, _, there = _counts(other, most)
+    at = np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)
+    rest = np.where(theirs[at] == mine, there[at], 0.0)
+    chosen = mine[(held >= 3) & (held > share * len(own)) & (often / often.sum() > ratio * (rest + 1) / there.sum())]
     whole = size + 512
-    chosen = {g for g, n in mine.items() if n >= 3 and n / len(own) - ratio * (theirs[g] + 1) / len(other) > margin}
     found = Counter()
     for t in own:
         found.update(_segments(t, chosen))
@@ -109,34 +125,53 @@ class Scorer:
     def __init__(self, model: Model):
         import zstandard as zs
 
-        self.model, self.squeeze = model, []
+        self.model, self.squeeze, self.levels = model, [], np.array(model.levels)
         for data in (model.ordinary, model.toxic) if model.weights else ():
             how = {"window_log": 15, "hash_log": 14, "chain_log": 14, "search_log": 8, "min_match": GRAM, "target_length": 64, "strategy": zs.STRATEGY_LAZY2, "write_content_size": False, "write_dict_id": False, "write_checksum": False}
             known = zs.ZstdCompressionDict(data, dict_type=zs.DICT_TYPE_RAWCONTENT)
             known.precompute_compress(compression_params=zs.ZstdCompressionParameters(**how))
             self.squeeze.append(zs.ZstdCompressor(dict_data=known, compression_params=zs.ZstdCompressionParameters(**how)))
 
-    def gains(self, text: str | None, chunk: int = 4096) -> list[int]:
-        """The text's largest gains, falling, padded with zeros."""
-        data, top = plain(text), [0] * TOP
+    def gains(self, text: str | None, chunk: int = 4096) -> np.ndarray:
+        """How many windows of the text have each gain from -MOST_GAIN to MOST_GAIN, larger ones counted at the ends."""
+        data, found = plain(text), np.zeros(2 * MOST_GAIN + 1, np.int64)
         if len(data) <= 2:
-            return top
+            return found
         for at in range(0, len(data), chunk * WINDOW):
             windows = [MARK + data[i : i + WINDOW + OVERLAP] for i in range(at, min(len(data), at + chunk * WINDOW), WINDOW)]
-            sizes = [map(len, c.multi_compress_to_buffer(windows, threads=1)) for c in self.squeeze]
-            top = sorted([*top, *(a - b for a, b in zip(*sizes, strict=True))])[-TOP:]
-        return top[::-1]
+            ordinary, toxic = (np.fromiter(map(len, c.multi_compress_to_buffer(windows, threads=1)), np.int64, len(windows)) for c in self.squeeze)
+            found += np.bincount(np.clip(ordinary - toxic, -MOST_GAIN, MOST_GAIN) + MOST_GAIN, minlength=len(found))
+        return found
+
+    def features(self, gains: np.ndarray) -> tuple[float, float, float]:
+        if not gains.any():
+            return 0.0, 0.0, 0.0
+        total = float(gains @ self.levels)
+        return float(np.clip(total, -MOST_SUM, MOST_SUM)), float(self.levels[gains > 0].max()), 10 * total / float(gains.sum())
 
     def score(self, text: str | None) -> float:
         m = self.model
         if not m.weights:
             return m.bias
-        z = m.bias + sum(w * g for w, g in zip(m.weights, self.gains(text), strict=True))
+        z = m.bias + sum(w * x for w, x in zip(m.weights, self.features(self.gains(text)), strict=True))
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
+def _levels(toxic: np.ndarray, ordinary: np.ndarray) -> tuple[float, ...]:
+    """Log likelihood ratios of gains from the windows counted, neighbours pooled where they would fall."""
+    one, two = toxic + 1.0, ordinary + 1.0
+    ratio = np.log(one / one.sum()) - np.log(two / two.sum())
+    pools: list[list[float]] = []
+    for x, n in zip(ratio.tolist(), (one + two).tolist(), strict=True):
+        pools.append([x, n, 1])
+        while len(pools) > 1 and pools[-2][0] > pools[-1][0]:
+            (x2, n2, k2), (x1, n1, k1) = pools.pop(), pools.pop()
+            pools.append([(x1 * n1 + x2 * n2) / (n1 + n2), n1 + n2, k1 + k2])
+    return tuple(x for x, _, k in pools for _ in range(int(k)))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[tuple[float, ...], float]:
-    """Weights and bias of a ridge logistic regression, by Newton steps; gains never count against toxicity."""
+    """Weights and bias of a ridge logistic regression, by Newton steps; likelihoods never count against toxicity."""
     x = np.hstack([x, np.ones((len(x), 1))])
     beta, free = np.zeros(x.shape[1]), np.ones(x.shape[1], bool)
     for _ in range(200):
@@ -158,13 +193,15 @@ def fit(rows: list[tuple[str | None, int]], bounds: Bounds = Bounds()) -> Model:
     """A model from (text, label) rows, in their order."""
     sides = [[t for t, y in rows if y == label] for label in (0, 1)]
     if min(map(len, sides)) < 3:
-        return Model(b"", b"", (), len(sides[1]) / len(rows) if rows else 0.0)
+        return Model(b"", b"", (), (), len(sides[1]) / len(rows) if rows else 0.0)
     learn = [[plain(t) for i, t in enumerate(s) if i % 3] for s in sides]
-    model = Model(dictionary(learn[1], learn[0], bounds.dictionary), dictionary(learn[0], learn[1], bounds.dictionary), (0.0,) * TOP, 0.0)
+    model = Model(dictionary(learn[1], learn[0], bounds.dictionary), dictionary(learn[0], learn[1], bounds.dictionary), (), (0.0,), 0.0)
     scorer = Scorer(model)
-    rest = [(scorer.gains(t), y) for y, s in enumerate(sides) for i, t in enumerate(s) if i % 3 == 0]
-    weights, bias = _logistic(np.array([g for g, _ in rest], float), np.array([y for _, y in rest], float))
-    return Model(model.toxic, model.ordinary, weights, bias)
+    rest = [[scorer.gains(t) for i, t in enumerate(s) if i % 3 == 0] for s in sides]
+    levels = _levels(sum(rest[1]), sum(rest[0]))
+    scorer = Scorer(Model(model.toxic, model.ordinary, levels, (0.0,), 0.0))
+    x, y = [scorer.features(g) for side in rest for g in side], [float(k) for k, side in enumerate(rest) for _ in side]
+    return Model(model.toxic, model.ordinary, levels, *_logistic(np.array(x), np.array(y)))
 
 
 def fold(doc_id: Column) -> Column:
@@ -181,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> Mode
     # At most bounds.toxic + bounds.ordinary ids are broadcast, and as many texts of bounded length come to the driver.
     taken = docs.filter(F.octet_length(F.coalesce("text", F.lit(""))) <= bounds.bytes_each).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     taken = taken.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    rows = sorted(taken.collect(), key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["doc_id"]))
+    rows = sorted(taken.collect(), key=lambda r: (crc32(str(r["doc_id"]).encode()), r["doc_id"]))
     return fit([(r["text"], r["toxic"]) for r in rows], bounds)
 
 

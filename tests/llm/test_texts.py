@@ -508,8 +508,38 @@ def test_toxicity(spark, odd, none):
     scored = toxicity.score(odd, model)
     assert scored.count() == odd.count() and scored.filter("score IS NULL").count() == 0
     assert toxicity.keep_clean(odd, model).columns == odd.columns and toxicity.score(none, model).count() == 0
+    assert {r["score"] for r in scored.filter("doc_id IN (43, 44, 45)").collect()} == {scored.filter("doc_id = 43").first()["score"]}
     empty = toxicity.train(docs, labels.filter("doc_id < 0"))
     assert toxicity.score(docs.limit(1), empty).first()["score"] == 0.0
+    one = toxicity.train(docs, labels.filter("toxic = 1"))
+    assert toxicity.score(docs.limit(1), one).first()["score"] == 1.0
+    # Labels that repeat, contradict each other or are null; ids as strings.
+    more = labels.unionByName(labels.filter("toxic = 1").withColumn("toxic", F.lit(0))).unionByName(labels).unionByName(labels.withColumn("toxic", F.lit(None).cast("int")))
+    named = lambda df: df.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    assert toxicity.train(docs, more) == model
+    strings = toxicity.train(named(docs), named(labels))
+    assert strings.weights and toxicity.score(named(docs), strings).schema["doc_id"].dataType.simpleString() == "string"
+
+
+def test_toxic_segments():
+    data = b" a stupid idea of an idiot "
+    chosen = np.unique(np.concatenate([toxicity._grams(b" stupid "), toxicity._grams(b" idiot ")]))
+    assert toxicity._segments(data, chosen) == {b" stupid ", b" idiot "} and toxicity._segments(b"abc", chosen) == set()
+    assert toxicity._levels(np.array([0, 4, 2, 9]), np.array([50, 3, 9, 0])) == tuple(sorted(toxicity._levels(np.array([0, 4, 2, 9]), np.array([50, 3, 9, 0]))))
+
+
+def test_toxicity_of_tables(spark):
+    """Held-out labels of a table with toxic word stems in four languages."""
+    import os
+
+    d = os.environ.get("QUERENT_TOXIC_DIR", "/root/testdata/sf0.1")
+    if not os.path.exists(f"{d}/labels.parquet"):
+        pytest.skip("no such tables")
+    labels = spark.read.parquet(f"{d}/labels.parquet").filter("toxic IS NOT NULL").select("doc_id", "toxic")
+    docs = spark.read.parquet(f"{d}/documents.parquet").join(labels.select("doc_id").distinct(), "doc_id", "left_semi").repartition(8)
+    got = toxicity.score(docs, toxicity.train(docs, labels)).join(labels, "doc_id").filter("held_out").groupBy("toxic", "predicted").count().collect()
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in got}
+    assert n[1, 1] >= 0.8 * (n[1, 1] + n.get((1, 0), 0)) and n[1, 1] >= 0.95 * (n[1, 1] + n.get((0, 1), 0))
 
 
 # Pipeline --------------------------------------------------------------------------------------------------
