@@ -1,22 +1,24 @@
 """Substring dedup by MinHash banding of paragraphs.
 
-Paragraphs are cut where the content says so: before a word whose pair with its predecessor has the smallest hash
-among the pairs within ``RADIUS`` words. So a passage is cut alike wherever it stands, also inside other text, and
-one of more than 50 words mostly holds whole paragraphs (7 to about 30 words): of 4,000 random passages 12 of 51 words
-held none, and none of 60. Words that repeat with a period of up to ``RADIUS`` tie; only their first and last tie cut, so a run
-of them is one paragraph. Pieces at the edges of a text are cut on one side only and count from 14 words; shorter ones
-aren't joined to their neighbour, which would then differ from the same piece inside other text. A text of 14
-words or more that keeps no piece is a paragraph as a whole.
-
-Equal paragraphs form a class (a 64-bit hash of the words). Classes are joined by MinHash: three hash functions
-over five-word shingles, one to a band, so that paragraphs of Jaccard similarity 0.8 share a band with probability
-1 - 0.2**3 = 0.992. In a band's list of classes every class is paired with the smallest, the largest and the next
-one, which costs three pairs a class and not squares. Pairs are verified by the exact Jaccard similarity of
-their shingles, classes joined by the verified links form components, and components that span several documents
-are reported: all their paragraphs but the first are removals.
-
-Edge cases: null and empty texts have no paragraphs; texts of fewer than 14 words are not looked at; repeats inside
-one document only aren't reported; rows with equal ids count as one document, a null id as a document of its own; in a
+A text has paragraphs of two levels. Fine ones are pieces of lines: lines are cut where the content says so, before a word
+whose pair with its predecessor has the smallest hash among the pairs within ``RADIUS`` words. So a passage is cut alike
+wherever it stands, also inside other text, and one of more than 50 words mostly holds whole pieces (7 to about 30 words).
+Pieces at the ends of a line are cut on one side only and count from 14 words; a line of 5 words or more that keeps no piece
+is a piece as a whole. Coarse paragraphs are cut in the same way within ``WIDE`` words, over line breaks, and cover the whole
+text, about 80 words each: long enough that a changed word or two leave a Jaccard similarity of 0.8. Every word is in one
+of them, and a short text is one as a whole. Words that repeat with a period tie; only their first and last tie cut,
+so a run of them is one paragraph.
+
+Equal paragraphs form a class (a 64-bit hash of the words). MinHash signatures of five-word shingles are banded: 3 bands of 2
+hashes for fine, 5 bands of 3 for coarse paragraphs, which two paragraphs of Jaccard similarity 0.8 share with a
+probability of 0.953 and 0.972 (README has the recall measured). All classes that share a band are compared, by the exact
+Jaccard similarity of their shingles: in lists of up to ``SMALL`` classes as pairs, in longer ones block by block, where
+a pair of blocks returns a spanning forest of its links and never all pairs. Linked classes form components, and components
+that span several documents are reported: all their paragraphs but the first are removals.
+
+Edge cases: null and empty texts have no paragraphs; fewer words than a shingle are one shingle; pieces of lines
+below the sizes above are in coarse paragraphs only; repeats inside one document only aren't reported, unless ``within``
+is given; rows with equal ids count as one document, a null id as a document of its own; ids have to be integers; in a
 tie the smallest id and position stay; an empty table gives no rows; further columns are ignored.
 """
 
@@ -30,11 +32,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querent.operators.components import components
+from querent.operators.components import components, roots
 from querent.runtime import bounded_batches, materialize, table
 
 RADIUS, INNER, EDGE = 6, 7, 14
-SHINGLE, JACCARD, BANDS = 5, 0.8, 3
+WIDE = 40
+SHINGLE, JACCARD = 5, 0.8
+#: (bands, hashes of a band) of fine and of coarse paragraphs.
+BANDING = ((3, 2), (5, 3))
+#: Lists of more classes than SMALL are compared in blocks of about BLOCK.
+SMALL, BLOCK = 8, 256
+#: Classes that a task remembers, so as to post one that repeats once.
+REMEMBERED = 1 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _MOST = np.uint64(2**64 - 1)
 
@@ -56,49 +65,74 @@ class _Words(dict):
         return found
 
 
-#: Stands between texts; no word of UTF-8. So many that no window reaches from one text into the next.
-_GAP = b"\xff"
-_BETWEEN = b" " + b" ".join([_GAP] * (RADIUS + 1)) + b" "
+#: Stand for line breaks and between texts; no words of UTF-8.
+_LINE, _TEXT = b"\xff", b"\xfe"
+
+
+def _window_min(x: np.ndarray, segment: np.ndarray, length: int) -> np.ndarray:
+    """The minimum of each element and the length - 1 after it, as far as they are in its segment."""
+    out, width = x, 1
+    while width < length:
+        step = min(width, length - width)
+        further = out.copy()
+        same = segment[step:] == segment[:-step]
+        further[:-step][same] = np.minimum(out[:-step][same], out[step:][same])
+        out, width = further, width + step
+    return out
+
+
+def _pieces(h: np.ndarray, segment: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first, behind) of the pieces that the content cuts; the last two bound each piece's segment."""
+    head = np.ones(len(h), bool)
+    head[1:] = segment[1:] != segment[:-1]
+    pair = np.full(len(h), _MOST)
+    pair[1:] = np.where(head[1:], _MOST, _mixed(h[1:] * _A + h[:-1]))
+    before = _window_min(pair[::-1].copy(), segment[::-1], radius + 1)[::-1]
+    least = np.minimum(before, _window_min(pair, segment, radius + 1))
+    ties = np.nonzero((pair == least) & (pair != _MOST))[0]
+    # Ties within the radius are a chain, as in words that repeat; its first one cuts, and its last one if far enough.
+    chain = np.ones(len(ties), bool)
+    chain[1:] = (np.diff(ties) > radius) | (segment[ties[1:]] != segment[ties[:-1]])
+    start, last = ties[chain], ties[np.append(chain[1:], True)] if len(ties) else ties
+    head[start] = head[last[last - start >= INNER]] = True
+    starts = np.nonzero(head)[0]
+    ends = np.append(starts[1:], len(h))
+    opens = np.nonzero(np.append(True, segment[1:] != segment[:-1]))[0] if len(h) else starts
+    own = np.searchsorted(opens, starts, side="right") - 1
+    return starts, ends, opens[own], np.append(opens[1:], len(h))[own]
 
 
 class Cut:
-    """The paragraphs of some texts: word hashes h of all, and for each paragraph start and end in h, text, number."""
+    """The paragraphs of some texts: word hashes h of all, and for each paragraph start and end in h, text, number, level."""
 
     def __init__(self, texts: list[str | None], known: dict):
-        words = (_BETWEEN + _BETWEEN.join([(t or "").encode().lower() for t in texts]) + _BETWEEN).split()
-        h = self.h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        real = h != np.uint64(known[_GAP])
-        first, behind = np.nonzero(real[1:] & ~real[:-1])[0] + 1, np.nonzero(real[:-1] & ~real[1:])[0] + 1
-        pair = np.full(len(h), _MOST)
-        pair[1:] = np.where(real[1:] & real[:-1], _mixed(h[1:] * _A + h[:-1]), _MOST)
-        least = pair.copy()
-        for d in range(1, RADIUS + 1):
-            np.minimum(least[d:], pair[:-d], out=least[d:])
-            np.minimum(least[:-d], pair[d:], out=least[:-d])
-        ties = np.nonzero((pair == least) & (pair != _MOST))[0]
-        # Ties within the radius are a chain, as in words that repeat; its first one opens a paragraph, and its last one if far enough.
-        head = np.diff(ties, prepend=-RADIUS - 1) > RADIUS
-        last, start = ties[np.append(head[1:], True)] if len(ties) else ties, ties[head]
-        opens = np.zeros(len(h), bool)
-        opens[start] = opens[last[last - start >= INNER]] = opens[first] = True
-        self.starts = np.nonzero(opens)[0]
-        own = np.searchsorted(first, self.starts, side="right") - 1
-        end = behind[own] if len(own) else own
-        self.ends = np.minimum(np.append(self.starts[1:], len(h)), end)
-        least_words = np.where((self.starts == first[own]) | (self.ends == end), EDGE, INNER) if len(own) else own
-        # Texts without words have no run of their own; which text a run is from is told by the gaps before it.
-        gaps = np.cumsum(~real)[self.starts] // (RADIUS + 1) - 1
-        self.text, self.offset = gaps, first[own] if len(own) else own
-        number = np.arange(len(self.starts)) - np.searchsorted(self.starts, self.offset)
-        keep = self.ends - self.starts >= least_words
-        # A text that keeps no piece is a paragraph as a whole.
-        if len(own):
-            kept = np.bincount(own[keep], minlength=len(first)) > 0
-            whole = (number == 0) & ~kept[own] & (end - self.starts >= EDGE)
-            self.ends = np.where(whole, end, self.ends)
-            keep |= whole
-        for name, v in (("starts", self.starts), ("ends", self.ends), ("text", self.text), ("offset", self.offset), ("number", number)):
-            setattr(self, name, v[keep])
+        words = (b" " + _TEXT + b" ").join([(t or "").encode().lower().replace(b"\n", b" " + _LINE + b" ") for t in texts]).split()
+        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        line, text = h == np.uint64(known[_LINE]), h == np.uint64(known[_TEXT])
+        real = ~(line | text)
+        h, lines, texts_ = h[real], np.cumsum(line | text)[real], np.cumsum(text)[real]
+        self.h = h
+        a, b, first, behind = _pieces(h, lines, RADIUS)
+        keep = b - a >= np.where((a == first) | (b == behind), EDGE, INNER)
+        # A line that keeps no piece is one as a whole.
+        some = np.zeros(len(h) + 1, bool)
+        some[first[keep]] = True
+        whole = (a == first) & ~some[first] & (behind - first >= SHINGLE)
+        b, keep = np.where(whole, behind, b), keep | whole
+        fine = np.stack([a[keep], b[keep]])
+        a, b, first, behind = _pieces(h, texts_, WIDE)
+        # A rest that is shorter than a shingle stays with its neighbour.
+        inside = (a == first) | ((a - first >= SHINGLE) & (behind - a >= SHINGLE))
+        a, behind = a[inside], behind[inside]
+        coarse = np.stack([a, np.minimum(np.append(a[1:], len(h)), behind)])
+        coarse = coarse[:, ~np.isin(coarse[0] * (len(h) + 1) + coarse[1], fine[0] * (len(h) + 1) + fine[1])]
+        level = np.repeat([0, 1], [fine.shape[1], coarse.shape[1]])
+        spans = np.concatenate([fine, coarse], axis=1)
+        order = np.lexsort((spans[0], level, texts_[spans[0]]))
+        self.starts, self.ends, self.level = spans[0][order], spans[1][order], level[order]
+        self.text = texts_[self.starts]
+        self.offset = np.searchsorted(texts_, self.text)  # of the text's first word
+        self.number = np.arange(len(order)) - np.searchsorted(self.text, self.text)
 
     def classes(self) -> np.ndarray:
         """A hash of each paragraph's words, as int64: a polynomial in an odd number, from running sums."""
@@ -108,20 +142,33 @@ class Cut:
         value = up[self.ends] * (sums[self.ends] - sums[self.starts])
         return _mixed(_mixed(value) + (self.ends - self.starts).astype(np.uint64)).view(np.int64)
 
-    def shingles(self) -> np.ndarray:
-        """A hash of the SHINGLE words from every word on; for the last ones of a text and for gaps it is of no use."""
-        s, n = self.h.copy(), len(self.h)
+    def shingles(self) -> tuple[np.ndarray, np.ndarray]:
+        """A hash of the SHINGLE words from every word on, and behind which one each paragraph's end."""
+        n = len(self.h)
+        padded = np.append(self.h, np.zeros(SHINGLE, np.uint64))
+        s = self.h.copy()
         for k in range(1, SHINGLE):
-            s[: n - k] = s[: n - k] * _A + self.h[k:]
-        return _mixed(s)
-
-    def bands(self) -> np.ndarray:
-        """(BANDS, paragraphs) keys: the smallest hash of each paragraph's shingles under each hash function."""
-        if not len(self.starts):
-            return np.zeros((BANDS, 0), np.int64)
-        s, at = self.shingles(), np.stack([self.starts, self.ends - SHINGLE + 1], 1).ravel()
-        seeds = np.arange(1, BANDS + 1, dtype=np.uint64) * _A
-        return np.stack([_mixed(np.minimum.reduceat(_mixed(s ^ seed), at)[::2] ^ seed) for seed in seeds]).view(np.int64)
+            s = s * _A + padded[k : k + n]
+        short = self.ends - self.starts < SHINGLE
+        s[self.starts[short]] = self.classes()[short].view(np.uint64)
+        return _mixed(s), np.maximum(self.ends - SHINGLE + 1, self.starts + 1)
+
+    def bands(self) -> list[np.ndarray]:
+        """For each paragraph the keys of its bands: hashes of some of its shingles' smallest hashes."""
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(self.starts)
+        s, behind = self.shingles()
+        s = np.append(s, _MOST)  # so that an end may be the last
+        for level, (count, rows) in enumerate(BANDING):
+            own = np.nonzero(self.level == level)[0]
+            if not len(own):
+                continue
+            at, keys = np.stack([self.starts[own], behind[own]], 1).ravel(), np.zeros((count, len(own)), np.uint64)
+            for k in range(count * rows):
+                seed = np.uint64(k + 1 + 100 * level) * _A
+                keys[k // rows] = _mixed(keys[k // rows] * _A + np.minimum.reduceat(_mixed(s ^ seed), at)[::2] + seed)
+            for i, row in zip(own.tolist(), keys.T.copy().view(np.int64), strict=True):
+                out[i] = row
+        return out
 
 
 def _slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, Cut]]:
@@ -136,59 +183,50 @@ def _slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 2 << 20)
                 yield part, Cut(part.column(column).to_pylist(), known)
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """class, doc_id, paragraph, start, end (word offsets, end exclusive) of every paragraph."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, c in _slices(batches, 1):
-            columns = [pa.array(c.classes()), part.column(0).take(pa.array(c.text)), *(pa.array(v.astype(np.int32)) for v in (c.number, c.starts - c.offset, c.ends - c.offset))]
-            yield pa.record_batch(columns, names=["class", "doc_id", "paragraph", "start", "end"])
-
-    return bounded_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "class long, doc_id long, paragraph int, start int, end int")
+UNITS = "class long, doc_id long, paragraph int, level int, start int, end int, bands array<long>"
 
 
-def band_rows(docs: DataFrame) -> DataFrame:
-    """(band, class) of every paragraph; repeats that one task comes across shortly after each other are left out."""
+def units(docs: DataFrame) -> DataFrame:
+    """class, doc_id, paragraph, level, start, end (word offsets, end exclusive) of every paragraph, and its bands; these are
+    left out where the task has lately given them for an equal one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent: np.ndarray = np.zeros(0, np.uint64)  # of pairs that came twice in one slice; bounded
-        for _, c in _slices(batches, 0):
-            band, kind = c.bands().ravel(), np.tile(c.classes(), BANDS)
-            both = _mixed(band.view(np.uint64) * _A ^ kind.view(np.uint64))
-            seen, at, times = np.unique(both, return_index=True, return_counts=True)
-            at = at[~np.isin(seen, frequent)]
-            twice = seen[times > 1]
-            frequent = np.unique(np.concatenate([frequent, twice])) if len(frequent) < 1 << 17 else twice
-            yield pa.record_batch([pa.array(band[at]), pa.array(kind[at])], names=["band", "class"])
-
-    return bounded_batches(docs.select("text")).mapInArrow(run, "band long, class long")
-
-
-def listed_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs from rows (band, class) sorted by both: each class with the first, the next and the last of its list."""
-    band, first, last = None, None, None
+        seen: set[int] = set()
+        for part, c in _slices(batches, 1):
+            kinds, bands = c.classes(), c.bands()
+            for i, kind in enumerate(kinds.tolist()):
+                if kind in seen:
+                    bands[i] = None
+                else:
+                    seen.add(kind)
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            columns = [pa.array(kinds), part.column(0).take(pa.array(c.text)), *(pa.array(v.astype(np.int32)) for v in (c.number, c.level, c.starts - c.offset, c.ends - c.offset))]
+            yield pa.record_batch([*columns, pa.array(bands, pa.list_(pa.int64()))], names=["class", "doc_id", "paragraph", "level", "start", "end", "bands"])
+
+    return bounded_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, UNITS)
+
+
+def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (band, class) sorted by both, each once, those whose band has several classes."""
+    band = kind = None
+    told = False
     for batch in batches:
         b, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if band is not None:  # carry the open list's first and latest class over
-            b, c = np.concatenate([[band, band], b]), np.concatenate([[first, last], c])
-        new = np.ones(len(b), bool)
-        new[1:] = (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+        if band is not None:  # carry the open list's latest class over
+            b, c = np.append(band, b), np.append(kind, c)
+        if not len(b):
+            continue
+        new = np.append(True, (b[1:] != b[:-1]) | (c[1:] != c[:-1]))
         b, c = b[new], c[new]
-        head = np.ones(len(b), bool)
-        head[1:] = b[1:] != b[:-1]
-        start = np.maximum.accumulate(np.where(head, np.arange(len(b)), 0))
-        end = np.append(np.nonzero(head)[0][1:], len(b))[np.cumsum(head) - 1] - 1
-        pairs = [np.stack([c[~head], c[start[~head]]]), np.stack([c[1:], c[:-1]])[:, ~head[1:]], np.stack([c, c[end]])[:, start != end]]
-        p = np.unique(np.sort(np.concatenate(pairs, axis=1), axis=0), axis=1)
-        p = p[:, p[0] != p[1]]
-        band, first, last = b[-1], c[start[-1]], c[-1]
-        yield pa.record_batch([pa.array(p[0]), pa.array(p[1])], names=["a", "b"])
-
-
-def candidates(docs: DataFrame, partitions: int) -> DataFrame:
-    """(a, b): pairs of different classes that share a band."""
-    rows = band_rows(docs).repartition(partitions, "band").sortWithinPartitions("band", "class")
-    return rows.mapInArrow(listed_pairs, "a long, b long").distinct()
+        left = np.append(False, b[1:] == b[:-1])
+        many = left | np.append(left[1:], False)
+        if band is not None:
+            many[0] &= not told
+            told = told and bool(left.all())
+        told = told or bool(left[-1])
+        band, kind = b[-1], c[-1]
+        yield pa.record_batch([pa.array(b[many]), pa.array(c[many])], names=["band", "class"])
 
 
 def class_shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -198,38 +236,90 @@ def class_shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for part, c in _slices(batches, 1):
             asked = {(i, p) for i, ps in enumerate(part.column(2).to_pylist()) for p in ps}
             pick = [k for k, at in enumerate(zip(c.text.tolist(), c.number.tolist(), strict=True)) if at in asked]
-            s, starts, ends = c.shingles().view(np.int64), c.starts, c.ends - SHINGLE + 1
-            grams = [np.unique(s[starts[k] : ends[k]]) for k in pick]
+            s, ends = c.shingles()
+            grams = [np.unique(s[c.starts[k] : ends[k]]).view(np.int64) for k in pick]
             yield pa.record_batch([pa.array(c.classes()[pick]), pa.array(grams, pa.list_(pa.int64()))], names=["class", "grams"])
 
     with_text = docs.select(F.col("doc_id").cast("long"), "text").alias("d").join(wanted.alias("w"), F.expr("d.doc_id <=> w.doc_id"))
     return with_text.select("d.doc_id", "d.text", "w.paragraphs").mapInArrow(run, "class long, grams array<long>").dropDuplicates(["class"])
 
 
-def duplicates(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
-    """doc_id, paragraph, start, end, n_words, component_id (the smallest doc_id that shares it), kept, for every
-    paragraph that repeats, equal or with this Jaccard similarity or more, across documents."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _links(x: list[np.ndarray], y: list[np.ndarray], jaccard: float) -> np.ndarray:
+    """Which of the sets x and y have this Jaccard similarity, as a matrix."""
+    grams, at, times = np.unique(np.concatenate([*x, *y]), return_inverse=True, return_counts=True)
+    rank = np.cumsum(times > 1) - 1  # of those that several sets hold
+    row = np.repeat(np.arange(len(x) + len(y)), [len(v) for v in (*x, *y)])
+    some = times[at] > 1
+    held = np.zeros((len(x) + len(y), max(1, int(rank[-1]) + 1) if len(rank) else 1), np.float32)
+    held[row[some], rank[at[some]]] = 1
+    common = (held[: len(x)] @ held[len(x) :].T).astype(np.float64)
+    sizes = np.array([len(v) for v in (*x, *y)], np.float64)
+    return common >= jaccard * (sizes[: len(x), None] + sizes[None, len(x) :] - common)
+
+
+def _packed(rows: pa.Table) -> pa.Table:
+    """One row of a block: its classes, the sizes of their sets, and the sets."""
+    grams = rows.column("grams").combine_chunks()
+    sizes = pc.list_value_length(grams).to_numpy(zero_copy_only=False).astype("<i8")
+    own = [rows.column("class").to_numpy().astype("<i8").tobytes(), sizes.tobytes(), grams.flatten().to_numpy().astype("<i8").tobytes()]
+    return pa.table([rows.column(c).slice(0, 1) for c in ("band", "block", "blocks")] + [pa.array([v], pa.binary()) for v in own], names=["band", "block", "blocks", "classes", "sizes", "grams"])
+
+
+def block_links(members: DataFrame, grams: DataFrame, sizes: DataFrame, jaccard: float) -> DataFrame:
+    """(a, b): a spanning forest of the links inside each pair of blocks of the lists in ``sizes`` (band, n)."""
+    dealt = members.join(sizes, "band").withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("class", "band"), F.col("blocks")).cast("int"))
+    blocks = dealt.join(grams, "class").select("band", "block", "blocks", "class", "grams").groupBy("band", "block")
+    form = "band long, block int, blocks int, classes binary, sizes binary, grams binary"
+    blocks = materialize(blocks.applyInArrow(_packed, form), "blocks")
+
+    def opened(kinds: bytes, sizes_: bytes, sets: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+        return np.frombuffer(kinds, "<i8"), np.split(np.frombuffer(sets, "<i8"), np.cumsum(np.frombuffer(sizes_, "<i8"))[:-1])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                (a, x), (b, y) = opened(row["classes"], row["sizes"], row["grams"]), opened(row["classes_"], row["sizes_"], row["grams_"])
+                i, j = np.nonzero(_links(x, y, jaccard))
+                keep = a[i] != b[j]
+                nodes, low = roots(a[i[keep]], b[j[keep]])
+                yield pa.record_batch([pa.array(nodes[nodes != low]), pa.array(low[nodes != low])], names=["a", "b"])
+
+    other = blocks.select(F.col("band").alias("band_"), F.col("block").alias("to"), *[F.col(c).alias(f"{c}_") for c in ("classes", "sizes", "grams")])
+    pairs = blocks.select("*", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("to_")).join(other, (F.col("band") == F.col("band_")) & (F.col("to") == F.col("to_")))
+    return pairs.select("classes", "sizes", "grams", "classes_", "sizes_", "grams_").mapInArrow(work, "a long, b long")
+
+
+def duplicates(docs: DataFrame, jaccard: float = JACCARD, within: bool = False) -> DataFrame:
+    """doc_id, paragraph, level, start, end, n_words, component_id (the smallest doc_id that shares it), kept, for every
+    paragraph that repeats, equal or with this Jaccard similarity or more, across documents, or ``within`` one as well."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = materialize(units(docs), "units")
-    pairs = materialize(candidates(docs, parts), "pairs")
-    near = materialize(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "near")
+    posted = found.filter("bands IS NOT NULL").select(F.explode("bands").alias("band"), "class")
+    lists = posted.repartition(parts, "band").sortWithinPartitions("band", "class")
+    members = materialize(lists.mapInArrow(shared, "band long, class long"), "members")
+    sizes = materialize(members.groupBy("band").agg(F.count("*").alias("n")), "lists")
+    near = materialize(members.select("class").distinct(), "near")
     each = found.groupBy("class").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "paragraph")).alias("at"), F.max("doc_id").alias("high"))
     each = each.join(near.withColumn("near", F.lit(True)), "class", "left").filter("n > 1 OR near")
     each = materialize(each.select("class", "n", "at", "high", F.coalesce("near", F.lit(False)).alias("near")), "classes")
     wanted = materialize(each.filter("near").groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.sort_array(F.collect_set("at.paragraph")).alias("paragraphs")), "wanted")
     grams = materialize(class_shingles(docs, wanted), "grams")
+    few = members.join(sizes.filter(F.col("n") <= SMALL), "band")
+    pairs = few.select("band", F.col("class").alias("a")).join(few.select("band", F.col("class").alias("b")), "band").filter("a < b").select("a", "b").distinct()
     one, two = grams.select(F.col("class").alias("a"), F.col("grams").alias("x")), grams.select(F.col("class").alias("b"), F.col("grams").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
-    similar = pairs.join(one, "a").join(two, "b").filter(common >= F.lit(jaccard) * (F.size("x") + F.size("y") - common)).select("a", "b")
-    group = components(similar).select(F.col("node").alias("class"), "component")
+    similar = materialize(pairs, "pairs").join(one, "a").join(two, "b").filter(common >= F.lit(jaccard) * (F.size("x") + F.size("y") - common)).select("a", "b")
+    large = materialize(block_links(members, grams, sizes.filter(F.col("n") > SMALL), jaccard), "links")
+    group = components(similar.unionByName(large)).select(F.col("node").alias("class"), "component")
     named = each.join(group, "class", "left").withColumn("component", F.coalesce("component", "class"))
     named = materialize(named, "named")
     whole = named.groupBy("component").agg(F.min("at").alias("first"), F.max("high").alias("high"), F.sum("n").alias("n"))
-    whole = materialize(whole.filter("n > 1 AND first.doc_id <> high OR first.doc_id IS NULL AND high IS NOT NULL"), "whole")
+    across = "" if within else " AND (first.doc_id <> high OR first.doc_id IS NULL AND high IS NOT NULL)"
+    whole = materialize(whole.filter("n > 1" + across), "whole")
     of = materialize(named.join(whole.select("component", "first"), "component").select("class", "first"), "of")
     first = F.struct("doc_id", "paragraph") == F.col("first")
-    return found.join(of, "class").select("doc_id", "paragraph", "start", "end", (F.col("end") - F.col("start")).alias("n_words"), F.col("first.doc_id").alias("component_id"), first.alias("kept"))
+    return found.join(of, "class").select("doc_id", "paragraph", "level", "start", "end", (F.col("end") - F.col("start")).alias("n_words"), F.col("first.doc_id").alias("component_id"), first.alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -321,45 +321,147 @@ def test_paragraphs(spark, odd, none):
     rows = [(i, prose(rng, 90)) for i in range(20)]
     rows += [(20 + i, f"{prose(rng, 40 + i)} {passage} {prose(rng, 30 + i)}") for i in range(4)]
     rows += [(30, near), (31, "x " + near), (32, passage + " " + passage), (33, None), (None, prose(rng, 80))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rows += [(40, "two words"), (41, "Two  WORDS"), (42, f"{prose(rng, 30)}\na short line that is repeated\n{prose(rng, 60)}"), (43, f"{prose(rng, 50)}\na short line that is repeated\n{prose(rng, 20)}")]
+    rows += [(50, "within one text only a line\n" * 3 + prose(rng, 100)), (None, rows[3][1])]
+    docs = spark.createDataFrame([(*r, 1, 2, "c") for r in rows], "doc_id long, text string, level int, number int, class string")
     found = paragraphs.duplicates(docs).collect()
-    assert {r["doc_id"] for r in found} == {20, 21, 22, 23, 30, 31, 32}
+    assert {r["doc_id"] for r in found} == {3, None, 20, 21, 22, 23, 30, 31, 32, 40, 41, 42, 43}
     words = {i: (t or "").lower().split() for i, t in rows}
     by = defaultdict(set)
     for r in found:
-        assert words[r["doc_id"]][r["start"] : r["end"]] and r["n_words"] == r["end"] - r["start"]
-        by[" ".join(words[r["doc_id"]][r["start"] : r["end"]])].add(r["doc_id"])
-    assert all(len(v) > 1 for v in by.values())
+        if r["doc_id"] is not None and not r["level"]:
+            assert words[r["doc_id"]][r["start"] : r["end"]] and r["n_words"] == r["end"] - r["start"]
+            by[" ".join(words[r["doc_id"]][r["start"] : r["end"]])].add(r["doc_id"])
+    assert all(len(v) > 1 for k, v in by.items() if not set(words[3]) >= set(k.split())) and by["a short line that is repeated"] == {42, 43}
     for r in found:
-        assert r["kept"] == (r["component_id"] == r["doc_id"] and r["doc_id"] in (20, 30)) or r["doc_id"] in (20, 32)
+        if not r["level"] and r["doc_id"] is not None and r["doc_id"] >= 20:
+            assert r["kept"] == (r["component_id"] == r["doc_id"]) or r["doc_id"] in (20, 32)
+    assert 50 in {r["doc_id"] for r in paragraphs.duplicates(docs, within=True).collect()}
     assert paragraphs.duplicates(none).count() == 0 and paragraphs.duplicates(odd).count() > 0
 
 
-def test_paragraph_jaccard(spark):
-    """Units that differ at one end are linked if their shingles' similarity is 0.8 or more."""
+def test_paragraph_cuts():
+    """Cuts, classes and bands don't depend on company; coarse paragraphs cover every word once."""
     known = paragraphs._Words()
     rng = random.Random(6)
-    texts = [prose(rng, 400) for _ in range(3)]
+    texts = [prose(rng, 400), None, prose(rng, 3), "", prose(rng, 90) + "\n" + prose(rng, 200), "\n \n", "one", prose(rng, 700)]
     one = paragraphs.Cut(texts, known)
+    bands = one.bands()
     for k, t in enumerate(texts):
-        own, pick = paragraphs.Cut([t], known), one.text == k
-        assert (own.starts - own.offset == one.starts[pick] - one.offset[pick]).all() and (own.classes() == one.classes()[pick]).all()
-        assert (own.bands() == one.bands()[:, pick]).all() and (own.number == one.number[pick]).all()
+        own, pick = paragraphs.Cut([t], known), np.nonzero(one.text == k)[0]
+        for name in ("starts", "ends"):
+            assert (getattr(own, name) - own.offset == (getattr(one, name) - one.offset)[pick]).all()
+        assert (own.classes() == one.classes()[pick]).all() and (own.number == one.number[pick]).all() and (own.number == np.arange(len(pick))).all()
+        assert all((x == bands[i]).all() for x, i in zip(own.bands(), pick, strict=True))
+        covered = np.zeros(len((t or "").split()), int)
+        for a, b, level in zip(own.starts, own.ends, own.level, strict=True):
+            covered[a:b] += level
+        fine = {(a, b) for a, b, level in zip(own.starts, own.ends, own.level, strict=True) if not level}
+        assert (covered <= 1).all() and all(any(a <= i < b for a, b in fine) for i in np.nonzero(covered == 0)[0])
+    s, behind = one.shingles()
+    for i in range(len(one.starts)):
+        a, b = one.starts[i], one.ends[i]
+        assert behind[i] - a == max(1, b - a - paragraphs.SHINGLE + 1)
+
+
+def test_window_min():
+    rng = np.random.default_rng(1)
+    x, segment = rng.integers(0, 50, 300).astype(np.uint64), np.sort(rng.integers(0, 20, 300))
+    for n in (1, 2, 3, 7, 41):
+        want = [min(x[j] for j in range(i, min(i + n, 300)) if segment[j] == segment[i]) for i in range(300)]
+        assert paragraphs._window_min(x, segment, n).tolist() == want
 
 
-def test_paragraphs_of_short_and_periodic_texts():
-    """Texts from EDGE words on have a paragraph, and so has a run of words that repeat, wherever it stands."""
+def test_paragraphs_of_periodic_texts():
+    """A run of words that repeat is one paragraph, wherever it stands."""
     known, rng = paragraphs._Words(), random.Random(24)
-    texts = [prose(rng, n) for n in range(paragraphs.EDGE, 40) for _ in range(40)]
-    assert set(paragraphs.Cut(texts, known).text.tolist()) == set(range(len(texts)))
-    assert not len(paragraphs.Cut([prose(rng, paragraphs.EDGE - 1), "", None], known).text)
     for period in range(1, 7):
         run = ([f"w{period}n{k}" for k in range(period)] * 200)[:200]
         cuts = [paragraphs.Cut([f"{prose(rng, 50)} {' '.join(run)} {prose(rng, 50)}"], known) for _ in range(20)]
         for c in cuts:
-            inside = (c.starts - c.offset >= 50) & (c.ends - c.offset <= 250)
+            fine = c.level == 0
+            inside = fine & (c.starts - c.offset >= 50) & (c.ends - c.offset <= 250)
             assert (c.ends - c.starts)[inside].max() >= 150
-            assert (c.ends[:-1] <= c.starts[1:]).all()
+            assert (c.ends[fine][:-1] <= c.starts[fine][1:]).all()
+
+
+def test_shared_lists():
+    """Lists are told alike however rows are batched."""
+    pa = pytest.importorskip("pyarrow")
+    rows = sorted([(b, c) for b in range(12) for c in range(-b % 4, 3 * (b % 4), 2)] + [(20, 5), (20, 5), (21, 6), (21, 6), (21, 7)])
+    want = sorted({(b, c) for b, c in rows if len({x for k, x in rows if k == b}) > 1})
+    for n in (1, 2, 3, 7, 1000):
+        parts = [rows[i : i + n] for i in range(0, len(rows), n)]
+        batches = [pa.record_batch([pa.array([r[k] for r in part], pa.int64()) for k in (0, 1)], names=["band", "class"]) for part in parts]
+        got = [tuple(r.values()) for out in paragraphs.shared(iter(batches)) for r in out.to_pylist()]
+        assert sorted(got) == want and (n > 1 or len(got) == len(want))
+
+
+def near_texts():
+    """Copies of prose with words changed at random, copies of a template, and a passage inside other texts."""
+    rng = random.Random(31)
+    rows = []
+    for i in range(60):
+        base = prose(rng, 330).split()
+        for k in range(6):
+            words = list(base)
+            for at in rng.sample(range(len(words)), k * 2):
+                words[at] = f"c{rng.randint(0, 9999)}"
+            rows.append(" ".join(words))
+    frame = prose(rng, 60).split()
+    for i in range(120):
+        words = list(frame)
+        words[17], words[44] = f"name{rng.randint(0, 9)}", f"n{i}"
+        rows.append(" ".join(words) + "\n" + prose(rng, 40))
+    return rows
+
+
+@pytest.mark.parametrize("small", [8, 1])
+def test_paragraph_recall(spark, monkeypatch, small):
+    """Links against brute force over all pairs of paragraphs: none is wrong, and nine in ten or more are joined."""
+    monkeypatch.setattr(paragraphs, "SMALL", small)
+    monkeypatch.setattr(paragraphs, "BLOCK", 16)
+    rows = near_texts()
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    c = paragraphs.Cut(rows, paragraphs._Words())
+    s, behind = c.shingles()
+    kinds, sets = c.classes().tolist(), {}
+    for i, k in enumerate(kinds):
+        sets[k, int(c.level[i])] = set(s[c.starts[i] : behind[i]].tolist())
+    near = {}
+    for level in (0, 1):
+        held = defaultdict(set)
+        mine = {k: v for (k, x), v in sets.items() if x == level}
+        for k, v in mine.items():
+            for g in v:
+                held[g].add(k)
+        pairs = {(a, b) for k in mine for g in mine[k] for b in held[g] for a in (k,) if a < b}
+        near[level] = {(a, b) for a, b in pairs if len(mine[a] & mine[b]) >= 0.8 * len(mine[a] | mine[b])}
+    found = paragraphs.duplicates(docs).collect()
+    spans = {(int(c.text[i]), int(c.number[i])): kinds[i] for i in range(len(kinds))}
+    group = {}
+    for r in found:
+        group[spans[r["doc_id"], r["paragraph"]]] = r["component_id"]
+    for level, least in ((0, 0.9), (1, 0.9)):
+        joined = [a in group and group.get(a) == group.get(b) for a, b in near[level]]
+        print("recall", level, sum(joined) / len(joined), len(joined))
+        assert len(joined) > 200 and sum(joined) >= least * len(joined)
+    every = sorted({k for k, _ in sets})
+    at = {k: i for i, k in enumerate(every)}
+    root = list(range(len(every)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in near[0] | near[1]:
+        root[find(at[a])] = find(at[b])
+    by = defaultdict(set)
+    for r in found:
+        by[r["component_id"], find(at[spans[r["doc_id"], r["paragraph"]]])].add(r["doc_id"])
+    # A reported paragraph is linked to another document's, by true links.
+    assert all(len(v) > 1 for v in by.values())
 
 
 # LM --------------------------------------------------------------------------------------------------------
