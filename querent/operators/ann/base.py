@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querent.operators.topk import ranked
+from querent.operators.topk import EXACT, ranked
 from querent.runtime import materialize
 
 #: Rows of a bucket that one task compares; larger buckets are dealt over several.
@@ -87,7 +87,7 @@ def bucket_search(docs: DataFrame, queries: DataFrame, k: int, task_rows: int =
         ids, x = ids[order], x[order]
         out = []
         for i in range(0, len(q), 512):
-            s = np.round(q[i : i + 512] @ x.T if compare is None else compare(q[i : i + 512], x), 6)
+            s = np.round(q[i : i + 512] @ x.T if compare is None else compare(q[i : i + 512], x), EXACT)
             top = np.argsort(-s, axis=1, kind="stable")[:, :k]
             out.append((np.repeat(qids[i : i + 512], top.shape[1]), ids[top.ravel()], np.take_along_axis(s, top, 1).ravel()))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)

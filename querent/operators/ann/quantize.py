@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from querent.errors import DimensionMismatch, InvalidParameter
 from querent.operators.ann.base import matrix, sample, unit
-from querent.operators.topk import ranked
+from querent.operators.topk import EXACT, ranked
 
 
 def _kmeans(x: np.ndarray, k: int, steps: int, seed: int) -> np.ndarray:
@@ -219,7 +219,7 @@ def adc_search(codes: DataFrame, queries: DataFrame, quantizer, k: int, task_row
                 ids, qids = np.frombuffer(ids, "<i8"), np.frombuffer(qids, "<i8")
                 c, q = np.frombuffer(data, "<i2").reshape(-1, width), unit(np.frombuffer(qdata, "<f8").reshape(len(qids), -1))
                 order = np.argsort(ids, kind="stable")
-                s = np.round(quantizer.similarities(q, c[order]), 6)
+                s = np.round(quantizer.similarities(q, c[order]), EXACT)
                 top = np.argsort(-s, axis=1, kind="stable")[:, :k]
                 yield pa.record_batch([pa.array(np.repeat(qids, top.shape[1])), pa.array(ids[order][top.ravel()]), pa.array(np.take_along_axis(s, top, 1).ravel())], names=["query_id", "doc_id", "score"])
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from querent.errors import DimensionMismatch, InvalidParameter, RetrievalError
 from querent.functions.vectors import dot
-from querent.operators.topk import ranked
+from querent.operators.topk import EXACT, ranked
 
 BLOCK = 2048
 
@@ -71,7 +71,7 @@ def search_blocks(vectors: DataFrame, queries: DataFrame, k: int = 10, unit: boo
                     raise DimensionMismatch(f"{q.shape[1]} is not {x.shape[1]}")
                 if unit:
                     x, q = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30) for v in (x, q))
-                s = np.round(q @ x.T, 6)
+                s = np.round(q @ x.T, EXACT)
                 if exclude_self:
                     s[qids[:, None] == ids[None, :]] = -np.inf
                 order = np.argsort(ids, kind="stable")

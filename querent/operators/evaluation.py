@@ -41,7 +41,8 @@ def binary_metrics(run: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
 
 
 def graded_metrics(run: DataFrame, qrels: DataFrame, k: int = 10, highest: int | None = None) -> DataFrame:
-    """query_id, ndcg (gains 2**rel - 1) and err at k. ``highest`` is the top grade (found in qrels if not given)."""
+    """query_id, ndcg (gains 2**rel - 1) and err at k. ``highest`` is the top grade (found in qrels if not
+    given); higher ones count as it in err."""
     top = highest if highest is not None else (qrels.agg(F.max("rel")).first()[0] or 0)
     best = qrels.groupBy("query_id", "doc_id").agg(F.max("rel").alias("rel"))
     order = Window.partitionBy("query_id").orderBy(F.desc("rel"), "doc_id")
@@ -49,7 +50,7 @@ def graded_metrics(run: DataFrame, qrels: DataFrame, k: int = 10, highest: int |
     gain = (F.pow(F.lit(2.0), F.col("rel")) - 1) / F.log2(F.col("rank") + 1.0)
     ideal = ideal.groupBy("query_id").agg(F.sum(gain).alias("ideal"))
     rows = _judged(run, qrels).filter(F.col("rank") <= k)
-    stop = (F.pow(F.lit(2.0), F.col("rel")) - 1) / F.lit(2.0**top)
+    stop = (F.pow(F.lit(2.0), F.least(F.col("rel"), F.lit(top))) - 1) / F.lit(2.0**top)
     before = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     go_on = F.coalesce(F.exp(F.sum(F.log(1 - stop)).over(before)), F.lit(1.0))
     rows = rows.withColumn("err_part", stop * go_on / F.col("rank")).withColumn("gain", gain)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querent.errors import InvalidParameter
 from querent.operators.lexical import Bm25Params, LexicalIndex
+from querent.operators.topk import ranked
 from querent.runtime import materialize
 
 
@@ -43,9 +44,8 @@ def expansion_terms(index: LexicalIndex, queries: DataFrame, first: DataFrame, e
         "tf": F.col("tf").cast("double"),
         "rsv": F.col("r") * F.log(((F.col("r") + 0.5) * (n - F.col("df") - F.col("depth") + F.col("r") + 0.5)) / ((F.col("df") - F.col("r") + 0.5) * (F.col("depth") - F.col("r") + 0.5))),
     }[expander.method]
-    scored = seen.join(df, "term").join(size, "query_id").select("query_id", "term", F.round(score, 6).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "term")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= expander.terms)
+    scored = seen.join(df, "term").join(size, "query_id").select("query_id", "term", score.alias("score"))
+    return ranked(scored, expander.terms, id_col="term")
 
 
 def expand_simple(terms: DataFrame, more: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from querent.errors import EmptyQuery, InvalidParameter
 from querent.functions.text import tokens
-from querent.operators.topk import ranked
+from querent.operators.topk import DECIMALS, ranked
 from querent.runtime import materialize, spread
 
 
@@ -43,7 +43,8 @@ class TfIdfParams:
 
 @dataclass(frozen=True)
 class Smoothing:
-    """dirichlet (parameter mu, 1000) or jelinek_mercer (lambda, 0.5, clamped to 0..1)."""
+    """dirichlet (parameter mu, 1000) or jelinek_mercer (lambda, 0.5, clamped to 0..1). With mu 0 nothing is smoothed: terms
+    that a document lacks have no probability and are left out, as with lambda 1."""
 
     kind: str = "dirichlet"
     value: float = 1000.0
@@ -145,6 +146,13 @@ class LexicalIndex:
         scores = self.matches(queries).groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * self.bm25_part(params)).alias("score"))
         return ranked(scores.filter("score > 0 AND NOT isnan(score)"), k)
 
+    def bm25_score(self, queries: DataFrame, docs: DataFrame, params: Bm25Params = Bm25Params()) -> DataFrame:
+        """query_id, doc_id, score of every query and every one of ``docs`` (doc_id), stated sets both; 0 without a common term."""
+        wanted = docs.select("doc_id").distinct()
+        parts = self.matches(queries).join(wanted, "doc_id", "left_semi").groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * self.bm25_part(params)).alias("score"))
+        every = queries.select("query_id").distinct().crossJoin(wanted)
+        return every.join(parts, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce(F.round("score", DECIMALS), F.lit(0.0)).alias("score"))
+
     def tfidf(self, queries: DataFrame, k: int | None = 10, params: TfIdfParams = TfIdfParams()) -> DataFrame:
         """query_id, doc_id, score, rank; scores of 0 stay."""
         n = float(self.totals[0])
@@ -165,10 +173,10 @@ class LexicalIndex:
         terms = found.select("query_id", "term", "qtf", p.alias("p")).distinct()
         v = F.lit(float(smoothing.value))
         per_query = terms.groupBy("query_id").agg(F.sum("qtf").alias("m"), F.sum(F.col("qtf") * F.log("p")).alias("logs"))
-        if smoothing.kind == "dirichlet":
+        if smoothing.kind == "dirichlet" and smoothing.value > 0:
             present = F.log(F.col("tf") + v * p) - F.log(v * p)
             absent = F.col("logs") + F.col("m") * F.log(v) - F.col("m") * F.log(F.col("dl") + v)
-        elif smoothing.value >= 1:  # nothing is smoothed: absent terms have no probability and are left out
+        elif smoothing.kind == "dirichlet" or smoothing.value >= 1:
             present, absent = F.log(F.col("tf") / F.col("dl")), F.lit(0.0)
         else:
             present = F.log(v * F.col("tf") / F.col("dl") + (1 - v) * p) - F.log((1 - v) * p)
@@ -186,6 +194,35 @@ class LexicalIndex:
         return EagerIndex(rows.join(stats, "term").select("term", "doc_id", self.bm25_part(params).alias("score")))
 
 
+class StoredIndex(LexicalIndex):
+    """An index over stored postings (term, doc_id, tf) and lengths (doc_id, dl): queries read the postings of their terms."""
+
+    def __init__(self, postings: DataFrame, lengths: DataFrame):
+        self._postings, self._lengths = postings.select("term", "doc_id", "tf"), lengths.select("doc_id", "dl")
+        self._matched = None
+
+    @property
+    def docs(self) -> DataFrame:
+        """(doc_id, terms), terms in no order: for what asks for whole documents, such as feedback."""
+        rows = self._postings.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array_repeat("term", F.col("tf").cast("int")))).alias("terms"))
+        return self._lengths.select("doc_id").join(rows, "doc_id", "left").select("doc_id", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
+
+    @property
+    def postings(self) -> DataFrame:
+        return self._postings
+
+    @property
+    def lengths(self) -> DataFrame:
+        return self._lengths
+
+    def _match(self, queries: DataFrame) -> DataFrame:
+        asked = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+        rows = self._postings.join(asked.select("term").distinct(), "term", "left_semi")
+        postings = materialize(rows.join(self._lengths, "doc_id").select("term", "doc_id", "dl", "tf"), "postings")
+        stats = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+        return asked.join(stats, "term").join(postings, "term")
+
+
 class EagerIndex:
     """Stored scores (term, doc_id, score); a query's score is the sum over its distinct terms."""
 

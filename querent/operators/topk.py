@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from querent.errors import InvalidParameter
 
-#: Scores are rounded to this many decimals before they are ranked, so that ranks don't depend on the order of sums.
+#: Scores count as equal in ranking if they agree in so many decimals: sums of doubles in other orders differ further behind.
+EXACT = 12
+#: Scores that are given out have so many decimals.
 DECIMALS = 6
 
 
 def ranked(scores: DataFrame, k: int | None, by: str = "query_id", id_col: str = "doc_id", score: str = "score", ascending: bool = False) -> DataFrame:
-    """``scores`` rounded, with rank (from 1) within ``by``; the first k if given. Partial top-k runs before the shuffle."""
+    """``scores`` with rank (from 1) within ``by``, and the score rounded; the first k if given. Partial top-k runs before the shuffle."""
     if k is not None and k < 0:
         raise InvalidParameter("k must not be negative")
-    rounded = scores.withColumn(score, F.round(score, DECIMALS))
+    exact = scores.withColumn(score, F.round(score, EXACT))
     order = F.col(score).asc() if ascending else F.col(score).desc()
-    out = rounded.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(order, F.col(id_col).asc())))
-    return out if k is None else out.filter(F.col("rank") <= k)
+    out = exact.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(order, F.col(id_col).asc())))
+    out = out if k is None else out.filter(F.col("rank") <= k)
+    return out.withColumn(score, F.round(score, DECIMALS))

@@ -107,12 +107,12 @@ m AS (SELECT q.query_id, q.term, q.qtf, tf.doc_id, tf.tf, dl.dl, df.df, df.cf, s
 
 
 TOP = """,
-r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
+r AS (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
 SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10"""
 
 
 def _scored(expression, queries=None, having="HAVING sum({e}) > 0"):
-    return f"{_base(queries)}, s AS (SELECT query_id, doc_id, round(sum({expression}), 6) AS score FROM m GROUP BY query_id, doc_id {having.format(e=expression)}){TOP}"
+    return f"{_base(queries)}, s AS (SELECT query_id, doc_id, round(sum({expression}), 12) AS score FROM m GROUP BY query_id, doc_id {having.format(e=expression)}){TOP}"
 
 
 def _bm25_sql(added=0.0, queries=None, k1=1.2, b=0.75, qtf="qtf"):
@@ -128,27 +128,27 @@ def _likelihood_sql(smoothed):
     return f"""{_base()},
 pairs AS (SELECT DISTINCT query_id, doc_id, dl, total FROM m),
 terms AS (SELECT q.query_id, q.term, q.qtf, df.cf FROM q JOIN df ON q.term = df.term),
-s AS (SELECT p.query_id, p.doc_id, round(sum(t.qtf * ln({smoothed})), 6) AS score
+s AS (SELECT p.query_id, p.doc_id, round(sum(t.qtf * ln({smoothed})), 12) AS score
       FROM pairs p JOIN terms t ON p.query_id = t.query_id LEFT JOIN tf ON tf.term = t.term AND tf.doc_id = p.doc_id GROUP BY p.query_id, p.doc_id){TOP}"""
 
 
 def _feedback_sql(score):
     return f"""{_base()},
-s AS (SELECT query_id, doc_id, round(sum({_bm25_sql()}), 6) AS score FROM m GROUP BY query_id, doc_id HAVING sum({_bm25_sql()}) > 0),
+s AS (SELECT query_id, doc_id, round(sum({_bm25_sql()}), 12) AS score FROM m GROUP BY query_id, doc_id HAVING sum({_bm25_sql()}) > 0),
 f AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 5),
 z AS (SELECT query_id, count(*) AS depth FROM f GROUP BY query_id),
 e AS (SELECT f.query_id, tf.term, sum(tf.tf) AS tf, count(*)::DOUBLE AS r FROM f JOIN tf ON f.doc_id = tf.doc_id
       WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.query_id = f.query_id AND q.term = tf.term) GROUP BY f.query_id, tf.term),
-x AS (SELECT e.query_id, e.term, round({score}, 6) AS score FROM e JOIN df ON e.term = df.term JOIN z ON e.query_id = z.query_id CROSS JOIN st),
-y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, term) AS rank FROM x)"""
+x AS (SELECT e.query_id, e.term, round({score}, 12) AS score FROM e JOIN df ON e.term = df.term JOIN z ON e.query_id = z.query_id CROSS JOIN st),
+y AS (SELECT * REPLACE (round(score, 6) AS score), row_number() OVER (PARTITION BY query_id ORDER BY score DESC, term) AS rank FROM x)"""
 
 
 _TERMS = "\nSELECT query_id, term, score, rank FROM y WHERE rank <= 5"
 _EXPANDED = f""",
 q2 AS (SELECT query_id, term, sum(qtf)::BIGINT AS qtf FROM (SELECT query_id, term, qtf FROM q UNION ALL SELECT query_id, term, 1 FROM y WHERE rank <= 5) GROUP BY query_id, term),
 m2 AS (SELECT q2.query_id, q2.qtf, tf.doc_id, tf.tf, dl.dl, df.df, st.n, st.avgdl FROM q2 JOIN tf ON q2.term = tf.term JOIN df ON q2.term = df.term JOIN dl ON tf.doc_id = dl.doc_id CROSS JOIN st),
-s2 AS (SELECT query_id, doc_id, round(sum({_bm25_sql()}), 6) AS score FROM m2 GROUP BY query_id, doc_id HAVING sum({_bm25_sql()}) > 0),
-r2 AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s2)
+s2 AS (SELECT query_id, doc_id, round(sum({_bm25_sql()}), 12) AS score FROM m2 GROUP BY query_id, doc_id HAVING sum({_bm25_sql()}) > 0),
+r2 AS (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s2)
 SELECT query_id, doc_id, score, rank FROM r2 WHERE rank <= 10"""
 _RSV = "e.r * ln(((e.r + 0.5) * (st.n - df.df - z.depth + e.r + 0.5)) / ((df.df - e.r + 0.5) * (z.depth - e.r + 0.5)))"
 

@@ -157,21 +157,21 @@ def context(spark, d):
 
 
 _TOPS = f"""{_base()},
-b AS (SELECT query_id, doc_id, round(sum({_bm25_sql()}), 6) AS score FROM m GROUP BY query_id, doc_id HAVING sum({_bm25_sql()}) > 0),
-t AS (SELECT query_id, doc_id, round(sum(qtf * tf * ln(1 + (n - df + 0.5) / (df + 0.5))), 6) AS score FROM m GROUP BY query_id, doc_id),
+b AS (SELECT query_id, doc_id, round(sum({_bm25_sql()}), 12) AS score FROM m GROUP BY query_id, doc_id HAVING sum({_bm25_sql()}) > 0),
+t AS (SELECT query_id, doc_id, round(sum(qtf * tf * ln(1 + (n - df + 0.5) / (df + 0.5))), 12) AS score FROM m GROUP BY query_id, doc_id),
 prs AS (SELECT DISTINCT query_id, doc_id, dl, total FROM m),
 trm AS (SELECT q.query_id, q.term, q.qtf, df.cf FROM q JOIN df ON q.term = df.term),
-l AS (SELECT p.query_id, p.doc_id, round(sum(t.qtf * ln((coalesce(tf.tf, 0) + 1000.0 * t.cf / p.total) / (p.dl + 1000.0))), 6) AS score
+l AS (SELECT p.query_id, p.doc_id, round(sum(t.qtf * ln((coalesce(tf.tf, 0) + 1000.0 * t.cf / p.total) / (p.dl + 1000.0))), 12) AS score
       FROM prs p JOIN trm t ON p.query_id = t.query_id LEFT JOIN tf ON tf.term = t.term AND tf.doc_id = p.doc_id GROUP BY p.query_id, p.doc_id),
 a AS (SELECT 'bm25' AS method, * FROM b UNION ALL SELECT 'tfidf', * FROM t UNION ALL SELECT 'likelihood', * FROM l),
-k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY method, query_id ORDER BY score DESC, doc_id) AS rank FROM a) WHERE rank <= {DEPTH}),
+k AS (SELECT * FROM (SELECT * REPLACE (round(score, 6) AS score), row_number() OVER (PARTITION BY method, query_id ORDER BY score DESC, doc_id) AS rank FROM a) WHERE rank <= {DEPTH}),
 z AS (SELECT *, count(*) OVER w AS nn, min(score) OVER w AS low, max(score) OVER w AS high, avg(score) OVER w AS mu, stddev_pop(score) OVER w AS sd FROM k WINDOW w AS (PARTITION BY method, query_id)),
 y AS (SELECT *, CASE WHEN high > low THEN (score - low) / (high - low) ELSE 1.0 END AS scaled,
       CASE WHEN sd > 0 THEN greatest(0.0, least(1.0, (score - (mu - 3 * sd)) / (6 * sd))) ELSE 0.5 END AS cut FROM z)"""
 
 
 def _fusion_sql(e):
-    return f"{_TOPS}, s AS (SELECT query_id, doc_id, round({e}, 6) AS score FROM y GROUP BY query_id, doc_id) SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10"
+    return f"{_TOPS}, s AS (SELECT query_id, doc_id, round({e}, 12) AS score FROM y GROUP BY query_id, doc_id) SELECT query_id, doc_id, score, rank FROM (SELECT * REPLACE (round(score, 6) AS score), row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10"
 
 
 _CUT = "[list_transform({e}[8 * i + 1 : 8 * i + 8], lambda v: v::DOUBLE) for i in range(8)]"
@@ -186,7 +186,7 @@ nr AS (SELECT query_id, count(*) FILTER (WHERE rel > 0) AS relevant FROM qr GROU
 _HALF = "embedding[1:32]"
 _UNITS = "WITH u AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda w: w::DOUBLE * w::DOUBLE)))) AS e, list_transform(embedding[1:32], lambda v: v::DOUBLE / sqrt(list_sum(list_transform(embedding[1:32], lambda w: w::DOUBLE * w::DOUBLE)))) AS h FROM embeddings)"
 _RECALL = f"""{_UNITS},
-s AS (SELECT q.vec_id AS query_id, x.vec_id AS doc_id, round({_DOT.format(a='q.e', b='x.e')}, 6) AS f, round({_DOT.format(a='q.h', b='x.h')}, 6) AS g FROM u q, u x WHERE q.vec_id % {EACH} = 0),
+s AS (SELECT q.vec_id AS query_id, x.vec_id AS doc_id, round({_DOT.format(a='q.e', b='x.e')}, 12) AS f, round({_DOT.format(a='q.h', b='x.h')}, 12) AS g FROM u q, u x WHERE q.vec_id % {EACH} = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, doc_id) AS a, row_number() OVER (PARTITION BY query_id ORDER BY g DESC, doc_id) AS b FROM s),
 c AS (SELECT query_id, round(count(*) FILTER (WHERE a <= 10 AND b <= 10)::DOUBLE / count(*) FILTER (WHERE a <= 10), 6) AS recall FROM r GROUP BY query_id)"""
 
@@ -227,13 +227,13 @@ SQL = {
     "fusion_dbsf": _fusion_sql("sum(cut)"),
     "fusion_weighted": _fusion_sql("sum(CASE method WHEN 'bm25' THEN 0.5::DOUBLE WHEN 'tfidf' THEN 0.3::DOUBLE ELSE 0.2::DOUBLE END * scaled)"),
     "rerank_cosine": f"""
-WITH h AS (SELECT q.vec_id AS query_id, x.vec_id AS doc_id, round({_DOT.format(a='q.embedding[1:32]', b='x.embedding[1:32]')}, 6) AS original_score, q.embedding AS qe, x.embedding AS xe FROM embeddings q, embeddings x WHERE q.vec_id % {EACH} = 0),
-f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY original_score DESC, doc_id) AS r0 FROM h) WHERE r0 <= {DEPTH}),
-s AS (SELECT query_id, doc_id, original_score, round({_DOT.format(a='qe', b='xe')} / (sqrt({_DOT.format(a='qe', b='qe')}) * sqrt({_DOT.format(a='xe', b='xe')})), 6) AS score FROM f)
-SELECT query_id, doc_id, score, original_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""",
+WITH h AS (SELECT q.vec_id AS query_id, x.vec_id AS doc_id, round({_DOT.format(a='q.embedding[1:32]', b='x.embedding[1:32]')}, 12) AS original_score, q.embedding AS qe, x.embedding AS xe FROM embeddings q, embeddings x WHERE q.vec_id % {EACH} = 0),
+f AS (SELECT * FROM (SELECT * REPLACE (round(original_score, 6) AS original_score), row_number() OVER (PARTITION BY query_id ORDER BY original_score DESC, doc_id) AS r0 FROM h) WHERE r0 <= {DEPTH}),
+s AS (SELECT query_id, doc_id, original_score, round({_DOT.format(a='qe', b='xe')} / (sqrt({_DOT.format(a='qe', b='qe')}) * sqrt({_DOT.format(a='xe', b='xe')})), 12) AS score FROM f)
+SELECT query_id, doc_id, score, original_score, rank FROM (SELECT * REPLACE (round(score, 6) AS score), row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""",
     "rerank_maxsim": f"""{_TOK},
-s AS (SELECT q.vec_id AS query_id, x.vec_id AS doc_id, round(list_sum([list_max([{_TT.format(a='a', b='b')} for b in x.t]) for a in q.t]), 6) AS score FROM u q, u x WHERE q.vec_id % {EACH} = 0)
-SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""",
+s AS (SELECT q.vec_id AS query_id, x.vec_id AS doc_id, round(list_sum([list_max([{_TT.format(a='a', b='b')} for b in x.t]) for a in q.t]), 12) AS score FROM u q, u x WHERE q.vec_id % {EACH} = 0)
+SELECT query_id, doc_id, score, rank FROM (SELECT * REPLACE (round(score, 6) AS score), row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""",
     "rerank_alignments": f"""{_TOK},
 e AS (SELECT vec_id, unnest(range(8)) AS i, unnest(t) AS v FROM u),
 s AS (SELECT a.vec_id AS doc_id, a.i AS q, b.i AS t, {_TT.format(a='a.v', b='b.v')} AS score FROM e a JOIN e b ON b.vec_id = a.vec_id + 1)
@@ -268,8 +268,8 @@ SELECT source, any_value(n)::BIGINT AS n, round(avg(v), 4) AS mean, round(stddev
     "generative_retrieval": """
 WITH i AS (SELECT * FROM (VALUES (1::BIGINT, 'the', 10.0::DOUBLE), (1, 'license', 9.5), (1, 'version', 9.0), (3, 'apache', 10.0), (3, 'license', 9.5)) v(query_id, term, weight)),
 e AS (SELECT unnest([1, 2, 3])::BIGINT AS query_id),
-s AS (SELECT e.query_id, d.doc_id, round(coalesce(sum(CASE WHEN contains(lower(coalesce(d.text, '')), i.term) THEN weight ELSE 0 END), 0), 6) AS score FROM documents d CROSS JOIN e LEFT JOIN i ON i.query_id = e.query_id GROUP BY e.query_id, d.doc_id)
-SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""",
+s AS (SELECT e.query_id, d.doc_id, round(coalesce(sum(CASE WHEN contains(lower(coalesce(d.text, '')), i.term) THEN weight ELSE 0 END), 0), 12) AS score FROM documents d CROSS JOIN e LEFT JOIN i ON i.query_id = e.query_id GROUP BY e.query_id, d.doc_id)
+SELECT query_id, doc_id, score, rank FROM (SELECT * REPLACE (round(score, 6) AS score), row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""",
     "generative_identifiers": r"""
 WITH w AS (SELECT item_id AS query_id, list_filter(string_split_regex(text, '\s+'), lambda x: strlen(x) > 2)[1:5] AS ws FROM benchmark),
 e AS (SELECT query_id, unnest(range(len(ws))) AS i, unnest(ws) AS word FROM w)

@@ -20,7 +20,10 @@ def _store(spark, d):
     """All documents in two segments, which are then merged."""
     store = storage.SegmentStore(spark, fresh_path(spark, "store"))
     docs = table(spark, d, "documents").select("doc_id", tokens("text").alias("terms"))
-    store.merge([store.add_segment(docs.filter("doc_id % 2 = 0")), store.add_segment(docs.filter("doc_id % 2 = 1"))])
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    one, two = store.add_segment(docs.filter(half == 0)), store.add_segment(docs.filter(half == 1))
+    store.checkpoint()
+    store.merge([one, two])
     return store
 
 
@@ -34,17 +37,19 @@ def stored_search(spark, d):
 
 
 def log_replay(spark, d):
-    """The live segments after adding three, deleting from one, merging two and starting a merge that never ends."""
-    rows = [
-        (1, "add_segment", 1, None, None, None, None, 10, None),
-        (2, "add_segment", 2, None, None, None, None, 20, None),
-        (3, "delete_documents", None, None, None, None, [(1, 5)], None, None),
-        (4, "start_merge", None, 1, [1, 2], None, None, None, None),
-        (5, "end_merge", None, 1, [1, 2], 3, None, None, None),
-        (6, "add_segment", 4, None, None, None, None, 30, None),
-        (7, "start_merge", None, 2, [3, 4], None, None, None, None),
-    ]
-    return storage.live_segments(spark.createDataFrame(rows, storage.EVENT))
+    """The live segments, and how many documents are deleted in each, after a log made of the events table: its rows add and
+    merge segments and delete documents in turn, by their ids."""
+    n = F.col("event_id")
+    rows = table(spark, d, "events").select(n.cast("long").alias("entry_id"), F.pmod(n, F.lit(10)).alias("turn"))
+    none = lambda kind: F.lit(None).cast(kind)
+    entry = F.col("entry_id")
+    # Turn 0 to 5 add a segment, 6 and 7 delete from the segment added five before, 8 and 9 merge those of four and three before.
+    kind = F.when(F.col("turn") <= 5, "add_segment").when(F.col("turn") <= 7, "delete_documents").otherwise("end_merge")
+    deletes = F.when(F.col("turn").between(6, 7), F.array(F.struct((entry - 5).alias("segment_id"), (entry % 7).alias("doc_id")), F.struct((entry - 5).alias("segment_id"), (entry % 3).alias("doc_id"))))
+    merged = F.when(F.col("turn") >= 8, F.array(entry - 4, entry - 3 - F.col("turn")))
+    events = rows.select("entry_id", kind.alias("kind"), F.when(F.col("turn") <= 5, entry).alias("segment_id"), F.when(F.col("turn") >= 8, entry).alias("transaction_id"), merged.alias("segment_ids"), F.when(F.col("turn") >= 8, entry).alias("new_segment_id"), deletes.alias("deletes"), F.lit(1).alias("doc_count"), none("string").alias("checkpoint_path"))
+    gone = storage.deletions(events).groupBy("segment_id").agg(F.count("*").alias("deleted"))
+    return storage.live_segments(events).join(gone, "segment_id", "left").select("segment_id", F.coalesce("deleted", F.lit(0).cast("long")).alias("deleted"))
 
 
 def id_sets(spark, d):
@@ -100,9 +105,15 @@ SQL = {
     "stored_terms": LEXICAL["index_prefix"],
     "stored_search": LEXICAL["bm25_batch"],
     "stored_vectors": _knn_sql(),
-    "log_replay": "SELECT unnest([3, 4])::BIGINT AS segment_id",
+    "log_replay": """
+WITH e AS (SELECT event_id::BIGINT AS n, event_id % 10 AS turn FROM events),
+x AS (SELECT n AS s, n, 1 AS live FROM e WHERE turn <= 5 OR turn >= 8
+      UNION ALL SELECT n - 4, n, 0 FROM e WHERE turn >= 8 UNION ALL SELECT n - 3 - turn, n, 0 FROM e WHERE turn >= 8),
+l AS (SELECT s, arg_max(live, n * 2 + live) AS live FROM x GROUP BY s),
+g AS (SELECT DISTINCT n - 5 AS s, unnest([n % 7, n % 3]) AS doc FROM e WHERE turn IN (6, 7))
+SELECT l.s AS segment_id, count(g.doc)::BIGINT AS deleted FROM l LEFT JOIN g ON l.s = g.s WHERE live = 1 GROUP BY l.s""",
     "id_sets": f"{_base()} SELECT term, count(*)::BIGINT AS n, sum(doc_id)::BIGINT AS total FROM tf GROUP BY term",
     "id_gaps": "SELECT vec_id, array_to_string(list_transform(range(8), lambda i: vec_id), ',') AS gaps FROM embeddings",
     "trec_run": "SELECT query_id::VARCHAR AS query_id, doc_id::VARCHAR AS doc_id, rank, score, 'bm25' AS tag FROM (" + LEXICAL["bm25_batch"] + ")",
-    "hybrid_plan": f"{_TOPS}, s AS (SELECT query_id, doc_id, round(sum(1 / (60.0::DOUBLE + rank)), 6) AS score FROM y WHERE method <> 'likelihood' GROUP BY query_id, doc_id) SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 5",
+    "hybrid_plan": f"{_TOPS}, s AS (SELECT query_id, doc_id, round(sum(1 / (60.0::DOUBLE + rank)), 12) AS score FROM y WHERE method <> 'likelihood' GROUP BY query_id, doc_id) SELECT query_id, doc_id, score, rank FROM (SELECT * REPLACE (round(score, 6) AS score), row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 5",
 }

@@ -125,11 +125,11 @@ def sparse_terms(spark, d):
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
 _UNIT = "WITH u AS (SELECT vec_id, label, embedding, list_transform(embedding, lambda v: v::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda w: w::DOUBLE * w::DOUBLE)))) AS e FROM embeddings)"
 _COS = _DOT.format(a="q.e", b="x.e")
-_LAST = "SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)"
+_LAST = "SELECT query_id, doc_id, score, rank FROM (SELECT * REPLACE (round(score, 6) AS score), row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)"
 
 
 def _knn_sql(where="TRUE", k=10):
-    return f"{_UNIT}, s AS (SELECT q.vec_id AS query_id, x.vec_id AS doc_id, round({_COS}, 6) AS score FROM u q, u x WHERE q.vec_id % 20 = 0 AND {where}) {_LAST} WHERE rank <= {k}"
+    return f"{_UNIT}, s AS (SELECT q.vec_id AS query_id, x.vec_id AS doc_id, round({_COS}, 12) AS score FROM u q, u x WHERE q.vec_id % 20 = 0 AND {where}) {_LAST} WHERE rank <= {k}"
 
 
 _SP = "WITH e AS (SELECT vec_id AS doc_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), p AS (SELECT * FROM e WHERE abs(v) > 0.1)"
@@ -156,7 +156,7 @@ QUERIES = {
 SQL = {
     "dense_knn": _knn_sql(),
     "dense_ground_truth": f"SELECT query_id, doc_id, round(1 - score, 6) AS distance, rank FROM ({_knn_sql()})",
-    "dense_dot_product": f"WITH a AS ({_ASKED_DOT}), s AS (SELECT query_id, vec_id AS doc_id, round({_DOT.format(a='embedding', b='q')}, 6) AS score FROM embeddings, a), t AS (SELECT * FROM s WHERE score > 0) {_LAST.replace('FROM s', 'FROM t')} WHERE rank <= 10",
+    "dense_dot_product": f"WITH a AS ({_ASKED_DOT}), s AS (SELECT query_id, vec_id AS doc_id, round({_DOT.format(a='embedding', b='q')}, 12) AS score FROM embeddings, a), t AS (SELECT * FROM s WHERE score > 0) {_LAST.replace('FROM s', 'FROM t')} WHERE rank <= 10",
     "dense_filtered": _knn_sql("x.label IN (3, 5)", 5),
     "dense_by_category": _knn_sql("x.label = q.label", 5),
     "vector_scalars": f"""
@@ -165,7 +165,7 @@ s AS (SELECT vec_id, {_DOT.format(a='a', b='b')} AS d, sqrt({_DOT.format(a='a',
       list_sum(list_transform(list_zip(a, b), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))) AS g FROM r)
 SELECT vec_id, round(d, 6) + 0.0 AS dot, round(na, 6) + 0.0 AS norm, round(d / (na * nb), 6) + 0.0 AS cosine, round(1 - d, 6) + 0.0 AS cosine_distance,
        round(sqrt(g), 6) + 0.0 AS l2, round(g, 6) + 0.0 AS l2_squared, round(-d, 6) + 0.0 AS inner_product_distance FROM s""",
-    "semantic_cache": f"""{_UNIT}, s AS (SELECT q.vec_id AS query_id, x.vec_id AS doc_id, round({_COS}, 6) AS score FROM u q, u x WHERE q.vec_id % 20 = 0 AND x.vec_id % 2 = 1),
+    "semantic_cache": f"""{_UNIT}, s AS (SELECT q.vec_id AS query_id, x.vec_id AS doc_id, round({_COS}, 12) AS score FROM u q, u x WHERE q.vec_id % 20 = 0 AND x.vec_id % 2 = 1),
 b AS ({_LAST} WHERE rank = 1)
 SELECT query_id, score >= 0.5 AS hit, CASE WHEN score >= 0.5 THEN 'answer ' || doc_id END AS response, score FROM b""",
     "filter_fusion": f"SELECT vec_id, 80::BIGINT AS n, round(sqrt({_DOT.format(a='embedding', b='embedding')} + 4.0), 6) AS norm, label::BIGINT AS category, round(sqrt({_DOT.format(a='embedding', b='embedding')}), 6) AS original_norm FROM embeddings",
@@ -173,7 +173,7 @@ SELECT query_id, score >= 0.5 AS hit, CASE WHEN score >= 0.5 THEN 'answer ' || d
     "facet_counts_filtered": "SELECT source AS value, count(*)::BIGINT AS n FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND lang = 'en' AND source IS NOT NULL GROUP BY source",
     "facet_values": "SELECT DISTINCT source AS value FROM documents WHERE source IS NOT NULL",
     "filter_selectivity": "SELECT round(avg(CASE WHEN coalesce(lang = 'de', FALSE) OR (coalesce(lang = 'en', FALSE) AND coalesce(source = 'src0', FALSE)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS selectivity FROM documents",
-    "sparse_search": f"{_SP}, s AS (SELECT q.doc_id AS query_id, x.doc_id, round(sum(q.v * x.v), 6) AS score FROM p q JOIN p x USING (i) WHERE q.doc_id % 20 = 0 GROUP BY q.doc_id, x.doc_id HAVING sum(q.v * x.v) > 0) {_LAST} WHERE rank <= 10",
+    "sparse_search": f"{_SP}, s AS (SELECT q.doc_id AS query_id, x.doc_id, round(sum(q.v * x.v), 12) AS score FROM p q JOIN p x USING (i) WHERE q.doc_id % 20 = 0 GROUP BY q.doc_id, x.doc_id HAVING sum(q.v * x.v) > 0) {_LAST} WHERE rank <= 10",
     "sparse_vectors": f"""{_SP},
 t AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY abs(v) DESC, i) AS place FROM p) WHERE place <= 3),
 g AS (SELECT doc_id, count(*)::BIGINT AS nnz, sqrt(sum(v * v)) AS norm, coalesce(string_agg(i::VARCHAR, ',' ORDER BY i) FILTER (WHERE abs(v) >= 0.2), '') AS pruned FROM p GROUP BY doc_id),
@@ -187,7 +187,7 @@ def _sparse_terms_sql():
     from querent.queries.lexical import ASKED, _base
 
     values = ", ".join(f"({i}, '{t}', {1.0 / (n + 1)!r}::DOUBLE)" for i, q in ASKED.items() for n, t in enumerate(dict.fromkeys(q.split())))
-    return f"{_base()}, a AS (SELECT query_id::BIGINT AS query_id, term, w FROM (VALUES {values}) v(query_id, term, w)), s AS (SELECT query_id, doc_id, round(sum(w * (1 + ln(tf.tf))), 6) AS score FROM a JOIN tf ON a.term = tf.term GROUP BY query_id, doc_id) {_LAST} WHERE rank <= 10"
+    return f"{_base()}, a AS (SELECT query_id::BIGINT AS query_id, term, w FROM (VALUES {values}) v(query_id, term, w)), s AS (SELECT query_id, doc_id, round(sum(w * (1 + ln(tf.tf))), 12) AS score FROM a JOIN tf ON a.term = tf.term GROUP BY query_id, doc_id) {_LAST} WHERE rank <= 10"
 
 
 SQL["sparse_terms"] = _sparse_terms_sql()

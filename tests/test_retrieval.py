@@ -217,19 +217,40 @@ def test_codecs():
         codecs.decompress_set(codecs.compress_set([1, 2], 10)[:-1], 10)
 
 
-def test_store(spark, tmp_path, index):
+def test_store(spark, tmp_path):
+    rows = [(0, ["oak", "elm"]), (1, ["oak", "ash", "ash"]), (2, ["yew"]), (3, ["fir", "oak"])]
+    docs = spark.createDataFrame(rows, "doc_id long, terms array<string>")
     store = storage.SegmentStore(spark, f"file://{tmp_path}/store")
     with pytest.raises(EmptyIndex):
         store.postings()
-    a = store.add_segment(index.docs.filter("doc_id < 2"))
-    b = store.add_segment(index.docs.filter("doc_id >= 2"))
+    a = store.add_segment(docs.filter("doc_id < 2"))
+    b = store.add_segment(docs.filter("doc_id >= 2"))
     store.delete(a, [1])
-    assert {r["doc_id"] for r in store.lengths().collect()} == {0, 2, 3}
+    assert {r["doc_id"] for r in store.lengths().collect()} == {0, 2, 3} and store.inconsistent().count() == 0
+    # A document that is added again lives in its new segment.
+    c = store.add_segment(spark.createDataFrame([(1, ["ash", "elm"])], docs.schema))
+    assert {r["doc_id"] for r in store.lengths().collect()} == {0, 1, 2, 3}
     store.checkpoint()
-    merged = store.merge([a, b])
-    assert [r["segment_id"] for r in storage.live_segments(store.events()).collect()] == [merged]
-    assert [r["term"] for r in store.terms("l").collect()] == ["learning"] and storage.open_merges(store.events()).count() == 0
-    assert ids(store.index().bm25(query_terms(spark, {1: "learning"}), 5)) == [0]
+    assert len(store.checkpoints()) == 1 and {r["kind"] for r in store.events().collect()} == {"add_segment", "delete_documents", "checkpoint"}
+    assert {(r["term"], r["df"], r["cf"]) for r in store.terms("a").collect()} == {("ash", 1, 1)}
+    with pytest.raises(InvalidParameter):
+        store.merge([99])
+    merged = store.merge([a, c])
+    assert store.live() == [b, merged] and storage.deletions(store.events()).count() == 0 and storage.open_merges(store.events()).count() == 0
+    assert {(r["term"], r["doc_id"], r["tf"]) for r in store.postings().collect()} == {("oak", 0, 1), ("elm", 0, 1), ("ash", 1, 1), ("elm", 1, 1), ("yew", 2, 1), ("fir", 3, 1), ("oak", 3, 1)}
+    store.append("start_merge", transaction_id=77, segment_ids=[b])
+    store.delete(merged, [0])
+    store.checkpoint()
+    assert [r["transaction_id"] for r in storage.open_merges(store.events()).collect()] == [77] and store.duplicated().count() == 0
+    gone = store.cleanup()
+    assert any(p.endswith(f"segment_id={a}") for p in gone) and any("epoch=0" in p for p in gone) and len(store.checkpoints()) == 1
+    again = storage.SegmentStore(spark, store.path)  # read back from the checkpoint alone
+    assert again.live() == [b, merged] and {r["doc_id"] for r in again.lengths().collect()} == {1, 2, 3} and again.inconsistent().count() == 0
+    assert ids(again.index().bm25(query_terms(spark, {1: "elm"}), 5)) == [1]
+    whole = LexicalIndex(spark.createDataFrame([(1, ["ash", "elm"]), *rows[2:]], docs.schema))
+    asked = query_terms(spark, {1: "oak elm", 2: "ash ash yew"})
+    assert again.index().bm25(asked, 5).collect() == whole.bm25(asked, 5).collect()
+    assert again.add_segment(docs.filter("doc_id = 0")) == merged + 1
 
 
 def test_trec(spark, tmp_path):
@@ -249,3 +270,33 @@ def test_plan(spark, index):
         Plan().run()
     with pytest.raises(InvalidParameter):
         Plan().fuse("nothing")
+
+
+def test_ranks_are_exact(spark):
+    """Scores that differ behind the sixth decimal are ranked apart, as in long lists fused by reciprocal ranks."""
+    lists = {m: spark.range(1, 1001).select(F.lit(1).alias("query_id"), (1001 * (m == "b") + (1 - 2 * (m == "b")) * F.col("id")).cast("long").alias("doc_id"), (-F.col("id")).cast("double").alias("score"), F.col("id").alias("rank")) for m in ("a", "b")}
+    want = {i: 1 / (60 + i) for i in range(1, 1001)}
+    one = fusion.rrf({"a": lists["a"]}, None).collect()
+    assert {r["doc_id"]: r["rank"] for r in one} == {i: i for i in want}
+    both = {r["doc_id"]: r["rank"] for r in fusion.rrf(lists, None).collect()}
+    order = sorted(want, key=lambda i: (-round(want[i] + want[1001 - i], 12), i))
+    assert both == {i: n for n, i in enumerate(order, 1)}
+
+
+def test_single_scores(spark):
+    docs = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"]), (3, ["c"])], "doc_id long, terms array<string>")
+    index = LexicalIndex(docs)
+    asked = query_terms(spark, {7: ["a", "b"]})
+    best = {r["doc_id"]: r["score"] for r in index.bm25(asked, None).collect()}
+    got = {r["doc_id"]: r["score"] for r in index.bm25_score(asked, docs.filter("doc_id <> 2")).collect()}
+    assert got == {1: best[1], 3: 0.0}
+
+
+def test_odd_parameters(spark):
+    """mu 0 smooths nothing; grades above the highest count as it."""
+    docs = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"])], "doc_id long, terms array<string>")
+    got = {r["doc_id"]: r["score"] for r in LexicalIndex(docs).query_likelihood(query_terms(spark, {1: ["a", "b"]}), None, Smoothing.dirichlet(0)).collect()}
+    assert got == {1: round(2 * math.log(0.5), 6), 2: 0.0}
+    run = spark.createDataFrame([(1, 5, 1.0, 1), (1, 6, 0.5, 2)], "query_id long, doc_id long, score double, rank long")
+    qrels = spark.createDataFrame([(1, 5, 4), (1, 6, 1)], "query_id long, doc_id long, rel int")
+    assert evaluation.graded_metrics(run, qrels, 10, 2).first()["err"] == pytest.approx(3 / 4 + 1 / 4 * 1 / 4 / 2)
