@@ -12,8 +12,10 @@ so a run of them is one paragraph.
 Equal paragraphs form a class (a 64-bit hash of the words). MinHash signatures of five-word shingles are banded: 3 bands of 2
 hashes for fine, 5 bands of 3 for coarse paragraphs, which two paragraphs of Jaccard similarity 0.8 share with a
 probability of 0.953 and 0.972 (README has the recall measured). All classes that share a band are compared, by the exact
-Jaccard similarity of their shingles: in lists of up to ``SMALL`` classes as pairs, in longer ones block by block, where
-a pair of blocks returns a spanning forest of its links and never all pairs. Linked classes form components, and components
+Jaccard similarity of their shingles: in lists of up to ``SMALL`` classes as pairs, in longer ones all in one task, or
+in pairs of blocks if there are more than ``setlinks.BLOCK``. There the class whose shingles are the most frequent is compared with
+all others first, which links most of a group of near copies, and then those left with all, in tiles; a spanning
+forest of the links comes back and never all pairs. Linked classes form components, and components
 that span several documents are reported: all their paragraphs but the first are removals.
 
 Edge cases: null and empty texts have no paragraphs; fewer words than a shingle are one shingle; pieces of lines
@@ -32,7 +34,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querent.operators.components import components, roots
+from querent.llm.setlinks import BLOCK, block_links
+from querent.operators.components import components
 from querent.runtime import bounded_batches, materialize, table
 
 RADIUS, INNER, EDGE = 6, 7, 14
@@ -40,8 +43,8 @@ WIDE = 40
 SHINGLE, JACCARD = 5, 0.8
 #: (bands, hashes of a band) of fine and of coarse paragraphs.
 BANDING = ((3, 2), (5, 3))
-#: Lists of more classes than SMALL are compared in blocks of about BLOCK.
-SMALL, BLOCK = 8, 256
+#: Lists of more classes than SMALL are compared in one task or in blocks.
+SMALL = 8
 #: Classes that a task remembers, so as to post one that repeats once.
 REMEMBERED = 1 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -244,52 +247,6 @@ def class_shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return with_text.select("d.doc_id", "d.text", "w.paragraphs").mapInArrow(run, "class long, grams array<long>").dropDuplicates(["class"])
 
 
-def _links(x: list[np.ndarray], y: list[np.ndarray], jaccard: float) -> np.ndarray:
-    """Which of the sets x and y have this Jaccard similarity, as a matrix."""
-    grams, at, times = np.unique(np.concatenate([*x, *y]), return_inverse=True, return_counts=True)
-    rank = np.cumsum(times > 1) - 1  # of those that several sets hold
-    row = np.repeat(np.arange(len(x) + len(y)), [len(v) for v in (*x, *y)])
-    some = times[at] > 1
-    held = np.zeros((len(x) + len(y), max(1, int(rank[-1]) + 1) if len(rank) else 1), np.float32)
-    held[row[some], rank[at[some]]] = 1
-    common = (held[: len(x)] @ held[len(x) :].T).astype(np.float64)
-    sizes = np.array([len(v) for v in (*x, *y)], np.float64)
-    return common >= jaccard * (sizes[: len(x), None] + sizes[None, len(x) :] - common)
-
-
-def _packed(rows: pa.Table) -> pa.Table:
-    """One row of a block: its classes, the sizes of their sets, and the sets."""
-    grams = rows.column("grams").combine_chunks()
-    sizes = pc.list_value_length(grams).to_numpy(zero_copy_only=False).astype("<i8")
-    own = [rows.column("class").to_numpy().astype("<i8").tobytes(), sizes.tobytes(), grams.flatten().to_numpy().astype("<i8").tobytes()]
-    return pa.table([rows.column(c).slice(0, 1) for c in ("band", "block", "blocks")] + [pa.array([v], pa.binary()) for v in own], names=["band", "block", "blocks", "classes", "sizes", "grams"])
-
-
-def block_links(members: DataFrame, grams: DataFrame, sizes: DataFrame, jaccard: float) -> DataFrame:
-    """(a, b): a spanning forest of the links inside each pair of blocks of the lists in ``sizes`` (band, n)."""
-    dealt = members.join(sizes, "band").withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("class", "band"), F.col("blocks")).cast("int"))
-    blocks = dealt.join(grams, "class").select("band", "block", "blocks", "class", "grams").groupBy("band", "block")
-    form = "band long, block int, blocks int, classes binary, sizes binary, grams binary"
-    blocks = materialize(blocks.applyInArrow(_packed, form), "blocks")
-
-    def opened(kinds: bytes, sizes_: bytes, sets: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
-        return np.frombuffer(kinds, "<i8"), np.split(np.frombuffer(sets, "<i8"), np.cumsum(np.frombuffer(sizes_, "<i8"))[:-1])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                (a, x), (b, y) = opened(row["classes"], row["sizes"], row["grams"]), opened(row["classes_"], row["sizes_"], row["grams_"])
-                i, j = np.nonzero(_links(x, y, jaccard))
-                keep = a[i] != b[j]
-                nodes, low = roots(a[i[keep]], b[j[keep]])
-                yield pa.record_batch([pa.array(nodes[nodes != low]), pa.array(low[nodes != low])], names=["a", "b"])
-
-    other = blocks.select(F.col("band").alias("band_"), F.col("block").alias("to"), *[F.col(c).alias(f"{c}_") for c in ("classes", "sizes", "grams")])
-    pairs = blocks.select("*", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("to_")).join(other, (F.col("band") == F.col("band_")) & (F.col("to") == F.col("to_")))
-    return pairs.select("classes", "sizes", "grams", "classes_", "sizes_", "grams_").mapInArrow(work, "a long, b long")
-
-
 def duplicates(docs: DataFrame, jaccard: float = JACCARD, within: bool = False) -> DataFrame:
     """doc_id, paragraph, level, start, end, n_words, component_id (the smallest doc_id that shares it), kept, for every
     paragraph that repeats, equal or with this Jaccard similarity or more, across documents, or ``within`` one as well."""
@@ -310,7 +267,7 @@ def duplicates(docs: DataFrame, jaccard: float = JACCARD, within: bool = False)
     one, two = grams.select(F.col("class").alias("a"), F.col("grams").alias("x")), grams.select(F.col("class").alias("b"), F.col("grams").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     similar = materialize(pairs, "pairs").join(one, "a").join(two, "b").filter(common >= F.lit(jaccard) * (F.size("x") + F.size("y") - common)).select("a", "b")
-    large = materialize(block_links(members, grams, sizes.filter(F.col("n") > SMALL), jaccard), "links")
+    large = materialize(block_links(members, grams, sizes.filter(F.col("n") > SMALL), jaccard, BLOCK), "links")
     group = components(similar.unionByName(large)).select(F.col("node").alias("class"), "component")
     named = each.join(group, "class", "left").withColumn("component", F.coalesce("component", "class"))
     named = materialize(named, "named")

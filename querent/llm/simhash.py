@@ -29,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querent.llm.setlinks import block_links
 from querent.operators.components import components
 from querent.runtime import bounded_batches, materialize, table
 
 WORDS, SEED, BITS = 4, 42, 4
-#: Independent fingerprints of ``similar`` besides the text's own.
-ROUNDS = 8
+#: Independent fingerprints of ``similar`` besides the text's own: a pair of Jaccard similarity 0.8 meets with a probability of 0.95.
+ROUNDS = 11
+#: In ``similar``, lists of more sets than SMALL are compared in a task, in blocks of about BLOCK.
+SMALL, BLOCK = 8, 1024
 #: Positions in three groups; a triple inside a group, or two of a group with one of the next.
 GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
 TRIPLES = tuple(t for g in GROUPS for t in combinations(g, 3)) + tuple((*p, x) for i, g in enumerate(GROUPS) for p in combinations(g, 2) for x in GROUPS[(i + 1) % 3])
@@ -177,12 +180,16 @@ def shingle_sets(docs: DataFrame, words: int, seed: int = SEED) -> DataFrame:
     return bounded_batches(docs.select("text")).mapInArrow(run, "class long, grams array<long>")
 
 
+def sets_of(docs: DataFrame, kinds: DataFrame, asked: DataFrame, words: int, seed: int = SEED) -> DataFrame:
+    """(class, grams) of the classes in ``asked``, each from one document."""
+    ids = materialize(kinds.join(asked, "class", "left_semi").select("doc_id").distinct(), "simhash")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    return materialize(shingle_sets(texts, words, seed).dropDuplicates(["class"]), "simhash")
+
+
 def verified(docs: DataFrame, kinds: DataFrame, pairs: DataFrame, words: int, jaccard: float, seed: int = SEED) -> DataFrame:
     """Those of the pairs (a, b) of classes whose sets of shingles have this Jaccard similarity."""
-    both = materialize(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "simhash")
-    asked = materialize(kinds.join(both, "class", "left_semi").select("doc_id").distinct(), "simhash")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id", "left_semi")
-    grams = materialize(shingle_sets(texts, words, seed).dropDuplicates(["class"]), "simhash")
+    grams = sets_of(docs, kinds, pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), words, seed)
     sides = pairs.join(grams.select(F.col("class").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("class").alias("b"), F.col("grams").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return materialize(sides.filter(common >= F.lit(jaccard) * (F.size("x") + F.size("y") - common)).select("a", "b"), "simhash")
@@ -241,9 +248,10 @@ def similar(docs: DataFrame, words: int = 5, jaccard: float = 0.8, rounds: int =
     Rows with equal sets are a class. Similar rows' fingerprints may differ in a dozen bits, more than the index of one
     fingerprint is sure to find; so every class is posted with its fingerprint and ``rounds`` independent ones. All pairs
     that meet in a list count: each class is first compared with the nearest of its lists' first ones, the components of
-    the links found are contracted, and members outside the component of their list's first are then paired with all
-    members in other components. Pairs whose sizes or whose fingerprints together (``far``) rule the similarity out are
-    dropped, the others verified by their shingles: no row is linked unverified.
+    the links found are contracted, and members outside the component of their list's first are then compared with all
+    members in other components: as pairs in lists of up to ``SMALL``, of which those are dropped whose sizes or whose
+    fingerprints together (``far``) rule the similarity out; in longer lists in tiles (``setlinks``). All links are verified
+    by the shingles: no row is linked unverified.
     """
     spark = docs.sparkSession
     named = docs.filter("doc_id IS NOT NULL")
@@ -272,11 +280,18 @@ def similar(docs: DataFrame, words: int = 5, jaccard: float = 0.8, rounds: int =
     rest = materialize(owned.filter("own <> main"), "simhash")
     heads = rest.select("band", F.col("first").alias("class"), "first", F.col("main").alias("own"), "main").distinct()
     with_rest = materialize(owned.join(rest.select("band").distinct(), "band", "left_semi").unionByName(heads), "simhash")
-    one, two = rest.alias("p"), with_rest.alias("q")
+    sizes = materialize(with_rest.groupBy("band").agg(F.countDistinct("class").alias("n")), "simhash")
+    few = with_rest.join(sizes.filter(F.col("n") <= SMALL).select("band"), "band", "left_semi")
+    one, two = few.filter("own <> main").alias("p"), few.alias("q")
     once = (F.col("q.own") == F.col("q.main")) | (F.col("p.class") < F.col("q.class"))
     met = one.join(two, (F.col("p.band") == F.col("q.band")) & (F.col("p.own") != F.col("q.own")) & once)
     met = met.select(F.least("p.class", "q.class").alias("a"), F.greatest("p.class", "q.class").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     others = verified(named, kinds, materialize(likely(met).select("a", "b"), "simhash"), words, jaccard, seed)
+    # Longer lists in a task each, so that a group of texts that are alike but not enough makes no rows of pairs.
+    long_ = sizes.filter(F.col("n") > SMALL)
+    many = materialize(with_rest.join(long_.select("band"), "band", "left_semi").select("band", "class").distinct(), "simhash")
+    grams = sets_of(named, kinds, many.select("class").distinct(), words, seed).filter(F.size("grams") > 0)
+    others = others.unionByName(materialize(block_links(many, grams, long_, jaccard, BLOCK), "simhash"))
     low = kinds.select("class", F.col("doc_id").alias("low"))
     between = links.union(others).join(low.withColumnsRenamed({"class": "a", "low": "i"}), "a").join(low.withColumnsRenamed({"class": "b", "low": "j"}), "b").select("i", "j")
     return components(between.union(every.join(low, "class").select("doc_id", "low")))

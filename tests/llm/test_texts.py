@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from querent.llm import bpe, flac, mixing, ngramlm, paragraphs, registry, secrets, simhash, toxicity, trigrams
+from querent.llm import bpe, flac, mixing, ngramlm, paragraphs, registry, secrets, setlinks, simhash, toxicity, trigrams
 from querent.llm.textlib import count_words
 
 from .conftest import SCHEMA, prose
@@ -292,8 +292,12 @@ def test_similar_in_shared_lists(spark, monkeypatch):
     want = linked_by(range(60), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(simhash, "_keys", lambda fp, first: F.array(first))
-    found = {r["node"]: r["component"] for r in simhash.similar(docs).collect()}
-    assert len(set(want)) == 6 and [found.get(i, i) for i in range(60)] == want
+    monkeypatch.setattr(setlinks, "TILE", 9)
+    for small, block in ((8, 1024), (100, 1024), (8, 13)):
+        monkeypatch.setattr(simhash, "SMALL", small)
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        found = {r["node"]: r["component"] for r in simhash.similar(docs).collect()}
+        assert len(set(want)) == 6 and [found.get(i, i) for i in range(60)] == want
 
 
 def test_listed_members():
@@ -397,6 +401,31 @@ def test_shared_lists():
         assert sorted(got) == want and (n > 1 or len(got) == len(want))
 
 
+def test_set_links(monkeypatch):
+    """What links join is joined, within sets and between two parts of them."""
+    monkeypatch.setattr(setlinks, "TILE", 7)
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        bases = [rng.choice(5000, rng.integers(1, 40), replace=False) for _ in range(4)]
+        sets = [np.unique(np.concatenate([rng.permutation(b)[: max(1, len(b) - rng.integers(0, 5))], rng.integers(0, 5000, rng.integers(0, 4))])) for b in bases for _ in range(12)]
+        sizes, flat = np.array([len(x) for x in sets]), np.concatenate(sets)
+        whole = [set(x.tolist()) for x in sets]
+        close = lambda i, j: len(whole[i] & whole[j]) >= 0.8 * len(whole[i] | whole[j])  # noqa: B023, E731
+        i, j = setlinks.set_links(flat, sizes, 0.8)
+        pairs = set(zip(i.tolist(), j.tolist(), strict=True))
+        want = linked_by(range(48), close)
+        assert linked_by(range(48), lambda a, b: (a, b) in pairs or (b, a) in pairs) == want  # noqa: B023
+        both = set()
+        for split in (20,):
+            i, j = setlinks.set_links(flat, sizes, 0.8, split)
+            both |= set(zip(i.tolist(), j.tolist(), strict=True))
+            for a, b in ((0, split), (split, 48)):
+                part = np.concatenate(sets[a:b])
+                i, j = setlinks.set_links(part, sizes[a:b], 0.8)
+                both |= set(zip((i + a).tolist(), (j + a).tolist(), strict=True))
+        assert linked_by(range(48), lambda a, b: (a, b) in both or (b, a) in both) == want  # noqa: B023
+
+
 def near_texts():
     """Copies of prose with words changed at random, copies of a template, and a passage inside other texts."""
     rng = random.Random(31)
@@ -421,6 +450,7 @@ def test_paragraph_recall(spark, monkeypatch, small):
     """Links against brute force over all pairs of paragraphs: none is wrong, and nine in ten or more are joined."""
     monkeypatch.setattr(paragraphs, "SMALL", small)
     monkeypatch.setattr(paragraphs, "BLOCK", 16)
+    monkeypatch.setattr(setlinks, "TILE", 5)
     rows = near_texts()
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
     c = paragraphs.Cut(rows, paragraphs._Words())
