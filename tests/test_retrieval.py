@@ -13,7 +13,8 @@ from querent.operators.lexical import Bm25Params, EagerIndex, LexicalIndex, Smoo
 from querent.plans.pipeline import Plan
 from querent.sources import codecs, storage, trec
 
-DOCS = [(0, "machine learning algorithms"), (1, "deep learning neural"), (2, "python programming"), (3, "rust systems")]
+#: 11 words in 6 documents: amber in 0 (twice) and 2, lantern in 0 and 1, harbour in 1 and 4.
+DOCS = [(0, "Amber lantern, amber"), (1, "lantern harbour"), (2, "amber"), (3, "granite quarry dust"), (4, "harbour ferry"), (5, "")]
 
 
 @pytest.fixture(scope="module")
@@ -26,17 +27,21 @@ def ids(df):
 
 
 def test_bm25_known(spark, index):
-    assert set(ids(index.bm25(query_terms(spark, {1: "machine learning"}), 10))) == {0, 1}
-    assert ids(index.bm25(query_terms(spark, {1: "deep learning"}), 1)) == [1]
-    assert ids(index.bm25(query_terms(spark, {1: "machine"}), 0)) == []
-    assert ids(index.bm25(query_terms(spark, {1: "absent"}), 5)) == []
+    found = index.bm25(query_terms(spark, {1: "amber", 2: "harbour lantern", 3: "absent"}), 10).collect()
+    idf = math.log((6 - 2 + 0.5) / (2 + 0.5) + 1)
+    part = lambda tf, dl: idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl * 6 / 11))
+    want = {(1, 0): part(2, 3), (1, 2): part(1, 1), (2, 0): part(1, 3), (2, 1): 2 * part(1, 2), (2, 4): part(1, 2)}
+    assert {(r["query_id"], r["doc_id"]): r["score"] for r in found} == pytest.approx(want, abs=1e-6)
+    assert [r["doc_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == 2] == [1, 4, 0]
+    assert ids(index.bm25(query_terms(spark, {1: "harbour lantern"}), 1)) == [1]
+    assert ids(index.bm25(query_terms(spark, {1: "amber"}), 0)) == []
 
 
 def test_empty_queries_and_parameters(spark, index):
     with pytest.raises(EmptyQuery):
         query_terms(spark, {1: "!!"})
     with pytest.raises(InvalidParameter):
-        index.bm25(query_terms(spark, {1: "machine"}), -1)
+        index.bm25(query_terms(spark, {1: "amber"}), -1)
     with pytest.raises(InvalidParameter):
         _ = Bm25Params(variant="x").added
 
@@ -71,34 +76,32 @@ def test_variants_saturation_and_repeats(spark):
 
 
 def test_eager_equals_lazy_and_manual(spark, index):
-    asked = query_terms(spark, {1: "machine learning", 2: "deep learning neural"})
-    lazy = index.bm25(asked, 10).orderBy("query_id", "rank").collect()
+    asked = query_terms(spark, {1: "amber lantern", 2: "ferry harbour dust"})
     for params in (Bm25Params(), Bm25Params(variant="l")):
         lazy = index.bm25(asked, 10, params).orderBy("query_id", "rank").collect()
         assert index.eager(params).retrieve(asked, 10).orderBy("query_id", "rank").collect() == lazy
-    manual = EagerIndex(spark.createDataFrame([("quick", 0, 2.0), ("fox", 0, 1.5), ("quick", 1, 1.0), ("brown", 1, 1.2)], "term string, doc_id long, score double"))
-    first = manual.retrieve(query_terms(spark, {1: "quick fox unknown"}), 10).orderBy("rank").first()
-    assert (first["doc_id"], first["score"]) == (0, 3.5)
+    given = EagerIndex(spark.createDataFrame([("tar", 4, 1.25), ("rope", 4, 0.5), ("tar", 9, 2.0), ("sail", 6, 8.0)], "term string, doc_id long, score double"))
+    found = given.retrieve(query_terms(spark, {1: "rope tar hull"}), 10).orderBy("rank").collect()
+    assert [(r["doc_id"], r["score"]) for r in found] == [(9, 2.0), (4, 1.75)]
 
 
 def test_likelihood_fallback_and_extremes(spark, index):
-    asked = query_terms(spark, {1: "unseen"})
-    assert ids(index.query_likelihood(asked, 10)) == [0, 1, 2, 3]
+    assert ids(index.query_likelihood(query_terms(spark, {1: "unseen"}), 10)) == [0, 1, 2, 3, 4, 5]
     for s in (Smoothing.jelinek_mercer(0.0), Smoothing.jelinek_mercer(2.0), Smoothing.dirichlet(-1.0)):
-        found = index.query_likelihood(query_terms(spark, {1: "machine"}), 10, s).collect()
-        assert [r["doc_id"] for r in found] == [0]
+        assert ids(index.query_likelihood(query_terms(spark, {1: "quarry"}), 10, s)) == [3]
 
 
 def test_dense(spark):
-    rows = spark.createDataFrame([(0, [1.0, 0.0], 1), (1, [0.707, 0.707], 2), (2, [0.0, -1.0], 1)], "doc_id long, embedding array<float>, category int")
-    found = dense.retrieve(rows, {7: [1.0, 0.0]}, 10).orderBy("rank").collect()
-    assert [(r["doc_id"], round(r["score"], 3)) for r in found] == [(0, 1.0), (1, 0.707)]
-    assert ids(dense.retrieve(rows, {7: [1.0, 0.0]}, 10, filters.equals("category", 2))) == [1]
+    rows = spark.createDataFrame([(0, [2.0, 1.0, 0.0], 5), (1, [0.0, 3.0, 1.0], 6), (2, [-1.0, 0.0, 2.0], 5), (3, [0.5, 0.0, 4.0], 6)], "doc_id long, embedding array<float>, category int")
+    found = dense.retrieve(rows, {7: [1.0, 1.0, 0.0]}, 10).orderBy("rank").collect()
+    assert [(r["doc_id"], r["score"]) for r in found] == [(0, 3.0), (1, 3.0), (3, 0.5)]  # negative products are left out
+    assert ids(dense.retrieve(rows, {7: [1.0, 1.0, 0.0]}, 1, filters.equals("category", 6))) == [1]
     with pytest.raises(RetrievalError):
-        dense.retrieve(rows, {7: [1.0, 0.0]}, 2, filters.equals("category", 2), strict=True)
-    asked = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, embedding array<float>")
-    assert ids(dense.search_blocks(rows, asked, 2)) == [0, 1]
-    bad = spark.createDataFrame([(7, [1.0, 0.0, 0.0])], "query_id long, embedding array<float>")
+        dense.retrieve(rows, {7: [1.0, 1.0, 0.0]}, 2, filters.equals("category", 5), strict=True)
+    asked = spark.createDataFrame([(7, [1.0, 1.0, 0.0])], "query_id long, embedding array<float>")
+    best = dense.search_blocks(rows, asked, 2).orderBy("rank").collect()
+    assert [(r["doc_id"], r["score"]) for r in best] == [(0, round(3 / math.sqrt(10), 6)), (1, round(3 / math.sqrt(20), 6))]
+    bad = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, embedding array<float>")
     with pytest.raises(Exception, match=DimensionMismatch.__name__):
         dense.search_blocks(rows, bad, 2).collect()
 
@@ -178,10 +181,10 @@ def test_evaluation(spark):
 
 
 def test_expansion_and_routing(spark, index):
-    asked = query_terms(spark, {1: "machine"})
+    asked = query_terms(spark, {1: "granite"})
     terms = expansion.expansion_terms(index, asked, index.bm25(asked, 5), expansion.Expander(terms=2))
-    assert [r["term"] for r in terms.orderBy("rank").collect()] == ["algorithms", "learning"]
-    assert set(ids(expansion.retrieve_with_feedback(index, asked))) == {0, 1}
+    assert [r["term"] for r in terms.orderBy("rank").collect()] == ["dust", "quarry"]
+    assert set(ids(expansion.retrieve_with_feedback(index, query_terms(spark, {1: "ferry"})))) == {1, 4}
     assert expansion.Expander(weight=7).weight == 1.0
     rows = spark.createDataFrame([(1, ["retrieval", "semantics"]), (2, ["a", "a", "a", "a"]), (3, []), (4, ["tiny", "word"])], "query_id long, terms array<string>")
     assert [r["kind"] for r in routing.routed(rows).orderBy("query_id").collect()] == ["semantic", "keyword", "unknown", "hybrid"]
@@ -189,12 +192,12 @@ def test_expansion_and_routing(spark, index):
 
 
 def test_generative(spark):
-    passages = spark.createDataFrame([(0, "Prime Rate in Canada is a guideline interest rate"), (1, None)], "doc_id long, text string")
-    named = spark.createDataFrame([(1, "Prime Rate in Canada", 5.0), (1, "guideline interest", 3.0), (1, "absent words", 2.0), (1, "is", 9.0), (1, "guideline interest", 1.0)], "query_id long, identifier string, weight double")
-    assert [(r["doc_id"], r["score"]) for r in generative.score_passages(passages, named).orderBy("rank").collect()] == [(0, 8.0), (1, 0.0)]
-    assert generative.matching_identifiers(passages, named).count() == 2
-    asked = spark.createDataFrame([(1, "prime rate of x")], "query_id long, text string")
-    assert generative.retrieve(passages, asked, k=10).count() == 2
+    passages = spark.createDataFrame([(0, "At noon the ferry leaves the old harbour"), (1, None), (2, "old harbour wall")], "doc_id long, text string")
+    named = spark.createDataFrame([(1, "old harbour", 4.0), (1, "ferry leaves", 2.5), (1, "night ferry", 6.0), (1, "at", 7.0), (1, "old harbour", 1.5)], "query_id long, identifier string, weight double")
+    assert [(r["doc_id"], r["score"]) for r in generative.score_passages(passages, named).orderBy("rank").collect()] == [(0, 6.5), (2, 4.0), (1, 0.0)]
+    assert generative.matching_identifiers(passages, named).count() == 3
+    asked = spark.createDataFrame([(1, "when does it leave")], "query_id long, text string")
+    assert generative.retrieve(passages, asked, k=10).count() == 3
     rows = spark.createDataFrame([(1, 1, 10.0, True), (1, 2, 4.0, False), (2, 3, 1.0, True)], "query_id long, doc_id long, score double, relevant boolean")
     by = {r["query_id"]: r["loss1"] for r in generative.rank_losses(rows).collect()}
     assert by == {1: 494.0, 2: 0.0}
