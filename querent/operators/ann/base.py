@@ -70,7 +70,8 @@ def bucket_search(docs: DataFrame, queries: DataFrame, k: int, task_rows: int =
     """The k most similar of ``docs`` (doc_id, embedding, bucket) that share a bucket with a query (query_id, embedding, bucket).
 
     A bucket's documents are dealt over as many tasks as its size asks for, each with all queries of the bucket; a task
-    returns k rows a query. ``compare(queries, docs)`` gives similarities; the cosine if not given.
+    returns k rows a query. ``compare(queries, docs)`` gives the similarities of unit queries and of what ``embedding`` holds,
+    such as codes; the cosine if not given.
     """
     sizes = materialize(docs.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(task_rows)).cast("int").alias("parts")), "buckets")
     dealt = docs.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).drop("parts")
@@ -82,7 +83,8 @@ def bucket_search(docs: DataFrame, queries: DataFrame, k: int, task_rows: int =
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
         ids, qids = (t.column(c).to_numpy() for t, c in ((left, "doc_id"), (right, "query_id")))
-        x, q = (unit(matrix(t.column(c).combine_chunks())) for t, c in ((left, "embedding"), (right, "asked")))
+        x, q = (matrix(t.column(c).combine_chunks()) for t, c in ((left, "embedding"), (right, "asked")))
+        x, q = unit(x) if compare is None else x, unit(q)
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], x[order]
         out = []

@@ -46,10 +46,28 @@ class Ivf(_Buckets):
         self.centroids = kmeans.fit(vectors, self.clusters, seed=self.seed)
         c = self.centroids
         self._store(vectors, lambda x: (x @ c.T).argmax(axis=1)[:, None])
-        n = max(1, min(self.nprobe, len(c)))
-        self._probe = lambda x: np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :n]
+        self._ask()
         return self
 
+    def save(self, path: str) -> None:
+        """Rows clustered by bucket, and the centroids."""
+        self.rows.repartitionByRange("bucket").sortWithinPartitions("bucket", "doc_id").write.parquet(f"{path}/rows")
+        spark = self.rows.sparkSession
+        spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(self.centroids)], "bucket int, centroid array<double>").coalesce(1).write.parquet(f"{path}/centroids")
+
+    @classmethod
+    def load(cls, spark, path: str, **options):
+        """A stored index, with the options that its searches are to use."""
+        index = cls(**options)
+        index.rows = spark.read.parquet(f"{path}/rows")
+        index.centroids = np.array([r["centroid"] for r in spark.read.parquet(f"{path}/centroids").orderBy("bucket").collect()])  # ``clusters`` rows
+        index._ask()
+        return index
+
+    def _ask(self) -> None:
+        c, n = self.centroids, max(1, min(self.nprobe, len(self.centroids)))
+        self._probe = lambda x: np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :n]
+
     def with_categories(self, metadata: DataFrame) -> Ivf:
         """Categories (doc_id, category in 0..63) for ``search_category``: each cluster gets a bit mask of its categories."""
         self.rows = materialize(self.rows.join(metadata.select("doc_id", "category"), "doc_id", "left"), "ann")
@@ -58,32 +76,106 @@ class Ivf(_Buckets):
 
     def search_category(self, queries: DataFrame, category: int, k: int = 10) -> DataFrame:
         """As ``search``, among rows of the category; clusters without it are skipped by their masks."""
+        return bucket_search(self._of_category(category), with_buckets(queries, "query_id", self._probe), k)
+
+    def _of_category(self, category: int) -> DataFrame:
         if self.masks is None:
             raise InvalidParameter("the index has no categories")
         if not 0 <= category < 64:
             raise InvalidParameter("categories are 0 to 63")
         bit = 1 << category if category < 63 else -(1 << 63)
         some = self.masks.filter(F.col("mask").bitwiseAND(F.lit(bit)) != 0).select("bucket")
-        docs = self.rows.filter(F.col("category") == category).join(some, "bucket", "left_semi").select("doc_id", "embedding", "bucket")
-        return bucket_search(docs, with_buckets(queries, "query_id", self._probe), k)
+        return self.rows.filter(F.col("category") == category).join(some, "bucket", "left_semi").select("doc_id", "embedding", "bucket")
+
+
+@dataclass
+class IvfPq(Ivf):
+    """An inverted file of product codes: a query compares its table of products with the codes in its ``nprobe`` nearest
+    clusters, and the ``reorder`` * k best are rescored by the vectors, which are read for these alone."""
+
+    books: int = 8
+    bits: int = 8
+    reorder: int = 10
+    quantizer: object | None = field(default=None, repr=False)
+    vectors: DataFrame | None = field(default=None, repr=False)
+
+    def _quantizer(self, dim: int):
+        from querent.operators.ann.quantize import ProductQuantizer
+
+        return ProductQuantizer(dim, self.books, 1 << self.bits)
+
+    def build(self, vectors: DataFrame) -> IvfPq:
+        from querent.operators.ann.quantize import encode, fitted
+
+        super().build(vectors)
+        self.quantizer = fitted(vectors, self._quantizer(vectors.agg(F.max(F.size("embedding"))).first()[0] or 1))
+        self.vectors = materialize(self.rows.select("doc_id", "embedding"), "ann")
+        codes = encode(self.rows, self.quantizer)
+        placed = self.rows.select("doc_id", "bucket").join(codes, "doc_id").select("doc_id", F.col("codes").cast("array<float>").alias("embedding"), "bucket")
+        self.rows = materialize(placed.repartitionByRange("bucket").sortWithinPartitions("bucket"), "ann")
+        return self
+
+    def _rescored(self, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+        from querent.operators.rerank import rerank_cosine
+
+        quantizer = self.quantizer
+        # Codes up to 16 bits went through floats, which hold them exactly.
+        found = bucket_search(docs, with_buckets(queries, "query_id", self._probe), self.reorder * k, compare=lambda q, c: quantizer.similarities(q, c.astype(np.int64)))
+        return rerank_cosine(found, self.vectors, queries, k).select("query_id", "doc_id", "score", "rank")
+
+    def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        return self._rescored(self.rows.select("doc_id", "embedding", "bucket"), queries, k)
+
+    def search_category(self, queries: DataFrame, category: int, k: int = 10) -> DataFrame:
+        return self._rescored(self._of_category(category), queries, k)
+
+    def save(self, path: str) -> None:
+        super().save(path)
+        self.vectors.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{path}/vectors")
+        rows = [(b, i, c.tolist()) for b, book in enumerate(self.quantizer.codebooks) for i, c in enumerate(book)]
+        self.rows.sparkSession.createDataFrame(rows, "book int, code int, word array<double>").coalesce(1).write.parquet(f"{path}/codebooks")
+
+    @classmethod
+    def load(cls, spark, path: str, **options):
+        index = super().load(spark, path, **options)
+        books: list[list] = []
+        for r in spark.read.parquet(f"{path}/codebooks").orderBy("book", "code").collect():  # books * codes words
+            if r["book"] == len(books):
+                books.append([])
+            books[-1].append(r["word"])
+        index.books, index.vectors = len(books), spark.read.parquet(f"{path}/vectors")
+        index.quantizer = index._quantizer(index.centroids.shape[1])
+        index.quantizer.codebooks = [np.array(b) for b in books]
+        return index
 
 
 @dataclass
-class Scann(Ivf):
-    """Partitions probed, exact scores within; a tenth of the partitions, 1 to 10, are probed."""
+class Scann(IvfPq):
+    """An inverted file of anisotropic codes, the first max(reorder, k) of which are rescored; a tenth of the partitions, 1 to
+    10, are probed."""
 
     clusters: int = 256
     nprobe: int = 0
+    books: int = 0
+    bits: int = 4
     reorder: int = 100
 
-    def build(self, vectors: DataFrame) -> Scann:
+    def _quantizer(self, dim: int):
+        from querent.operators.ann.quantize import AnisotropicQuantizer
+
+        books = self.books or max(b for b in range(1, dim + 1) if dim % b == 0 and b <= max(1, dim // 2))
+        return AnisotropicQuantizer(dim, books, 1 << self.bits)
+
+    def _ask(self) -> None:
         self.nprobe = self.nprobe or min(10, max(1, self.clusters // 10))
-        super().build(vectors)
-        return self
+        super()._ask()
 
-    def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
-        """Candidates by score, the first max(reorder, k) rescored exactly; scores within partitions are exact already."""
-        return super().search(queries, max(k, self.reorder)).filter(F.col("rank") <= k)
+    def _rescored(self, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+        from querent.operators.rerank import rerank_cosine
+
+        quantizer = self.quantizer
+        found = bucket_search(docs, with_buckets(queries, "query_id", self._probe), max(self.reorder, k), compare=lambda q, c: quantizer.similarities(q, c.astype(np.int64)))
+        return rerank_cosine(found, self.vectors, queries, k).select("query_id", "doc_id", "score", "rank")
 
 
 @dataclass
@@ -192,20 +284,26 @@ class KMeansTree(_Buckets):
             free += len(kept)
 
         def descend(v: np.ndarray, beam: int) -> np.ndarray:
-            out = np.full((len(v), beam), -1, np.int64)
-            for i, row in enumerate(v):
-                front = [(0.0, 0)]
-                while any(node in children for _, node in front):
-                    step = []
-                    for s, node in front:
-                        if node in children:
-                            c, ids = children[node]
-                            step += list(zip((c @ row).tolist(), ids, strict=True))
-                        else:
-                            step.append((s, node))
-                    front = sorted(step, key=lambda p: (-p[0], p[1]))[:beam]
-                out[i, : len(front)] = [node for _, node in front]
-            return out
+            """The leaves that each row reaches, level by level for all rows at a time."""
+            nodes, scores = np.full((len(v), beam), -1, np.int64), np.full((len(v), beam), -np.inf)
+            nodes[:, 0] = scores[:, 0] = 0
+            while any(int(node) in children for node in np.unique(nodes)):
+                found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                for node in np.unique(nodes[nodes >= 0]).tolist():
+                    row, at = np.nonzero(nodes == node)
+                    if node in children:
+                        c, ids = children[node]
+                        found.append((np.repeat(row, len(c)), (v[row] @ c.T).ravel(), np.tile(ids, len(row))))
+                    else:
+                        found.append((row, scores[row, at], np.full(len(row), node)))
+                row, score, node = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.lexsort((node, -score, row))
+                row, score, node = row[order], score[order], node[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                first = place < beam
+                nodes, scores = np.full((len(v), beam), -1, np.int64), np.full((len(v), beam), -np.inf)
+                nodes[row[first], place[first]], scores[row[first], place[first]] = node[first], score[first]
+            return nodes
 
         beam = self.beam
         self._store(vectors, lambda v: descend(v, 1))

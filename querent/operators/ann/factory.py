@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from querent.errors import InvalidParameter
 from querent.operators import dense
 from querent.operators.ann import kmeans
-from querent.operators.ann.buckets import Annoy, ExactTree, Ivf, KMeansTree, Lsh, Scann
+from querent.operators.ann.buckets import Annoy, ExactTree, Ivf, IvfPq, KMeansTree, Lsh, Scann
 from querent.operators.ann.density import Layers
 from querent.operators.ann.graphs import DiskAnn, Hnsw, Nsw, Sng, Vamana
 from querent.operators.evaluation import neighbour_recall
 from querent.runtime import materialize
 
-NAMES = {"lsh": Lsh, "annoy": Annoy, "kmeans_tree": KMeansTree, "kd_tree": lambda **o: ExactTree("kd", **o), "ball_tree": lambda **o: ExactTree("ball", **o), "rp_tree": lambda **o: ExactTree("rp", **o), "sng": Sng, "vamana": Vamana, "diskann": DiskAnn, "hnsw": Hnsw, "nsw": Nsw, "ivf": Ivf, "scann": Scann}
+NAMES = {"lsh": Lsh, "annoy": Annoy, "kmeans_tree": KMeansTree, "kd_tree": lambda **o: ExactTree("kd", **o), "ball_tree": lambda **o: ExactTree("ball", **o), "rp_tree": lambda **o: ExactTree("rp", **o), "sng": Sng, "vamana": Vamana, "diskann": DiskAnn, "hnsw": Hnsw, "nsw": Nsw, "ivf": Ivf, "ivf_pq": IvfPq, "scann": Scann}
 
 
 def index_factory(dimension: int, text: str):
@@ -29,7 +29,7 @@ def index_factory(dimension: int, text: str):
     text = text.strip()
     number = lambda s: int(s) if int(s) > 0 else _refuse(f"{s} must be positive")
     if m := re.fullmatch(r"HNSW(\d+)(?:,(\d+))?", text):
-        return Hnsw(degree=number(m[1]), candidates=max(200, number(m[2] or m[1])))
+        return Hnsw(degree=number(m[1]), m_max=number(m[2] or m[1]))
     if m := re.fullmatch(r"NSW(\d+)", text):
         return Nsw(degree=number(m[1]))
     if m := re.fullmatch(r"IVF(\d+),PQ(\d+)(?:x(\d+))?", text):
@@ -38,7 +38,7 @@ def index_factory(dimension: int, text: str):
             raise InvalidParameter(f"{books} doesn't divide {dimension}")
         if bits > 16:
             raise InvalidParameter("codes have up to 16 bits")
-        return Ivf(clusters=n, nprobe=min(100, max(1, n // 10)))
+        return IvfPq(clusters=n, nprobe=min(100, max(1, n // 10)), books=books, bits=bits)
     if m := re.fullmatch(r"SCANN(\d+)", text):
         return Scann(clusters=number(m[1]))
     raise InvalidParameter(f"unknown index {text!r}")
@@ -120,10 +120,10 @@ class Tuner:
 
     def nprobe(self, vectors: DataFrame, asked: DataFrame, clusters: int, values: list[int]) -> Tuning:
         index = Ivf(clusters=clusters, nprobe=1).build(vectors)
-        centroids = index.centroids
 
         def search(some, k, v):
-            index._probe = lambda x: (-(x @ centroids.T)).argsort(axis=1, kind="stable")[:, : max(1, min(v, len(centroids)))]
+            index.nprobe = v
+            index._ask()
             return index.search(some, k)
 
         return self._tune(vectors, asked, search, values)

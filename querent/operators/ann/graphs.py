@@ -1,9 +1,10 @@
-"""Proximity graphs: NSW, HNSW, OPT-SNG, Vamana and a disk-resident one, in shards.
+"""Proximity graphs: NSW, layered HNSW, OPT-SNG, Vamana and a disk-resident one, in shards.
 
-Vectors are dealt over shards of bounded size by a hash of their id. A shard's graph is built from its exact nearest
-neighbours, thinned by the index's rule, and stored as one row: ids, vectors, edges, entry points. A query is searched in
-every shard by best-first beams, and shards' results are merged; so the index scales by shards and a lost executor costs
-a re-read. Levels (HNSW) are samples that thin out by the same factor from level to level.
+Vectors are dealt over shards by their nearest of some k-means centroids; a cluster larger than a shard should be is dealt over
+several by a hash of ids. A shard's graph is one row: ids, vectors, levels, and the edges of each layer. A query goes to the
+shards of its ``probes`` nearest centroids, where it descends the layers greedily and ends in a best-first beam; results
+of shards are merged. So the index scales by shards, a query's work doesn't grow with their number, and a lost executor
+costs a re-read. ``add`` builds again the shards that get rows, and no others.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querent.errors import DimensionMismatch, InvalidParameter
+from querent.operators.ann import kmeans
 from querent.operators.ann.base import AnnStats, matrix, unit
-from querent.operators.dense import packed
-from querent.operators.topk import ranked
+from querent.operators.topk import EXACT, ranked
 from querent.runtime import materialize
 
 SHARD_ROWS = 4096
-SCHEMA = "shard int, n int, dim int, ids binary, vectors binary, offsets binary, edges binary, entries binary"
+PROBES = 8
+SCHEMA = "shard long, cluster int, n int, dim int, ids binary, vectors binary, levels binary, offsets binary, edges binary, categories binary, mean double, variance double"
 
 
 def thin(distances: np.ndarray, between: np.ndarray, order: np.ndarray, most: int, rule: str = "rnd", alpha: float = 1.3, angle: float = 60.0) -> list[int]:
@@ -59,8 +61,8 @@ def thin(distances: np.ndarray, between: np.ndarray, order: np.ndarray, most: in
 
 
 def truncation(n: int, dimension: int) -> float:
-    """The radius of OPT-SNG, at most the largest cosine distance."""
-    return min(2.0, max(1.0, math.log(max(n, 2)) * math.sqrt(dimension)))
+    """The radius of OPT-SNG; from a few vectors on it lies beyond the largest cosine distance, 2, and cuts nothing."""
+    return max(1.0, math.log(max(n, 2)) * math.sqrt(dimension))
 
 
 @dataclass
@@ -86,177 +88,363 @@ def max_degree(n: int, radius: float) -> int:
     return int(min(256, max(16, math.ceil(n ** (2 / 3) * radius))))
 
 
-def build_graph(x: np.ndarray, degree: int, candidates: int, rule: str, alpha: float, angle: float, connect: bool = True) -> list[np.ndarray]:
-    """Neighbour lists over unit vectors: thinned exact neighbours, both directions, filled up with the nearest."""
-    n = len(x)
+def martingale_prune(order: np.ndarray, distances: np.ndarray, radius: float, most: int) -> np.ndarray:
+    """The candidates (nearest first) within the radius, as many as ``most``."""
+    return order[distances[order] <= radius][:most]
+
+
+def cosine_distances(x: np.ndarray) -> np.ndarray:
     near = 1 - x @ x.T
     np.fill_diagonal(near, np.inf)
-    first = np.argsort(near, axis=1, kind="stable")[:, : min(candidates, max(0, n - 1))]
-    lists: list[set[int]] = []
-    for i in range(n):
-        keep = first[i][thin(near[i], near, first[i], degree, rule, alpha, angle)].tolist()
-        lists.append(set(keep) | set(first[i][: max(0, degree // 2)].tolist()))
-    for i in range(n):
+    return near
+
+
+def both_ways(lists: list[set[int]], near: np.ndarray, degree: int, most: int, how) -> list[set[int]]:
+    """Edges in both directions; a node with more than ``most`` is thinned again, and filled up with its nearest."""
+    for i in range(len(lists)):
         for j in list(lists[i]):
             lists[j].add(i)
-    for i in range(n):
-        if len(lists[i]) > 2 * degree:
+    for i in range(len(lists)):
+        if len(lists[i]) > most:
             own = np.array(sorted(lists[i], key=lambda j: (near[i, j], j)))
-            keep = thin(near[i], near, own, 2 * degree, rule, alpha, angle)
-            lists[i] = set(own[keep].tolist()) | set(own[:degree].tolist())
-    if connect and n:  # one component: walk the rest from its nearest reached node
-        seen, todo = {0}, [0]
-        while len(seen) < n:
-            while todo:
-                for j in lists[todo.pop()]:
-                    if j not in seen:
-                        seen.add(j)
-                        todo.append(j)
-            if len(seen) < n:
-                rest = np.array(sorted(set(range(n)) - seen))
-                have = np.array(sorted(seen))
-                a, b = np.unravel_index(near[np.ix_(rest, have)].argmin(), (len(rest), len(have)))
-                i, j = int(rest[a]), int(have[b])
-                lists[i].add(j)
-                lists[j].add(i)
-                seen.add(i)
-                todo = [i]
-    return [np.array(sorted(v), np.int32) for v in lists]
-
-
-def beam(x: np.ndarray, neighbours, q: np.ndarray, entries: list[int], width: int) -> list[tuple[float, int]]:
-    """Best-first search: (distance, row) of the ``width`` nearest found, nearest first; the farthest is dropped first."""
+            lists[i] = set(own[how(i, own, most)].tolist()) | set(own[:degree].tolist())
+    return lists
+
+
+def connected(lists: list[set[int]], near: np.ndarray) -> list[set[int]]:
+    """One component: what isn't reached is linked from its nearest reached node."""
+    n = len(lists)
+    seen, todo = ({0}, [0]) if n else (set(), [])
+    while len(seen) < n:
+        while todo:
+            for j in lists[todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        if len(seen) < n:
+            rest, have = np.array(sorted(set(range(n)) - seen)), np.array(sorted(seen))
+            a, b = np.unravel_index(near[np.ix_(rest, have)].argmin(), (len(rest), len(have)))
+            i, j = int(rest[a]), int(have[b])
+            lists[i].add(j)
+            lists[j].add(i)
+            seen.add(i)
+            todo = [i]
+    return lists
+
+
+def build_graph(x: np.ndarray, degree: int, most: int, candidates: int, rule: str, alpha: float, angle: float) -> list[np.ndarray]:
+    """Neighbour lists over unit vectors: thinned exact neighbours, half of them filled up with the nearest, both directions."""
+    n, near = len(x), cosine_distances(x)
+    first = np.argsort(near, axis=1, kind="stable")[:, : min(candidates, max(0, n - 1))]
+    how = lambda i, order, k: thin(near[i], near, order, k, rule, alpha, angle)
+    lists = [set(first[i][how(i, first[i], degree)].tolist()) | set(first[i][: max(1, degree // 2)].tolist()) for i in range(n)]
+    return [np.array(sorted(v), np.int32) for v in connected(both_ways(lists, near, degree, most, how), near)]
+
+
+def beam(x: np.ndarray, neighbours, q: np.ndarray, entries: list[int], width: int, allowed: np.ndarray | None = None, through: np.ndarray | None = None) -> tuple[list[tuple[float, int]], int]:
+    """Best-first search: (distance, row) of the ``width`` nearest found, nearest first, and how many rows were compared.
+
+    ``allowed`` rows alone are results, others are only walked through; ``through`` rows alone are walked through.
+    """
     seen, front, best = set(), [], []
-    for e in entries:
-        if e not in seen:
-            seen.add(e)
-            d = float(1 - x[e] @ q)
-            heapq.heappush(front, (d, e))
-            heapq.heappush(best, (-d, e))
-    while front:
-        d, i = heapq.heappop(front)
-        if len(best) >= width and d > -best[0][0]:
-            break
-        new = [j for j in neighbours(i).tolist() if j not in seen]
-        if not new:
-            continue
+
+    def meet(new: list[int]) -> None:
         seen.update(new)
         for j, dj in zip(new, (1 - x[new] @ q).tolist(), strict=True):
             if len(best) < width or dj < -best[0][0]:
                 heapq.heappush(front, (dj, j))
-                heapq.heappush(best, (-dj, j))
-                if len(best) > width:
-                    heapq.heappop(best)
-    return sorted((-d, i) for d, i in best)
+                if allowed is None or allowed[j]:
+                    heapq.heappush(best, (-dj, j))
+                    if len(best) > width:
+                        heapq.heappop(best)
+
+    if entries:
+        meet(list(dict.fromkeys(entries)))
+    while front:
+        d, i = heapq.heappop(front)
+        if len(best) >= width and d > -best[0][0]:
+            break
+        new = [j for j in neighbours(i).tolist() if j not in seen and (through is None or through[j])]
+        if new:
+            meet(new)
+    return sorted((-d, i) for d, i in best), len(seen)
+
+
+class Shard:
+    """A stored shard, opened."""
+
+    def __init__(self, row: dict, seeds: int, strategy: str, seed: int):
+        self.n, self.dim = row["n"], row["dim"]
+        self.ids = np.frombuffer(row["ids"], "<i8")
+        self.x = np.frombuffer(row["vectors"], "<f8").reshape(self.n, self.dim)
+        self.levels = np.frombuffer(row["levels"], np.uint8)
+        self.offsets = np.frombuffer(row["offsets"], "<i8").reshape(-1, self.n + 1)
+        self.edges = np.frombuffer(row["edges"], "<i4")
+        self.categories = None if row["categories"] is None else np.frombuffer(row["categories"], "<i8")
+        self.top = int(self.levels.argmax()) if self.n else 0
+        rng = np.random.default_rng(seed)
+        self.random = rng.choice(self.n, min(self.n, seeds), replace=False).tolist() if strategy == "random" or len(self.offsets) == 1 else []
+
+    def neighbours(self, layer: int):
+        o, e = self.offsets[layer], self.edges
+        return lambda r: e[o[r] : o[r + 1]]
+
+    def entries(self, q: np.ndarray) -> tuple[list[int], int]:
+        """Where the beam starts on the lowest layer, and how many rows were compared on the way down."""
+        at, compared = [self.top], 0
+        for layer in range(len(self.offsets) - 1, 0, -1):
+            found, n = beam(self.x, self.neighbours(layer), q, at, 1)
+            at, compared = [found[0][1]], compared + n
+        return at + self.random, compared
+
+    def search(self, q: np.ndarray, width: int, allowed: np.ndarray | None = None, within: bool = False) -> tuple[list[tuple[float, int]], int]:
+        if not self.n:
+            return [], 0
+        if allowed is not None and (some := np.nonzero(allowed)[0]).size <= 4 * width:
+            d = 1 - self.x[some] @ q  # a few rows: compared all
+            order = np.argsort(d, kind="stable")[:width]
+            return list(zip(d[order].tolist(), some[order].tolist(), strict=True)), len(some)
+        start, compared = self.entries(q)
+        through = None
+        if within:  # along edges inside the category, from some of its rows
+            through, start = allowed, np.nonzero(allowed)[0][:: max(1, int(allowed.sum()) // 16)].tolist()
+        found, n = beam(self.x, self.neighbours(0), q, start, width, allowed, through)
+        return found, compared + n
 
 
 @dataclass
 class GraphIndex:
-    """A sharded graph. ``rule`` thins neighbours; ``levels`` > 1 gives entry points by sampled upper levels."""
+    """A sharded graph. ``rule`` thins neighbours to ``degree``, or ``m_max`` on the lowest layer once edges go both ways.
+
+    ``layered`` draws levels that thin out by the degree; ``strategy`` "stacked" enters by the layers, "random" by as many
+    rows as ``seeds`` besides. ``category`` names an integer column for ``search_category``; each row then gets edges
+    to its nearest of the same category.
+    """
 
     degree: int = 16
+    m_max: int = 0
     candidates: int = 200
     ef: int = 50
     rule: str = "rnd"
     alpha: float = 1.3
     angle: float = 60.0
-    levels: int = 1
+    layered: bool = False
+    strategy: str = "stacked"
     seeds: int = 1
     seed: int = 0
     shard_rows: int = SHARD_ROWS
+    probes: int = PROBES
+    category: str | None = None
     shards: DataFrame | None = field(default=None, repr=False)
-    dimension: int = 0
+    rows: DataFrame | None = field(default=None, repr=False)
+    source: DataFrame | None = field(default=None, repr=False)
+    centroids: np.ndarray | None = field(default=None, repr=False)
 
     def _plain(self):
         """A copy without DataFrames, for the executors."""
         out = copy.copy(self)
-        out.shards = None
-        if hasattr(out, "source"):
-            out.source = None
+        out.shards = out.rows = out.source = None
         return out
 
+    def _named(self, vectors: DataFrame) -> DataFrame:
+        kind = F.col(self.category).cast("long") if self.category else F.lit(None).cast("long")
+        return vectors.filter("embedding IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"), kind.alias("category"))
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the column cluster."""
+        c = self.centroids
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    at = (unit(matrix(batch.column(1))) @ c.T).argmax(axis=1) if len(c) > 1 else np.zeros(batch.num_rows, int)
+                    yield pa.record_batch([*batch.columns, pa.array(at.astype(np.int32))], names=["doc_id", "embedding", "category", "cluster"])
+
+        return rows.mapInArrow(run, "doc_id long, embedding array<double>, category long, cluster int")
+
     def build(self, vectors: DataFrame) -> GraphIndex:
-        rows = vectors.filter("embedding IS NOT NULL").select("doc_id", F.col("embedding").cast("array<double>"))
-        n, self.dimension = (int(v or 0) for v in rows.agg(F.count("*"), F.max(F.size("embedding"))).first())
-        parts = max(1, -(-n // self.shard_rows))
-        me = self._plain()
+        rows = self._named(vectors)
+        n, dim = (int(v or 0) for v in rows.agg(F.count("*"), F.max(F.size("embedding"))).first())
+        self.centroids = kmeans.fit(rows, -(-n // self.shard_rows)) if n > self.shard_rows else np.zeros((1, max(1, dim)))
+        placed = self._placed(rows)
+        if n > self.shard_rows:
+            placed = materialize(placed, "graph-rows")
+        sizes = materialize(placed.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(2 * self.shard_rows)).cast("int").alias("parts")), "graph-sizes")
+        dealt = placed.join(sizes, "cluster").withColumn("shard", F.col("cluster").cast("long") * 65536 + F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+        self.rows = materialize(dealt.select("doc_id", "embedding", "category", "cluster", "shard"), "graph-rows")
+        self.shards = materialize(self._built(self.rows), "graph")
+        self.source = vectors
+        return self
 
-        def run(table: pa.Table) -> pa.Table:
-            order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
-            ids, x = table.column("doc_id").to_numpy()[order], unit(matrix(table.column("embedding").combine_chunks())[order])
-            lists = me._lists(x)
-            entries = me._entries(x)
-            offsets = np.concatenate([[0], np.cumsum([len(v) for v in lists])]).astype("<i4")
-            edges = np.concatenate(lists).astype("<i4") if len(lists) else np.zeros(0, "<i4")
-            cells = [table.column("shard")[0].as_py(), len(x), x.shape[1], ids.astype("<i8").tobytes(), x.astype("<f8").tobytes(), offsets.tobytes(), edges.tobytes(), np.array(entries, "<i4").tobytes()]
-            kinds = [pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 5]
-            return pa.table([pa.array([v], k) for v, k in zip(cells, kinds, strict=True)], names=["shard", "n", "dim", "ids", "vectors", "offsets", "edges", "entries"])
-
-        dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
-        self.shards = materialize(dealt.groupBy("shard").applyInArrow(run, SCHEMA), "graph")
+    def add(self, vectors: DataFrame) -> GraphIndex:
+        """Put further rows into the shards of their clusters, which are built again."""
+        known = self.rows.groupBy("cluster").agg(F.collect_set("shard").alias("shards"))  # a row a cluster
+        new = self._placed(self._named(vectors)).join(materialize(known, "graph-sizes"), "cluster", "left")
+        free = F.col("cluster").cast("long") * 65536
+        at = F.coalesce(F.element_at(F.array_sort("shards"), (F.pmod(F.xxhash64("doc_id"), F.size("shards")) + 1).cast("int")), free)
+        new = materialize(new.select("doc_id", "embedding", "category", "cluster", F.when(F.col("shards").isNull(), free).otherwise(at).alias("shard")), "graph-rows")
+        touched = materialize(new.select("shard").distinct(), "graph-sizes")
+        again = materialize(self._built(self.rows.join(touched, "shard", "left_semi").unionByName(new)), "graph")
+        self.shards = materialize(self.shards.join(touched, "shard", "left_anti").unionByName(again), "graph")
+        self.rows = materialize(self.rows.unionByName(new), "graph-rows")
+        more = vectors.select(*[c for c in self.source.columns if c in vectors.columns]) if self.source is not None else vectors
+        self.source = more if self.source is None else self.source.unionByName(more, allowMissingColumns=True)
         return self
 
-    def _lists(self, x: np.ndarray) -> list[np.ndarray]:
-        return build_graph(x, self.degree, self.candidates, self.rule, self.alpha, self.angle)
+    def _built(self, rows: DataFrame) -> DataFrame:
+        me = self._plain()
 
-    def _entries(self, x: np.ndarray) -> list[int]:
-        """The nearest row to the mean, then samples that thin out by ``degree`` from level to level."""
-        if not len(x):
-            return []
-        rng = np.random.default_rng(self.seed)
-        out = [int((x @ x.mean(axis=0)).argmax())]
-        size = len(x)
-        for _ in range(self.levels - 1):
-            size = size // max(2, self.degree)
-            out += rng.choice(len(x), max(1, size), replace=False).tolist()
-        out += rng.choice(len(x), min(len(x), self.seeds), replace=False).tolist()
-        return list(dict.fromkeys(out))
+        def run(table: pa.Table) -> pa.Table:
+            order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
+            table = table.take(pa.array(order))
+            ids, x = table.column("doc_id").to_numpy(), unit(matrix(table.column("embedding").combine_chunks()))
+            levels = me._levels(len(x))
+            evolution = CandidateEvolution()
+            layers = []
+            for layer in range(int(levels.max(initial=0)) + 1):
+                some = np.nonzero(levels >= layer)[0]
+                full: list[np.ndarray] = [np.zeros(0, np.int32)] * len(x)
+                for i, own in zip(some.tolist(), me._lists(x[some], layer, evolution), strict=True):
+                    full[i] = some[own].astype(np.int32)
+                layers.append(full)
+            kinds = None
+            if me.category:
+                kinds = np.array([-1 if v is None else v for v in table.column("category").to_pylist()], "<i8")
+                layers[0] = me._with_categories(x, layers[0], kinds)
+            flat = [own for full in layers for own in full]
+            ends = np.cumsum([len(v) for v in flat]).reshape(len(layers), -1)
+            offsets = np.concatenate([np.append(0, ends[:-1, -1])[:, None], ends], axis=1) if len(x) else np.zeros((1, 1))
+            edges = np.concatenate(flat).astype("<i4") if flat else np.zeros(0, "<i4")
+            cells = [table.column("shard")[0].as_py(), table.column("cluster")[0].as_py(), len(x), x.shape[1], ids.astype("<i8").tobytes(), x.astype("<f8").tobytes(), levels.astype(np.uint8).tobytes(), offsets.astype("<i8").tobytes(), edges.tobytes(), None if kinds is None else kinds.tobytes(), evolution.mean, evolution.variance]
+            forms = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 6, pa.float64(), pa.float64()]
+            return pa.table([pa.array([v], k) for v, k in zip(cells, forms, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+
+        return rows.groupBy("shard").applyInArrow(run, SCHEMA)
+
+    def _levels(self, n: int) -> np.ndarray:
+        """Every row's highest layer: a level more has the chance 1 / degree."""
+        if not self.layered:
+            return np.zeros(n, int)
+        draw = np.random.default_rng(self.seed).uniform(1e-12, 1, n)
+        return np.minimum(np.floor(-np.log(draw) / math.log(max(2, self.degree))), 15).astype(int)
+
+    def _lists(self, x: np.ndarray, layer: int, evolution: CandidateEvolution) -> list[np.ndarray]:
+        most = (self.m_max or 2 * self.degree) if layer == 0 else self.degree
+        return build_graph(x, self.degree, most, self.candidates, self.rule, self.alpha, self.angle)
+
+    def _with_categories(self, x: np.ndarray, lists: list[np.ndarray], kinds: np.ndarray) -> list[np.ndarray]:
+        """Further edges to the nearest rows of the same category."""
+        out = [set(v.tolist()) for v in lists]
+        for kind in np.unique(kinds[kinds >= 0]):
+            some = np.nonzero(kinds == kind)[0]
+            for i, own in zip(some.tolist(), build_graph(x[some], max(2, self.degree // 2), self.degree, self.candidates, self.rule, self.alpha, self.angle), strict=True):
+                out[i] |= set(some[own].tolist())
+        return [np.array(sorted(v), np.int32) for v in out]
 
     def edges(self) -> DataFrame:
-        """(src, dst): the stored graph by ids."""
+        """(src, dst, layer): the stored graph by ids."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
-                    ids, offsets, edges = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["offsets"], "<i4"), np.frombuffer(row["edges"], "<i4")
-                    yield pa.record_batch([pa.array(np.repeat(ids, np.diff(offsets))), pa.array(ids[edges])], names=["src", "dst"])
+                    ids, offsets, edges = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["offsets"], "<i8").reshape(-1, row["n"] + 1), np.frombuffer(row["edges"], "<i4")
+                    for layer, o in enumerate(offsets):
+                        part = ids[edges[o[0] : o[-1]]]
+                        yield pa.record_batch([pa.array(np.repeat(ids, np.diff(o))), pa.array(part), pa.array(np.full(len(part), layer, np.int32))], names=["src", "dst", "layer"])
 
-        return self.shards.mapInArrow(run, "src long, dst long")
+        return self.shards.mapInArrow(run, "src long, dst long, layer int")
 
-    def search(self, queries: DataFrame, k: int = 10, ef: int | None = None) -> DataFrame:
-        width = max(k, ef or self.ef)
-        me = self._plain()
-        asked = packed(queries.select("query_id", "embedding"), 256).withColumnRenamed("ids", "qids").withColumnRenamed("data", "qdata")
+    def _asked(self, queries: DataFrame) -> DataFrame:
+        """(to, qids, qdata): blocks of queries for the clusters that they probe."""
+        c, probes = self.centroids, max(1, min(self.probes, len(self.centroids)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                batch = batch.filter(batch.column(1).is_valid())
+                for i in range(0, batch.num_rows, 4096):
+                    part = batch.slice(i, 4096)
+                    q, ids = matrix(part.column(1)), part.column(0).cast(pa.int64()).to_numpy()
+                    if q.shape[1] != c.shape[1]:
+                        raise DimensionMismatch(f"{q.shape[1]} is not {c.shape[1]}")
+                    near = np.argsort(-(unit(q) @ c.T), axis=1, kind="stable")[:, :probes]
+                    for to in np.unique(near):
+                        some = np.nonzero((near == to).any(axis=1))[0]
+                        for j in range(0, len(some), 256):
+                            at = some[j : j + 256]
+                            yield pa.record_batch([pa.array([int(to)], pa.int32()), pa.array([ids[at].astype("<i8").tobytes()], pa.binary()), pa.array([q[at].astype("<f8").tobytes()], pa.binary())], names=["to", "qids", "qdata"])
+
+        return queries.select("query_id", F.col("embedding").cast("array<double>")).mapInArrow(run, "to int, qids binary, qdata binary")
+
+    def _searched(self, queries: DataFrame, k: int, ef: int | None, masks: DataFrame | None = None, category: int | None = None, counted: bool = False) -> DataFrame:
+        width, me, first = max(k, ef or self.ef), self._plain(), self._first(k, ef)
+        shards = self.shards.withColumn("allowed", F.lit(None).cast("binary")) if masks is None else self.shards.join(masks, "shard")
+        pairs = shards.join(self._asked(queries), F.col("cluster") == F.col("to"))
+        names = ["query_id", "doc_id", "score"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
-                    ids, x = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["vectors"], "<f8").reshape(row["n"], row["dim"])
-                    offsets, edges = np.frombuffer(row["offsets"], "<i4"), np.frombuffer(row["edges"], "<i4")
-                    qids = np.frombuffer(row["qids"], "<i8")
-                    q = np.frombuffer(row["qdata"], "<f8").reshape(len(qids), -1)
-                    if q.shape[1] != row["dim"]:
-                        raise DimensionMismatch(f"{q.shape[1]} is not {row['dim']}")
-                    entries = np.frombuffer(row["entries"], "<i4").tolist()
+                    shard = Shard(row, me.seeds, me.strategy, me.seed)
+                    qids, allowed = np.frombuffer(row["qids"], "<i8"), None
+                    if category is not None:
+                        allowed = shard.categories == category
+                    elif row["allowed"] is not None:
+                        allowed = np.isin(shard.ids, np.frombuffer(row["allowed"], "<i8"))
                     out: list[tuple] = []
-                    for i, v in zip(qids.tolist(), unit(q), strict=True):
-                        starts = sorted(entries, key=lambda e, v=v: -float(x[e] @ v))[: max(1, me.seeds + me.levels)]
-                        found = beam(x, lambda r, o=offsets, e=edges: e[o[r] : o[r + 1]], v, starts, width)[:k]
-                        out += [(i, int(ids[r]), round(1 - d, 6)) for d, r in found]
+                    for i, q in zip(qids.tolist(), unit(np.frombuffer(row["qdata"], "<f8").reshape(len(qids), -1)), strict=True):
+                        found, compared = shard.search(q, width, allowed, category is not None)
+                        out += [(i, compared, 0.0)] if counted else [(i, int(shard.ids[r]), round(1 - d, EXACT)) for d, r in found[:first]]
                     columns = list(zip(*out, strict=True)) or [[], [], []]
-                    yield pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "doc_id", "score"])
+                    yield pa.record_batch([pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=names)
+
+        return pairs.mapInArrow(run, "query_id long, doc_id long, score double")
 
-        pairs = self.shards.crossJoin(asked)  # the stated queries, in blocks, against every shard
-        return ranked(pairs.mapInArrow(run, "query_id long, doc_id long, score double"), k)
+    def _first(self, k: int, ef: int | None) -> int:
+        """How many results a shard returns for a query."""
+        return k
+
+    def search(self, queries: DataFrame, k: int = 10, ef: int | None = None) -> DataFrame:
+        return ranked(self._searched(queries, k, ef), k)
+
+    def compared(self, queries: DataFrame, k: int = 10, ef: int | None = None) -> DataFrame:
+        """(query_id, compared): with how many rows a search compares each query."""
+        return self._searched(queries, k, ef, counted=True).groupBy("query_id").agg(F.sum("doc_id").alias("compared"))
+
+    def search_filtered(self, queries: DataFrame, where: Column, k: int = 10, ef: int | None = None) -> DataFrame:
+        """As ``search``, among rows of the source that match: others are walked through only. Where a shard has few, they
+        are compared all; every shard is asked, as a cluster says nothing of the filter."""
+        if self.source is None:
+            raise InvalidParameter("a loaded index has no source to filter")
+        some = self.rows.select("shard", "doc_id").join(self.source.filter(where).select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id")
+
+        def packed(table: pa.Table) -> pa.Table:
+            return pa.table([table.column("shard").slice(0, 1), pa.array([table.column("doc_id").to_numpy().astype("<i8").tobytes()], pa.binary())], names=["shard", "allowed"])
+
+        masks = some.groupBy("shard").applyInArrow(packed, "shard long, allowed binary")
+        every = copy.copy(self)
+        every.probes = len(self.centroids)
+        return ranked(every._searched(queries, k, ef, masks=masks), k)
+
+    def search_category(self, queries: DataFrame, category: int, k: int = 10, ef: int | None = None) -> DataFrame:
+        """As ``search``, within a category, along its own edges."""
+        if not self.category:
+            raise InvalidParameter("the index has no categories")
+        every = copy.copy(self)
+        every.probes = len(self.centroids)
+        return ranked(every._searched(queries, k, ef, category=category), k)
 
     def save(self, path: str) -> None:
-        self.shards.write.parquet(path)
+        self.shards.write.parquet(f"{path}/shards")
+        self.rows.write.parquet(f"{path}/rows")
+        spark = self.shards.sparkSession
+        spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(self.centroids)], "cluster int, centroid array<double>").coalesce(1).write.parquet(f"{path}/centroids")
 
     @classmethod
     def load(cls, spark, path: str, **options):
         """A stored index, with the options that its searches are to use."""
         index = cls(**options)
-        index.shards = spark.read.parquet(path)
+        index.shards, index.rows = spark.read.parquet(f"{path}/shards"), spark.read.parquet(f"{path}/rows")
+        index.centroids = np.array([r["centroid"] for r in spark.read.parquet(f"{path}/centroids").orderBy("cluster").collect()])  # one a shard, about
         return index
 
     def stats(self) -> AnnStats:
@@ -266,21 +454,9 @@ class GraphIndex:
 
 @dataclass
 class Hnsw(GraphIndex):
-    """m = degree; upper levels give entry points; search within a category by ``search_filtered``."""
-
-    levels: int = 3
-    source: DataFrame | None = field(default=None, repr=False)
-
-    def build(self, vectors: DataFrame) -> Hnsw:
-        self.source = vectors
-        super().build(vectors)
-        return self
+    """Layers by drawn levels: m = degree neighbours a layer, m_max on the lowest one."""
 
-    def search_filtered(self, queries: DataFrame, where: Column, k: int = 10) -> DataFrame:
-        """Exact neighbours among the rows of the source that match: a filter first, so no result is lost to it."""
-        from querent.operators.dense import search_blocks
-
-        return search_blocks(self.source.filter(where).select("doc_id", "embedding"), queries, k)
+    layered: bool = True
 
 
 @dataclass
@@ -292,25 +468,121 @@ class Nsw(GraphIndex):
 
 @dataclass
 class Sng(GraphIndex):
-    """Neighbours within the truncation radius, thinned; the degree follows from the size unless given."""
+    """Neighbours within the truncation radius, pruned to the degree that follows from the size unless given, and thinned;
+    the shards keep the running mean and variance of the numbers of candidates."""
 
     degree: int = 0
     seeds: int = 16
 
-    def _lists(self, x: np.ndarray) -> list[np.ndarray]:
-        radius = truncation(len(x), x.shape[1])
-        degree = self.degree or min(64, max_degree(len(x), radius))
-        return build_graph(x, degree, max(self.candidates, degree), "rnd", 1.0, self.angle)
+    def _lists(self, x: np.ndarray, layer: int, evolution: CandidateEvolution) -> list[np.ndarray]:
+        n, near = len(x), cosine_distances(x)
+        radius = truncation(n, x.shape[1])
+        degree = self.degree or max_degree(n, radius)
+        how = lambda i, order, k: thin(near[i], near, order, k, "rnd")
+        order, lists = np.argsort(near, axis=1, kind="stable")[:, : max(0, n - 1)], []
+        for i in range(n):
+            held = martingale_prune(order[i], near[i], radius, max(self.candidates, degree))
+            evolution.update(len(held))
+            lists.append(set(held[how(i, held, degree)].tolist()) | set(held[:8].tolist()))
+        return [np.array(sorted(v), np.int32) for v in connected(both_ways(lists, near, 8, 2 * degree, how), near)]
 
 
 @dataclass
 class Vamana(GraphIndex):
-    """Two passes of thinning, the second with alpha."""
+    """A random regular graph of degree ln n, thinned in two passes: by rrnd with alpha, then by rnd. A pass's candidates are a
+    row's neighbours, theirs, and its nearest rows."""
 
     degree: int = 64
-    rule: str = "rrnd"
+    seeds: int = 4
+
+    def _lists(self, x: np.ndarray, layer: int, evolution: CandidateEvolution) -> list[np.ndarray]:
+        n, near = len(x), cosine_distances(x)
+        rng = np.random.default_rng(self.seed)
+        few = min(max(0, n - 1), max(1, math.ceil(math.log(max(n, 2)))))
+        lists = [set(int(j) for j in rng.choice(n, min(n, few + 1), replace=False) if j != i) for i in range(n)]
+        first = np.argsort(near, axis=1, kind="stable")[:, : min(self.candidates, max(0, n - 1))]
+        for rule, alpha in (("rrnd", self.alpha), ("rnd", 1.0)):
+            how = lambda i, order, k, rule=rule, alpha=alpha: thin(near[i], near, order, k, rule, alpha)
+            new = []
+            for i in range(n):
+                held = set(first[i].tolist()) | lists[i]
+                for j in list(lists[i]):
+                    held |= lists[j]
+                held.discard(i)
+                order = np.array(sorted(held), int)
+                order = order[np.lexsort((order, near[i, order]))][: max(self.candidates, self.degree)]
+                new.append(set(order[how(i, order, self.degree)].tolist()) | set(order[: self.degree // 4].tolist()))
+            lists = both_ways(new, near, self.degree // 4, self.degree, how)
+        return [np.array(sorted(v), np.int32) for v in connected(lists, near)]
 
 
 @dataclass
 class DiskAnn(Vamana):
-    """A Vamana graph that stays in the stored shards: nothing is cached but what a task reads."""
+    """A Vamana graph that is walked by product codes, which are all a shard holds in place of vectors; the rows found are
+    rescored by the vectors, which stay in their own table and are read for those rows alone."""
+
+    books: int = 0
+    codes: int = 256
+    reorder: int = 4
+    quantizer: object | None = field(default=None, repr=False)
+
+    def build(self, vectors: DataFrame) -> DiskAnn:
+        from querent.operators.ann.quantize import ProductQuantizer, fitted
+
+        dim = vectors.agg(F.max(F.size("embedding"))).first()[0] or 1
+        books = self.books or max(b for b in range(1, dim + 1) if dim % b == 0 and b <= max(1, dim // 2))
+        self.quantizer = fitted(vectors, ProductQuantizer(dim, books, self.codes))
+        super().build(vectors)
+        quantizer = self.quantizer
+
+        def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.schema.get_field_index("vectors")
+                data = [quantizer.quantize(np.frombuffer(v.as_py(), "<f8").reshape(n.as_py(), -1)).astype("<u2").tobytes() for v, n in zip(batch.column("vectors"), batch.column("n"), strict=True)]
+                yield batch.set_column(at, batch.schema.field(at), pa.array(data, pa.binary()))
+
+        self.shards = materialize(self.shards.mapInArrow(coded, SCHEMA), "graph")
+        return self
+
+    def add(self, vectors: DataFrame) -> DiskAnn:
+        raise InvalidParameter("codes are fitted once; build the index again")
+
+    def _first(self, k: int, ef: int | None) -> int:
+        return max(k, ef or self.ef, self.reorder * k)
+
+    def _searched(self, queries: DataFrame, k: int, ef: int | None, masks: DataFrame | None = None, category: int | None = None, counted: bool = False) -> DataFrame:
+        quantizer = self.quantizer
+
+        def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.schema.get_field_index("vectors")
+                data = [unit(quantizer.decode(np.frombuffer(v.as_py(), "<u2").reshape(n.as_py(), -1).astype(int))).astype("<f8").tobytes() for v, n in zip(batch.column("vectors"), batch.column("n"), strict=True)]
+                yield batch.set_column(at, batch.schema.field(at), pa.array(data, pa.binary()))
+
+        stored = copy.copy(self)
+        stored.shards = self.shards.mapInArrow(decoded, SCHEMA)
+        found = super(DiskAnn, stored)._searched(queries, k, ef, masks, category, counted)
+        if counted:
+            return found
+        from querent.operators.rerank import rerank_cosine
+
+        return rerank_cosine(found, self.rows.select("doc_id", "embedding"), queries, None).select("query_id", "doc_id", "score")
+
+    def save(self, path: str) -> None:
+        super().save(path)
+        q = self.quantizer
+        rows = [(b, i, c.tolist()) for b, book in enumerate(q.codebooks) for i, c in enumerate(book)]
+        self.shards.sparkSession.createDataFrame(rows, "book int, code int, word array<double>").coalesce(1).write.parquet(f"{path}/codebooks")
+
+    @classmethod
+    def load(cls, spark, path: str, **options):
+        from querent.operators.ann.quantize import ProductQuantizer
+
+        index = super().load(spark, path, **options)
+        books: list[list] = []
+        for r in spark.read.parquet(f"{path}/codebooks").orderBy("book", "code").collect():  # codes * books words
+            if r["book"] == len(books):
+                books.append([])
+            books[-1].append(r["word"])
+        index.quantizer = ProductQuantizer(index.centroids.shape[1], len(books), max(map(len, books)), codebooks=[np.array(b) for b in books])
+        return index

@@ -71,8 +71,44 @@ class ProductQuantizer:
         return float(1 - self.similarities(query[None], code[None])[0, 0])
 
 
-#: Scores of an anisotropic quantizer are those of a plain one here: the loss that would tell them apart isn't specified.
-AnisotropicQuantizer = ProductQuantizer
+@dataclass
+class AnisotropicQuantizer(ProductQuantizer):
+    """Codes that weigh the part of the error that is parallel to the vector ``parallel`` times as much as the rest, as it is
+    that part which moves large products; chosen book by book in ``sweeps`` over a plain code."""
+
+    parallel: float = 4.0
+    sweeps: int = 2
+    turns: int = 3
+
+    def fit(self, x: np.ndarray) -> AnisotropicQuantizer:
+        """Plain codebooks, then in turns codes and the codewords that are best for them (weighted least squares)."""
+        super().fit(x)
+        p, more = self.parts(x), self.parallel - 1
+        for _ in range(self.turns):
+            codes = self.quantize(x)
+            along = np.stack([((p[:, b] - c[codes[:, b]]) * p[:, b]).sum(axis=1) for b, c in enumerate(self.codebooks)])
+            for b, c in enumerate(self.codebooks):
+                target = along.sum(axis=0) - along[b] + (p[:, b] * p[:, b]).sum(axis=1)
+                for i in np.unique(codes[:, b]):
+                    rows = codes[:, b] == i
+                    y = p[rows, b]
+                    c[i] = np.linalg.solve(rows.sum() * np.eye(y.shape[1]) + more * y.T @ y, y.sum(axis=0) + more * target[rows] @ y)
+                along[b] = ((p[:, b] - c[codes[:, b]]) * p[:, b]).sum(axis=1)
+        return self
+
+    def quantize(self, x: np.ndarray) -> np.ndarray:
+        codes, p = super().quantize(x), self.parts(x)
+        along = np.stack([((p[:, b] - c[codes[:, b]]) * p[:, b]).sum(axis=1) for b, c in enumerate(self.codebooks)])
+        length = np.maximum((x * x).sum(axis=1, keepdims=True), 1e-30)
+        for _ in range(self.sweeps):
+            for b, c in enumerate(self.codebooks):
+                others = along.sum(axis=0) - along[b]
+                own = (p[:, b] * p[:, b]).sum(axis=1, keepdims=True) - p[:, b] @ c.T
+                error = (c * c).sum(axis=1) - 2 * p[:, b] @ c.T
+                loss = error + (self.parallel - 1) * (others[:, None] + own) ** 2 / length
+                codes[:, b] = loss.argmin(axis=1)
+                along[b] = own[np.arange(len(x)), codes[:, b]]
+        return codes
 
 
 @dataclass
@@ -119,13 +155,19 @@ class OnlineProductQuantizer(ProductQuantizer):
         return self
 
     def update_batch(self, x: np.ndarray) -> OnlineProductQuantizer:
-        for row in x:
-            p = self.parts(row[None])[0]
-            for b, c in enumerate(self.codebooks):
-                i = int(((c - p[b]) ** 2).sum(1).argmin())
-                c[i] += self.rate * (p[b] - c[i])
-                self.counts[b] *= 1 - 0.01 * self.forget
-                self.counts[b, i] += 1
+        """Move every codeword towards the mean of the vectors assigned to it, as far as that many single steps would; codewords
+        that have faded, being assigned to none for long, start again at the vector that is worst coded."""
+        codes, p = self.quantize(x), self.parts(x)
+        for b, c in enumerate(self.codebooks):
+            n = np.bincount(codes[:, b], minlength=len(c))
+            sums = np.zeros_like(c)
+            np.add.at(sums, codes[:, b], p[:, b])
+            step = 1 - (1 - self.rate) ** n
+            c += step[:, None] * (sums / np.maximum(n, 1)[:, None] - c)
+            self.counts[b] = self.counts[b] * (1 - 0.01 * self.forget) ** len(x) + n
+            worst = np.argsort(-((p[:, b] - c[codes[:, b]]) ** 2).sum(axis=1), kind="stable")
+            for i, at in zip(np.nonzero(self.counts[b] < 1e-3)[0], worst, strict=False):
+                c[i], self.counts[b, i] = p[at, b], 1.0
         return self
 
 
@@ -195,14 +237,14 @@ class SaqQuantizer:
 
 
 def encode(vectors: DataFrame, quantizer) -> DataFrame:
-    """(doc_id, codes array<smallint>) of all vectors."""
+    """(doc_id, codes array<int>) of all vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = quantizer.quantize(unit(matrix(batch.column(1)))).astype(np.int16)
-            yield pa.record_batch([batch.column(0), pa.array(list(codes), pa.list_(pa.int16()))], names=["doc_id", "codes"])
+            codes = quantizer.quantize(unit(matrix(batch.column(1)))).astype(np.int32)
+            yield pa.record_batch([batch.column(0), pa.array(list(codes), pa.list_(pa.int32()))], names=["doc_id", "codes"])
 
-    return vectors.filter("embedding IS NOT NULL").select("doc_id", "embedding").mapInArrow(run, "doc_id long, codes array<smallint>")
+    return vectors.filter("embedding IS NOT NULL").select("doc_id", "embedding").mapInArrow(run, "doc_id long, codes array<int>")
 
 
 def adc_search(codes: DataFrame, queries: DataFrame, quantizer, k: int, task_rows: int = 20_000) -> DataFrame:
@@ -217,7 +259,7 @@ def adc_search(codes: DataFrame, queries: DataFrame, quantizer, k: int, task_row
         for batch in batches:
             for ids, data, width, qids, qdata in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, qids = np.frombuffer(ids, "<i8"), np.frombuffer(qids, "<i8")
-                c, q = np.frombuffer(data, "<i2").reshape(-1, width), unit(np.frombuffer(qdata, "<f8").reshape(len(qids), -1))
+                c, q = np.frombuffer(data, "<u2").reshape(-1, width), unit(np.frombuffer(qdata, "<f8").reshape(len(qids), -1))
                 order = np.argsort(ids, kind="stable")
                 s = np.round(quantizer.similarities(q, c[order]), EXACT)
                 top = np.argsort(-s, axis=1, kind="stable")[:, :k]
@@ -230,7 +272,7 @@ def _pack_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            yield pa.record_batch([pa.array([batch.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([flat.astype("<i2").tobytes()], pa.binary()), pa.array([len(flat) // batch.num_rows], pa.int32())], names=["ids", "data", "width"])
+            yield pa.record_batch([pa.array([batch.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([flat.astype("<u2").tobytes()], pa.binary()), pa.array([len(flat) // batch.num_rows], pa.int32())], names=["ids", "data", "width"])
 
 
 def search_reranked(vectors: DataFrame, queries: DataFrame, quantizer, k: int = 10, first: int = 200) -> DataFrame:

@@ -13,6 +13,7 @@ from querent.queries.vectors import _knn_sql, _queries, _vectors
 #: Built as for a table of a few thousand to millions of rows; recall is measured in ``ann_recall``.
 INDEXES = {
     "ivf": lambda: buckets.Ivf(clusters=16, nprobe=12),
+    "ivf_pq": lambda: buckets.IvfPq(clusters=16, nprobe=12, books=16, bits=6, reorder=20),
     "scann": lambda: buckets.Scann(clusters=16, nprobe=12),
     "lsh": lambda: buckets.Lsh(tables=24, functions=4),
     "annoy": lambda: buckets.Annoy(trees=40, leaf=256),
@@ -20,6 +21,7 @@ INDEXES = {
     "nsw": lambda: graphs.Nsw(degree=24, ef=200),
     "hnsw": lambda: graphs.Hnsw(degree=24, ef=200),
     "hnsw_mond": lambda: graphs.Hnsw(degree=24, ef=200, rule="mond"),
+    "hnsw_rrnd": lambda: graphs.Hnsw(degree=24, ef=200, rule="rrnd", strategy="random", seeds=4),
     "sng": lambda: graphs.Sng(ef=200),
     "vamana": lambda: graphs.Vamana(degree=32, ef=200),
     "diskann": lambda: graphs.DiskAnn(degree=32, ef=200),
@@ -55,7 +57,16 @@ def filtered_graph(spark, d):
 
 
 def by_description(spark, d):
-    return _ranked(factory.index_factory(64, "IVF16,PQ8x8").build(_vectors(spark, d)).search(_queries(spark, d), 10))
+    """All clusters probed and rescored from codes."""
+    index = factory.index_factory(64, "IVF16,PQ16x8")
+    index.nprobe, index.reorder = 16, 20
+    return _ranked(index.build(_vectors(spark, d)).search(_queries(spark, d), 10))
+
+
+def category_graph(spark, d):
+    """Within one category, along its own edges."""
+    index = graphs.Hnsw(degree=16, category="label", ef=100).build(_vectors(spark, d))
+    return _ranked(index.search_category(_queries(spark, d), 3, 5))
 
 
 def _quantized(make, first=400):
@@ -99,6 +110,7 @@ QUERIES = {f"ann_{n}": _searched(n) for n in INDEXES} | {
     "ann_ivf_all_probed": all_probed,
     "ann_ivf_category": category,
     "ann_hnsw_filtered": filtered_graph,
+    "ann_hnsw_category": category_graph,
     "ann_factory": by_description,
     "ann_pq": _quantized(lambda: quantize.ProductQuantizer(64, 16, 64)),
     "ann_opq": _quantized(lambda: quantize.OptimizedProductQuantizer(64, 16, 64)),

@@ -3,25 +3,36 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from querent.functions.text import tokens
-from querent.operators.ann.base import sample
+from querent.operators.ann.base import sample, unit
 from querent.operators.ann.quantize import OnlineProductQuantizer
 
 
-def follow(vectors: DataFrame, quantizer: OnlineProductQuantizer, checkpoint: str, per_batch: int = 1000) -> StreamingQuery:
-    """Update ``quantizer`` with at most ``per_batch`` vectors of every micro-batch of the stream (doc_id, embedding)."""
+def follow(vectors: DataFrame, quantizer: OnlineProductQuantizer, checkpoint: str, per_step: int = 1000) -> StreamingQuery:
+    """Update ``quantizer`` with every vector of every micro-batch of the stream (doc_id, embedding), in the order of ids and
+    ``per_step`` at a time; the first batch starts it on a sample. No more than a partition is on the driver."""
 
     def step(batch: DataFrame, number: int) -> None:
-        x = sample(batch, per_batch, seed=number)
-        if len(x):
-            if quantizer.counts is None:
-                quantizer.initialize(x)
-            else:
-                quantizer.update_batch(np.ascontiguousarray(x))
+        rows = batch.filter("embedding IS NOT NULL").persist(StorageLevel.DISK_ONLY)
+        if quantizer.counts is None:
+            x = sample(rows, per_step, seed=number)
+            if not len(x):
+                return
+            quantizer.initialize(x)
+        held: list = []
+        for row in rows.select("doc_id", "embedding").orderBy("doc_id").toLocalIterator(prefetchPartitions=False):
+            held.append(row["embedding"])
+            if len(held) == per_step:
+                quantizer.update_batch(unit(np.array(held, float)))
+                held = []
+        if held:
+            quantizer.update_batch(unit(np.array(held, float)))
+        rows.unpersist()
 
     return vectors.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()
 
