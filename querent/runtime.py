@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no checkpoint folder, as in tests on one machine.
+from querent.errors import InvalidParameter
+
+#: Used only where the session names no checkpoint folder and runs in one process, as in tests.
 DEFAULT_SHARED_DIR = "file:///tmp/checkpoints/querent"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``)."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``); on a cluster it has to be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise InvalidParameter("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = DEFAULT_SHARED_DIR
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(found)
@@ -23,7 +29,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    for held in _scratch:
+        held.append(path)
+    return path
+
+
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end every path in the shared folder that was given out inside, so results have to be written by then."""
+    held: list[str] = []
+    _scratch.append(held)
+    try:
+        yield
+    finally:
+        _scratch.remove(held)
+        for path in held:
+            remove_path(spark, path)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

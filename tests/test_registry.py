@@ -7,7 +7,7 @@ import pytest
 
 from querent import registry
 
-TABLES = "documents embeddings pages benchmark labels conversations".split()
+TABLES = "documents embeddings pages benchmark labels conversations events".split()
 SQL = registry.oracle_sql()
 QUICK = [n for n in sorted(registry.queries()) if n not in ("ann_recall", "density_layers")]
 

@@ -303,3 +303,14 @@ def test_odd_parameters(spark):
     run = spark.createDataFrame([(1, 5, 1.0, 1), (1, 6, 0.5, 2)], "query_id long, doc_id long, score double, rank long")
     qrels = spark.createDataFrame([(1, 5, 4), (1, 6, 1)], "query_id long, doc_id long, rel int")
     assert evaluation.graded_metrics(run, qrels, 10, 2).first()["err"] == pytest.approx(3 / 4 + 1 / 4 * 1 / 4 / 2)
+
+
+def test_scratch(spark):
+    from querent.runtime import children, fresh_path, materialize, scratch, shared_dir
+
+    kept = fresh_path(spark, "kept")
+    with scratch(spark):
+        assert materialize(spark.range(3), "gone").count() == 3
+        inside = [n for n in children(spark, shared_dir(spark)) if n.startswith("gone-")]
+        assert inside
+    assert not [n for n in children(spark, shared_dir(spark)) if n.startswith("gone-")] and children(spark, kept) == []
