@@ -4,7 +4,8 @@ The encoder cuts a stream into frames of 576 samples and writes each as a consta
 linear-predictor subframe, whichever is smallest, residuals Rice-coded with a parameter for each partition. Every
 frame gets a seek point. The decoder finds frames by the seek table (or by sync codes, frame numbers and header
 checksums where there is none), checks the header's CRC-8, the frame's CRC-16, the frames' lengths and the
-stream's MD5, and yields PCM blocks with their sample offsets. Frames are worked on in lockstep: one numpy step
+stream's MD5, and yields PCM blocks with their sample offsets; ``seek`` decodes the frames alone that hold the samples
+asked for. The query stores the streams in the shared folder and reads them back. Frames are worked on in lockstep: one numpy step
 decodes the i-th sample of thousands of frames, each at its own bit position.
 
 Edge cases: a null or empty text is one frame of padding; equal texts give equal streams whatever stands beside
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from querent.runtime import bounded_batches, table
+from querent.runtime import bounded_batches, materialize, table
 
 BLOCK = 576
 PARTS = 4  # highest partition order that the encoder tries
@@ -31,6 +32,7 @@ PARAMS = 8  # Rice parameters that the encoder tries
 ORDER, PRECISION = 6, 12  # of the encoder's linear predictor
 SLICE = 4096  # frames worked on at once
 RATE = 8000
+TAIL = 32  # samples that the query seeks
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 
 
@@ -498,6 +500,37 @@ def decode(streams: list[bytes]) -> list[bytes]:
     return payloads
 
 
+def seek(requests: list[tuple[bytes, int, int]]) -> list[bytes]:
+    """The samples of each (stream, offset, count), as bytes of a payload: the seek table leads to the frames that hold them, and
+    no others are looked at. Their headers' and their own checksums are verified, the stream's MD5 isn't."""
+    parts, starts, ends, heads, at = [], [], [], [], 0
+    for stream, offset, count in requests:
+        total, _, offsets, _ = parse(stream)
+        if offset < 0 or count < 1 or offset + count > total:
+            raise FlacError(f"samples {offset} to {offset + count} of {total}")
+        first, last = offset // BLOCK, (offset + count - 1) // BLOCK
+        parts.append(stream[offsets[first] : offsets[last + 1]])
+        for i in range(first, last + 1):
+            shift = at - offsets[first]
+            heads.append(_read_head(stream, offsets[i], i) + shift)
+            starts.append(offsets[i] + shift)
+            ends.append(offsets[i + 1] + shift)
+        at += len(parts[-1])
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    heads_, starts_, ends_ = (np.array(v, np.int64) for v in (heads, starts, ends))
+    if not len(heads_):
+        return []
+    if (crc16(data, starts_, ends_) != 0).any():
+        raise FlacError("a frame's CRC-16 is wrong")
+    out = ((_decode_frames(data, heads_, ends_ - 2) & 255).astype(np.uint8) ^ 128).ravel()
+    found, at = [], 0
+    for _, offset, count in requests:
+        frames = (offset + count - 1) // BLOCK - offset // BLOCK + 1
+        found.append(out[at + offset % BLOCK : at + offset % BLOCK + count].tobytes())
+        at += frames * BLOCK
+    return found
+
+
 # Spark ----------------------------------------------------------------------------------------------------
 
 
@@ -527,17 +560,18 @@ def _groups(column: pa.Array, most: int = 8 << 20) -> Iterator[list]:
 
 
 def to_media(docs: DataFrame) -> DataFrame:
-    """doc_id and media (a FLAC stream) of every text."""
+    """doc_id, n_bytes (of the text) and media (a FLAC stream) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for texts in _groups(batch.column(1)):
                 media = encode([payload(t) for t in texts])
-                yield pa.record_batch([batch.column(0).slice(at, len(texts)), pa.array(media, pa.binary())], names=["doc_id", "media"])
+                sizes = pa.array([len((t or "").encode()) for t in texts], pa.int64())
+                yield pa.record_batch([batch.column(0).slice(at, len(texts)), sizes, pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
                 at += len(texts)
 
-    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, media binary")
+    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def to_blocks(media: DataFrame, samples: int = 64 * BLOCK) -> DataFrame:
@@ -563,24 +597,25 @@ def to_blocks(media: DataFrame, samples: int = 64 * BLOCK) -> DataFrame:
 DIGESTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """Store every text as FLAC, read the stream back, and digest both."""
+def digests(media: DataFrame) -> DataFrame:
+    """Decode every stream of ``to_media``'s table and digest both; the last samples are sought by their offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for texts in _groups(batch.column(1)):
-                media = encode([payload(t) for t in texts])
-                rows = []
-                for text, stream, data in zip(texts, media, decode(media), strict=True):
-                    rows.append((len((text or "").encode()), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(stream), hashlib.sha256(stream).hexdigest(), feature(data)))
+            for streams in _groups(batch.column(2)):
+                whole = decode(streams)
+                tails = seek([(s, len(d) - TAIL, TAIL) for s, d in zip(streams, whole, strict=True)])
+                sizes = batch.column(1).slice(at, len(streams)).to_pylist()
+                rows = [(n, len(d), hashlib.sha256(d).hexdigest(), zlib.crc32(t), len(s), hashlib.sha256(s).hexdigest(), feature(d)) for n, s, d, t in zip(sizes, streams, whole, tails, strict=True)]
                 columns = [pa.array(list(c)) for c in zip(*rows, strict=True)]
-                yield pa.record_batch([batch.column(0).slice(at, len(texts)), *columns], names=["doc_id", *(x.split()[0] for x in DIGESTS.split(", "))])
-                at += len(texts)
+                yield pa.record_batch([batch.column(0).slice(at, len(streams)), *columns], names=["doc_id", *(x.split()[0] for x in DIGESTS.split(", "))])
+                at += len(streams)
 
-    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {DIGESTS}")
+    return bounded_batches(media.select("doc_id", "n_bytes", "media")).mapInArrow(run, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, {DIGESTS}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of every document."""
-    return digests(table(spark, sf_dir, "documents"))
+    # Streams hardly compress; what zstandard finds is worth its time where the table is read from other machines.
+    return digests(materialize(to_media(table(spark, sf_dir, "documents")), "media", "zstd"))

@@ -562,6 +562,20 @@ def test_flac_round_trip_and_slow_decoder():
     assert kinds >= {0, 2}
 
 
+def test_flac_seek():
+    rng = random.Random(5)
+    streams = flac.encode(samples())
+    asked = [(k, a, rng.randint(1, len(p) - a)) for k, p in enumerate(samples()) for a in [0, len(p) - 1, *(rng.randrange(len(p)) for _ in range(6))]]
+    assert flac.seek([(streams[k], a, n) for k, a, n in asked]) == [samples()[k][a : a + n] for k, a, n in asked]
+    far = bytearray(streams[1])
+    far[-3] ^= 4  # damage in a frame that isn't asked for goes unseen, in one that is it doesn't
+    assert flac.seek([(bytes(far), 5, 30)]) == [samples()[1][5:35]] and flac.seek([]) == []
+    with pytest.raises(flac.FlacError):
+        flac.seek([(bytes(far), len(samples()[1]) - 4, 4)])
+    with pytest.raises(flac.FlacError):
+        flac.seek([(streams[0], 570, 10)])
+
+
 def test_flac_checks():
     s = flac.encode(samples()[1:2])[0]
     first = flac.parse(s)[3]
@@ -579,17 +593,20 @@ def test_flac_checks():
 
 
 def test_flac_query(spark, odd, none, secret_dir):
-    got = Counter(tuple(r)[:5] for r in flac.query(spark, secret_dir).collect())
+    got = Counter(tuple(r) for r in flac.query(spark, secret_dir).collect())
     want = Counter()
     for r in odd.collect():
         raw = (r["text"] or "").encode()
         p = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
-        want[r["doc_id"], len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:])] += 1
+        media = flac.encode([p])[0]
+        x = [b - 128 for b in p]
+        said = f"{len(x)}:{sum(v * v for v in x)}:{sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))}:{min(x)}:{max(x)}"
+        want[r["doc_id"], len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(media), hashlib.sha256(media).hexdigest(), said] += 1
     assert got == want
     blocks = flac.to_blocks(flac.to_media(odd.filter("doc_id = 48")), 5760).orderBy("sample_offset").collect()
     assert [b["sample_offset"] for b in blocks] == list(range(0, 30_528, 5760)) and sum(b["n_samples"] for b in blocks) == 30_528
     assert b"".join(bytes(v ^ 128 for v in b["pcm"]) for b in blocks).rstrip(b"\xff") == b"a" * 30_000
-    assert flac.digests(none).count() == 0
+    assert flac.digests(flac.to_media(none)).count() == 0
 
 
 # BPE -------------------------------------------------------------------------------------------------------
