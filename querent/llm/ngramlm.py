@@ -16,7 +16,8 @@ A trie has two levels in one contiguous buffer that can be mapped from a file or
 memory: contexts and successor words as sorted hashes, Elias-Fano coded; monotone pointers, Elias-Fano coded, from
 contexts to intervals of the second level; successors within their context as context * words + word, which is
 monotone over the level and Elias-Fano coded; and 16-bit codes of log10 of the discounted probability. A query finds
-its context, and searches the context's interval of successors.
+its context, reads from the pointers where its successors begin and end, and looks for the word relative to the context between
+them alone.
 
 Words are known by 64-bit hashes, successors of a context by 40 bits.
 
@@ -121,8 +122,9 @@ class EliasFano:
         high = (self._select(i, True) - i).astype(np.uint64)
         return (high << np.uint64(self.low_bits)) | self._low(i)
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """The positions of values, -1 where absent: the bucket of the high bits is walked by low bits."""
+    def find(self, values: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
+        """The positions of values, -1 where absent: the bucket of the high bits is walked by low bits, and only from ``low`` on
+        and below ``high``, if given."""
         if not self.n:
             return np.full(len(values), -1)
         bucket = (values >> np.uint64(self.low_bits)).astype(np.int64)
@@ -131,13 +133,15 @@ class EliasFano:
         bucket = np.minimum(bucket, zeros - 1)
         start = np.where(bucket > 0, self._select(np.maximum(bucket - 1, 0), False) - bucket + 1, 0)
         end = np.minimum(self._select(bucket, False) - bucket, self.n)
+        if low is not None:
+            start, end = np.maximum(start, low), np.minimum(end, high)
         want, found = values & np.uint64((1 << self.low_bits) - 1), np.full(len(values), -1)
         open_ = np.nonzero(inside & (start < end))[0]
         at = start[open_]
         while len(open_):
-            low = self._low(at)
-            found[open_[low == want[open_]]] = at[low == want[open_]]
-            more = (low < want[open_]) & (at + 1 < end[open_])
+            here = self._low(at)
+            found[open_[here == want[open_]]] = at[here == want[open_]]
+            more = (here < want[open_]) & (at + 1 < end[open_])
             open_, at = open_[more], at[more] + 1
         return found
 
@@ -169,9 +173,8 @@ class Trie:
         out = np.zeros(len(contexts), np.uint16)
         some = np.nonzero((c >= 0) & (w >= 0))[0]
         begin, end = pointers.get(c[some]).astype(np.int64), pointers.get(c[some] + 1).astype(np.int64)
-        at = successors.find(c[some].astype(np.uint64) * np.uint64(self.width) + w[some].astype(np.uint64))
-        hit = (at >= begin) & (at < end)
-        out[some[hit]] = self.codes[at[hit]]
+        at = successors.find(c[some].astype(np.uint64) * np.uint64(self.width) + w[some].astype(np.uint64), begin, end)
+        out[some[at >= 0]] = self.codes[at[at >= 0]]
         return out
 
 

@@ -507,6 +507,23 @@ def test_elias_fano():
         asked = np.concatenate([v, rng.integers(0, u, 500, dtype=np.uint64)])
         at = e.find(asked)
         assert ((at >= 0) == np.isin(asked, v)).all() and (v[at[at >= 0]] == asked[at >= 0]).all()
+        low = rng.integers(0, len(v) + 1, len(asked))
+        high = np.minimum(low + rng.integers(0, len(v) + 1, len(asked)), len(v))
+        assert (e.find(asked, low, high) == np.where((at >= low) & (at < high), at, -1)).all()
+
+
+def test_trie():
+    """Every pair of contexts and words, those held and those not."""
+    rng = np.random.default_rng(3)
+    contexts, words = rng.integers(0, 1 << 63, 40, dtype=np.uint64) * np.uint64(2), rng.integers(0, 1 << 40, 60, dtype=np.uint64)
+    held = sorted({(int(rng.choice(contexts)), int(rng.choice(words))): None for _ in range(500)})
+    logs = rng.uniform(-9, 0, len(held))
+    trie = ngramlm.Trie(np.array([c for c, _ in held], np.uint64), np.array([w for _, w in held], np.uint64), logs)
+    every = [(int(c), int(w)) for c in [*contexts, 12] for w in [*words, 7]]
+    codes = trie.codes_of(np.array([c for c, _ in every], np.uint64), np.array([w for _, w in every], np.uint64))
+    at = {k: i for i, k in enumerate(held)}
+    for pair, p in zip(every, ngramlm.probabilities(codes), strict=True):
+        assert p == (pytest.approx(10 ** logs[at[pair]], rel=1e-3) if pair in at else 0)
 
 
 @pytest.mark.parametrize("shard_tokens", [300, 10**9])
