@@ -16,6 +16,7 @@ sets, with candidates from several fingerprints in an index of the same kind, an
 Edge cases: null and empty texts and those without words have fingerprint zero and link to each other; fewer
 words than a shingle count as one; equal texts have equal fingerprints and are joined once; a component's name
 is its smallest id, null only if all its ids are null; an empty table gives no rows; other columns are ignored.
+``near_duplicates`` takes ids of any type, ``similar`` and ``deduplicate`` integers.
 """
 
 from __future__ import annotations

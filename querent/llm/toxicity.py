@@ -81,10 +81,19 @@ def _grams(data: bytes) -> np.ndarray:
 
 
 def _counts(texts: list[bytes], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(5-grams, texts that hold each, occurrences of each, up to ``most`` a text)."""
-    each = [np.unique(_grams(t), return_counts=True) for t in texts]
-    grams, at = np.unique(np.concatenate([g for g, _ in each]), return_inverse=True)
-    return grams, np.bincount(at, minlength=len(grams)), np.bincount(at, np.concatenate([np.minimum(n, most) for _, n in each]), len(grams))
+    """(5-grams, texts that hold each, occurrences of each, up to ``most`` a text), folded a few texts at a time."""
+    grams, held, often = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for i in range(0, len(texts), 128):
+        each = [np.unique(_grams(t), return_counts=True) for t in texts[i : i + 128]]
+        every = np.concatenate([grams, *(g for g, _ in each)])
+        texts_, times = np.ones(len(every), np.int64), np.concatenate([often, *(np.minimum(n, most) for _, n in each)])
+        texts_[: len(grams)] = held
+        order = np.argsort(every, kind="stable")
+        every = every[order]
+        first = np.nonzero(np.append(True, every[1:] != every[:-1]))[0] if len(every) else np.zeros(0, np.int64)
+        grams = every[first]
+        held, often = (np.add.reduceat(v[order], first) if len(first) else v for v in (texts_, times))
+    return grams, held, often
 
 
 def _segments(data: bytes, chosen: np.ndarray) -> set[bytes]:
@@ -101,9 +110,11 @@ def dictionary(own: list[bytes], other: list[bytes], size: int, ratio: float = 6
     text) are a part of all that exceeds ``ratio`` times that in ``other``."""
     mine, held, often = _counts(own, most)
     theirs, _, there = _counts(other, most)
-    at = np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)
-    rest = np.where(theirs[at] == mine, there[at], 0.0)
-    chosen = mine[(held >= 3) & (held > share * len(own)) & (often / often.sum() > ratio * (rest + 1) / there.sum())]
+    rest = np.zeros(len(mine))
+    if len(theirs):
+        at = np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)
+        rest = np.where(theirs[at] == mine, there[at], 0.0)
+    chosen = mine[(held >= 3) & (held > share * len(own)) & (often * max(1, there.sum()) > ratio * (rest + 1) * max(1, often.sum()))]
     whole = size + 512
     found = Counter()
     for t in own:
