@@ -39,6 +39,13 @@ def retrieve(vectors: DataFrame, queries: dict[int, Sequence[float]], k: int | N
     return found
 
 
+def score(vectors: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """query_id, doc_id, score (dot product) of every query (query_id, embedding) and every one of ``docs`` (doc_id), stated sets both."""
+    rows = vectors.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "embedding")
+    pairs = rows.crossJoin(queries.select("query_id", F.col("embedding").alias("q")))
+    return pairs.select("query_id", "doc_id", F.round(dot("embedding", "q"), 6).alias("score"))
+
+
 def packed(vectors: DataFrame, rows: int = BLOCK) -> DataFrame:
     """(ids, data): vectors (id, embedding) in blocks of little-endian doubles; null vectors are left out."""
 

@@ -20,6 +20,12 @@ class AutoregressiveModel(Protocol):
     def generate(self, queries: DataFrame, beam: int) -> DataFrame: ...
 
 
+class IdentifierGenerator(Protocol):
+    """Gives identifiers of passages: (doc_id, title, substring, pseudo_query) for (doc_id, text); see ``passage_identifiers``."""
+
+    def __call__(self, passages: DataFrame) -> DataFrame: ...
+
+
 class WordModel:
     """A stand-in without a network: identifiers from the query's words of more than two bytes."""
 

@@ -23,6 +23,21 @@ def rerank_cosine(candidates: DataFrame, vectors: DataFrame, queries: DataFrame,
     return ranked(rows.select("query_id", "doc_id", cosine("embedding", "q").alias("score"), "original_score"), k)
 
 
+def rerank_with(candidates: DataFrame, docs: DataFrame, queries: DataFrame, scorer, k: int | None = 10) -> DataFrame:
+    """query_id, doc_id, score, original_score, rank by a cross-encoder: ``scorer(query texts, document texts)`` gives a score for each
+    pair, in batches. ``docs`` (doc_id, text), ``queries`` (query_id, text); null texts are empty."""
+    rows = candidates.select("query_id", "doc_id", F.col("score").alias("original_score"))
+    rows = rows.join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("d")), "doc_id").join(queries.select("query_id", F.coalesce("text", F.lit("")).alias("q")), "query_id")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f[["query_id", "doc_id", "original_score"]].assign(score=np.asarray(scorer(list(f["q"]), list(f["d"])), float))
+
+    kind = rows.schema
+    scored = rows.mapInPandas(run, f"query_id {kind['query_id'].dataType.simpleString()}, doc_id {kind['doc_id'].dataType.simpleString()}, original_score double, score double")
+    return ranked(scored.select("query_id", "doc_id", "score", "original_score"), k)
+
+
 def maxsim(query: str | Column, doc: str | Column, similarity=dot) -> Column:
     """Sum over query tokens of the largest similarity with a document token; 0 if either side is empty."""
     q, d = (F.col(c) if isinstance(c, str) else c for c in (query, doc))

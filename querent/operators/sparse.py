@@ -58,3 +58,12 @@ def retrieve(weights: DataFrame, queries: DataFrame, k: int | None = 10) -> Data
     asked = queries.select("query_id", "term_id", F.col("weight").alias("asked"))
     scores = weights.join(asked, "term_id").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight").cast("double") * F.col("asked").cast("double")).alias("score"))
     return ranked(scores.filter("score > 0 AND NOT isnan(score)"), k)
+
+
+def score(entries: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """query_id, doc_id, score of every query and every one of ``docs`` (doc_id), stated sets both; 0 without a common term."""
+    wanted = docs.select("doc_id").distinct()
+    asked = queries.select("query_id", "term_id", F.col("weight").alias("w"))
+    parts = entries.join(wanted, "doc_id", "left_semi").join(asked, "term_id").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("w")).alias("score"))
+    every = queries.select("query_id").distinct().crossJoin(wanted)
+    return every.join(parts, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce(F.round("score", 6), F.lit(0.0)).alias("score"))

@@ -5,9 +5,12 @@ from __future__ import annotations
 from typing import Protocol
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from querent.operators import dense, sparse
+from querent.operators.ann.factory import index_factory
 from querent.operators.lexical import Bm25Params, LexicalIndex
+from querent.runtime import materialize
 
 
 class Retriever(Protocol):
@@ -45,16 +48,25 @@ class LexicalBackend(_Held):
 
 
 class DenseBackend(_Held):
+    """Exact, or by an index that ``description`` names (see ``index_factory``)."""
+
+    def __init__(self, description: str | None = None):
+        super().__init__()
+        self.description, self.index = description, None
+
     def build(self) -> None:
-        pass
+        if self.description:
+            dimension = self.docs.agg(F.max(F.size("embedding"))).first()[0] or 1
+            self.index = index_factory(dimension, self.description).build(self.docs)
 
     def retrieve(self, queries: DataFrame, k: int) -> DataFrame:
-        return dense.search_blocks(self.docs, queries, k)
+        return dense.search_blocks(self.docs, queries, k) if self.index is None else self.index.search(queries, k)
 
 
 class SparseBackend(_Held):
     def build(self) -> None:
-        pass
+        """Cluster the entries by term, so that a query's terms are found by Parquet's row group statistics."""
+        self.docs = materialize(self.docs.repartitionByRange("term_id").sortWithinPartitions("term_id"), "sparse")
 
     def retrieve(self, queries: DataFrame, k: int) -> DataFrame:
         return sparse.retrieve(self.docs, queries, k)

@@ -69,6 +69,18 @@ def summary(results: DataFrame) -> DataFrame:
     return results.groupBy("algorithm").agg(F.max("recall").alias("best_recall"), F.max("queries_per_s").alias("best_queries_per_s"))
 
 
+def by_k(results: DataFrame) -> DataFrame:
+    """k and, as columns named by algorithm, the recall that each reaches."""
+    return results.groupBy("k").pivot("algorithm").agg(F.max("recall")).orderBy("k")
+
+
+def plot(results: DataFrame, k: int, width: int = 40) -> str:
+    """Recall against throughput at k as text: a line an algorithm, its bar as long as its recall."""
+    rows = results.filter(F.col("k") == k).groupBy("algorithm").agg(F.max("recall").alias("recall"), F.max("queries_per_s").alias("rate")).orderBy("algorithm").collect()  # one an algorithm
+    name = max((len(r["algorithm"]) for r in rows), default=0)
+    return "\n".join(f"{r['algorithm']:<{name}} {'#' * round(width * r['recall']):<{width}} {r['recall']:.3f} at {r['rate']:.1f} queries/s" for r in rows)
+
+
 def write_csv(results: DataFrame, path: str) -> None:
     results.write.option("header", True).csv(path)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -102,6 +103,70 @@ def bits_per_id(count: int, universe: int) -> float:
     return math.log2(universe / count) if 0 < count < universe else 0.0
 
 
+def _checked(ids: list[int], universe: int) -> list[int]:
+    if any(b <= a for a, b in zip(ids, ids[1:], strict=False)) or ids and (ids[0] < 0 or ids[-1] >= universe):
+        raise InvalidParameter("ids must be sorted, distinct and below the universe")
+    return ids
+
+
+def elias_fano(ids: list[int], universe: int) -> bytes:
+    """Count, then low bits packed and high bits in unary: about 2 + log2(universe / count) bits an id."""
+    n = len(_checked(ids, universe))
+    low = max(0, (universe // max(1, n)).bit_length() - 1)
+    high = sum(1 << ((v >> low) + i) for i, v in enumerate(ids))
+    return varint(n) + pack([v & ((1 << low) - 1) for v in ids], low) + high.to_bytes((high.bit_length() + 7) // 8, "little")
+
+
+def from_elias_fano(data: bytes, universe: int) -> list[int]:
+    n, at = read_varint(data)
+    low = max(0, (universe // max(1, n)).bit_length() - 1)
+    size = (n * low + 7) // 8
+    lows, high, out, place = unpack(data[at : at + size], low, n), int.from_bytes(data[at + size :], "little"), [], 0
+    while high and len(out) < n:
+        step = (high & -high).bit_length() - 1  # zeros up to the next one
+        high >>= step + 1
+        place += step
+        out.append(place << low | lows[len(out)])
+    if len(out) != n or high:
+        raise InvalidParameter("the set is damaged")
+    return out
+
+
+def wavelet(ids: list[int], universe: int) -> bytes:
+    """Count, then a wavelet matrix: for each bit from the highest the ids' bits, ids with a zero moving before those with a one."""
+    width, rows, out = max(1, (universe - 1).bit_length()), list(_checked(ids, universe)), []
+    for level in range(width - 1, -1, -1):
+        bits = [v >> level & 1 for v in rows]
+        out.append(pack(bits, 1))
+        rows = [v for v, b in zip(rows, bits, strict=True) if not b] + [v for v, b in zip(rows, bits, strict=True) if b]
+    return varint(len(ids)) + b"".join(out)
+
+
+def from_wavelet(data: bytes, universe: int) -> list[int]:
+    n, at = read_varint(data)
+    width, size = max(1, (universe - 1).bit_length()), (n + 7) // 8
+    if len(data) != at + width * size:
+        raise InvalidParameter("the set is damaged")
+    place, values = list(range(n)), [0] * n
+    for level in range(width):
+        bits = unpack(data[at + level * size : at + (level + 1) * size], 1, n)
+        zeros = n - sum(bits)
+        ones = [0, *accumulate(bits)]
+        for i, p in enumerate(place):
+            values[i] = values[i] << 1 | bits[p]
+            place[i] = zeros + ones[p] if bits[p] else p - ones[p]
+    return values
+
+
+#: Ways to write a set of ids: (writer, reader).
+METHODS = {
+    "none": (lambda ids, universe: b"".join(v.to_bytes(8, "little") for v in _checked(ids, universe)), lambda data, universe: [int.from_bytes(data[i : i + 8], "little") for i in range(0, len(data), 8)]),
+    "gaps": (compress_set, decompress_set),
+    "elias_fano": (elias_fano, from_elias_fano),
+    "wavelet": (wavelet, from_wavelet),
+}
+
+
 class UniformCoder:
     """Symbols of equal probability as digits of one number."""
 
@@ -126,19 +191,21 @@ class UniformCoder:
         return out[::-1]
 
 
-def compressed(sets: DataFrame, universe: int) -> DataFrame:
-    """(key, data) of (key, ids array): each sorted set compressed, in batches."""
+def compressed(sets: DataFrame, universe: int, method: str = "gaps") -> DataFrame:
+    """(key, data) of (key, ids array): each sorted set written by one of ``METHODS``, in batches."""
+    if method not in METHODS:
+        raise InvalidParameter(f"unknown method {method}")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"key": f["key"], "data": [compress_set(list(map(int, v)), universe) for v in f["ids"]]})
+            yield pd.DataFrame({"key": f["key"], "data": [METHODS[method][0](list(map(int, v)), universe) for v in f["ids"]]})
 
     return sets.select("key", F.array_sort(F.array_distinct("ids")).alias("ids")).mapInPandas(run, f"key {sets.schema['key'].dataType.simpleString()}, data binary")
 
 
-def decompressed(rows: DataFrame, universe: int) -> DataFrame:
+def decompressed(rows: DataFrame, universe: int, method: str = "gaps") -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"key": f["key"], "ids": [decompress_set(bytes(v), universe) for v in f["data"]]})
+            yield pd.DataFrame({"key": f["key"], "ids": [METHODS[method][1](bytes(v), universe) for v in f["data"]]})
 
     return rows.mapInPandas(run, f"key {rows.schema['key'].dataType.simpleString()}, ids array<long>")

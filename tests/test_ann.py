@@ -230,3 +230,5 @@ def test_runner(spark):
     runner = benchmarks.Runner(train, test, ks=(1, 10))
     runner.run("exact", buckets.ExactTree())
     assert [r["best_recall"] for r in benchmarks.summary(runner.frame(spark)).collect()] == [1.0]
+    assert [(r["k"], r["exact"]) for r in benchmarks.by_k(runner.frame(spark)).collect()] == [(1, 1.0), (10, 1.0)]
+    assert benchmarks.plot(runner.frame(spark), 10).startswith("exact ####")

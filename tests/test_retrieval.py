@@ -11,7 +11,7 @@ from querent.functions import vectors as V
 from querent.operators import dense, evaluation, expansion, filters, fusion, generative, rerank, routing, sparse
 from querent.operators.lexical import Bm25Params, EagerIndex, LexicalIndex, Smoothing, TfIdfParams, query_terms
 from querent.plans.pipeline import Plan
-from querent.sources import codecs, storage, trec
+from querent.sources import backends, codecs, storage, trec
 
 #: 11 words in 6 documents: amber in 0 (twice) and 2, lantern in 0 and 1, harbour in 1 and 4.
 DOCS = [(0, "Amber lantern, amber"), (1, "lantern harbour"), (2, "amber"), (3, "granite quarry dust"), (4, "harbour ferry"), (5, "")]
@@ -293,6 +293,20 @@ def test_single_scores(spark):
     best = {r["doc_id"]: r["score"] for r in index.bm25(asked, None).collect()}
     got = {r["doc_id"]: r["score"] for r in index.bm25_score(asked, docs.filter("doc_id <> 2")).collect()}
     assert got == {1: best[1], 3: 0.0}
+    rows = sparse.exploded(spark.createDataFrame([(1, [0, 4], [1.0, 2.0]), (2, [5], [3.0]), (3, [4], [9.0])], "doc_id long, indices array<int>, values array<double>"))
+    one = sparse.exploded(spark.createDataFrame([(7, [4], [0.5])], "query_id long, indices array<int>, values array<double>"), "query_id")
+    assert {r["doc_id"]: r["score"] for r in sparse.score(rows, one, docs.filter("doc_id < 3")).collect()} == {1: 1.0, 2: 0.0}
+    vectors = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, -1.0]), (3, [0.0, 0.0])], "doc_id long, embedding array<double>")
+    asked = spark.createDataFrame([(7, [2.0, 1.0])], "query_id long, embedding array<double>")
+    assert {r["doc_id"]: r["score"] for r in dense.score(vectors, asked, docs.filter("doc_id < 3")).collect()} == {1: 4.0, 2: 5.0}
+    for backend in (backends.DenseBackend(), backends.DenseBackend("HNSW4")):
+        backend.add_documents(vectors.filter("doc_id < 3"))
+        backend.build()
+        assert ids(backend.retrieve(asked, 2)) == [1, 2] or ids(backend.retrieve(asked, 2)) == [2, 1]
+    backend = backends.SparseBackend()
+    backend.add_documents(rows)
+    backend.build()
+    assert ids(backend.retrieve(one, 5)) == [3, 1]
 
 
 def test_odd_parameters(spark):
@@ -314,3 +328,24 @@ def test_scratch(spark):
         inside = [n for n in children(spark, shared_dir(spark)) if n.startswith("gone-")]
         assert inside
     assert not [n for n in children(spark, shared_dir(spark)) if n.startswith("gone-")] and children(spark, kept) == []
+
+
+@pytest.mark.parametrize("method", list(codecs.METHODS))
+def test_set_methods(spark, method):
+    write, read = codecs.METHODS[method]
+    rng = np.random.default_rng(4)
+    for n, universe in ((0, 10), (1, 1), (5, 6), (300, 400), (200, 10**9)):
+        ids_ = sorted(set(rng.integers(0, universe, n).tolist()))
+        assert read(write(ids_, universe), universe) == ids_
+    with pytest.raises(InvalidParameter):
+        write([4, 4], 10)
+    sets = spark.createDataFrame([("a", [9, 2, 2]), ("b", [])], "key string, ids array<long>")
+    back = codecs.decompressed(codecs.compressed(sets, 100, method), 100, method)
+    assert {(r["key"], tuple(r["ids"])) for r in back.collect()} == {("a", (2, 9)), ("b", ())}
+
+
+def test_cross_encoder(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "b c d"), (3, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "b d")], "query_id long, text string")
+    found = rerank.rerank_with(_list(spark, [(7, 1, 9.0, 1), (7, 2, 8.0, 2), (7, 3, 7.0, 3)]), docs, asked, lambda q, d: [len(set(x.split()) & set(y.split())) for x, y in zip(q, d, strict=True)])
+    assert [(r["doc_id"], r["score"], r["original_score"]) for r in found.orderBy("rank").collect()] == [(2, 2.0, 8.0), (1, 1.0, 9.0), (3, 0.0, 7.0)]
