@@ -18,6 +18,7 @@ from querent.errors import InvalidParameter
 from querent.operators.ann.base import unit
 from querent.operators.components import components, roots
 from querent.operators.dense import packed
+from querent.runtime import materialize
 
 THRESHOLDS = (0.95, 0.9, 0.85, 0.8, 0.75, 0.7, 0.65, 0.6, 0.55, 0.5)
 
@@ -75,8 +76,6 @@ class Layers:
 
     def fit(self, vectors: DataFrame) -> DataFrame:
         """(threshold, doc_id, cluster): cluster is the smallest id of its members, -1 for noise."""
-        from querent.runtime import materialize
-
         links = materialize(linked(reduce(vectors, self.dimension, self.seed), self.thresholds), "layers")
         every = vectors.filter("embedding IS NOT NULL").select("doc_id")
         out = None
@@ -91,8 +90,6 @@ class Layers:
 
     def fit_predict(self, vectors: DataFrame) -> DataFrame:
         """(doc_id, cluster) of the layer with the most clusters, of ties the one of the highest threshold."""
-        from querent.runtime import materialize
-
         layers = materialize(self.fit(vectors), "layers")
         counts = layers.filter("cluster >= 0").groupBy("threshold").agg(F.countDistinct("cluster").alias("n")).collect()  # one row a threshold
         best = max(((r["n"], r["threshold"]) for r in counts), default=(0, self.thresholds[0]))[1]
@@ -113,7 +110,45 @@ def merge_tree(layers: DataFrame) -> DataFrame:
     return sizes.join(next_, "threshold", "left").join(up, ["parent_threshold", "member"], "left").select("threshold", "cluster", "parent", "parent_threshold", "size")
 
 
-def duplicates(vectors: DataFrame, distance: float = 1e-6) -> DataFrame:
-    """(doc_id, group): groups of vectors nearer than ``distance`` in cosine distance, named by the smallest id."""
-    links = linked(vectors, (1 - distance,))
-    return components(links.select("a", "b")).select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
+#: Random directions that ``duplicates`` lays its grid along.
+DIRECTIONS = 6
+
+
+def duplicates(vectors: DataFrame, distance: float = 1e-6, seed: int = 0) -> DataFrame:
+    """(doc_id, group): groups of vectors nearer than ``distance`` in cosine distance, named by the smallest id.
+
+    Unit vectors so near lie within sqrt(2 * distance) of each other along any direction. So each distinct vector is posted in
+    its cell of a grid along random directions, and in the neighbouring cells that are as near; those that share a cell
+    are compared. Nothing is missed, and vectors that aren't near hardly ever meet.
+    """
+    dim = vectors.agg(F.max(F.size("embedding"))).first()[0] or 1
+    ways = projection(dim + DIRECTIONS, DIRECTIONS, seed)[:dim]
+    ways = ways / np.linalg.norm(ways, axis=0)
+    reach = float(np.sqrt(2 * distance)) + 1e-9
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = unit(np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1)) + 0.0
+            at = x @ ways / (4 * reach)
+            cell, part = np.floor(at), at - np.floor(at)
+            near = np.where(part < 0.25, -1, np.where(part > 0.75, 1, 0)).astype(np.int64)
+            cells = [[c.tobytes()] for c in cell.astype("<i8")]
+            for i in range(batch.num_rows):
+                for pick in range(1, 1 << DIRECTIONS):
+                    move = np.array([near[i, k] if pick >> k & 1 else 0 for k in range(DIRECTIONS)])
+                    if all(move[k] for k in range(DIRECTIONS) if pick >> k & 1):
+                        cells[i].append((cell[i].astype("<i8") + move).tobytes())
+            yield pa.record_batch([batch.column(0), pa.array([v.tobytes() for v in x.round(12)], pa.binary()), pa.array(list(x), pa.list_(pa.float64())), pa.array(cells, pa.list_(pa.binary()))], names=["doc_id", "same", "x", "cells"])
+
+    rows = vectors.filter("embedding IS NOT NULL").select(F.col("doc_id").cast("long"), "embedding").mapInArrow(run, "doc_id long, same binary, x array<double>, cells array<binary>")
+    rows = materialize(rows, "duplicates")
+    low = rows.groupBy("same").agg(F.min("doc_id").alias("low"))
+    equal = rows.join(low, "same").select("doc_id", "low")  # equal vectors hang below the smallest id, so they make no pairs
+    posted = rows.join(low.select(F.col("low").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "x", F.explode("cells").alias("cell"))
+    a, b = posted.alias("a"), posted.alias("b")
+    cosine = F.aggregate(F.zip_with("a.x", "b.x", lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
+    pairs = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.doc_id") < F.col("b.doc_id"))).filter(cosine >= 1 - distance)
+    links = pairs.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).unionByName(equal.select(F.col("doc_id").alias("a"), F.col("low").alias("b")))
+    return components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("group"))

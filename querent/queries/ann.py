@@ -8,7 +8,7 @@ from querent.operators import dense
 from querent.operators.ann import buckets, density, factory, graphs, kmeans, quantize
 from querent.operators.ann.base import sample
 from querent.operators.evaluation import neighbour_recall
-from querent.queries.vectors import _knn_sql, _queries, _vectors
+from querent.queries.vectors import _COS, _knn_sql, _queries, _vectors
 from querent.runtime import materialize
 
 #: Built as for a table of a few thousand to millions of rows; recall is measured in ``ann_recall``.
@@ -132,6 +132,9 @@ QUERIES = {f"ann_{n}": _searched(n) for n in INDEXES} | {
 MEASURED = [f"ann_{n}" for n in INDEXES] + ["ann_factory", "ann_pq", "ann_opq", "ann_online_pq", "ann_turbo_quantizer", "ann_saq"]
 
 SQL = {
+    "vector_duplicates": _knn_sql().split(", s AS")[0] + f""",
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE {_COS.replace('q.', 'a.').replace('x.', 'b.')} >= 1 - 1e-6)
+SELECT x AS doc_id, least(x, min(y)) AS "group" FROM p GROUP BY x""",
     "ann_recall": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', TRUE)" for n in MEASURED) + ") v(index, reached)",
     "ann_hnsw_category": _knn_sql("x.label = 3", 5),
     "ann_kd_tree": _knn_sql(),

@@ -54,10 +54,14 @@ def log_replay(spark, d):
 
 def id_sets(spark, d):
     """Documents of every term as compressed sets, their sizes, and the ids read back."""
-    sets = LexicalIndex.from_texts(table(spark, d, "documents")).postings.groupBy("term").agg(F.collect_list("doc_id").alias("ids")).withColumnRenamed("term", "key")
-    data = codecs.compressed(sets, 1 << 40)
-    back = codecs.decompressed(data, 1 << 40)
-    return back.select(F.col("key").alias("term"), F.size("ids").cast("long").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    postings = LexicalIndex.from_texts(table(spark, d, "documents")).postings
+    # A set holds the ids of one block of a million, so frequent terms make many sets and no long one.
+    key = F.concat_ws("\u0001", "term", F.expr("doc_id div 1000000").cast("string"))
+    sets = postings.groupBy(key.alias("key")).agg(F.collect_list("doc_id").alias("ids"))
+    data = codecs.compressed(sets, 1 << 40, "elias_fano")
+    back = codecs.decompressed(data, 1 << 40, "elias_fano")
+    term, total = F.substring_index("key", "\u0001", 1), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)
+    return back.groupBy(term.alias("term")).agg(F.sum(F.size("ids")).cast("long").alias("n"), F.sum(total).alias("total"))
 
 
 def gaps(spark, d):

@@ -188,6 +188,11 @@ def test_clusters_and_duplicates(spark):
     found = density.Layers(dimension=12, least=5).fit_predict(vectors).collect()
     assert len({r["cluster"] for r in found if r["doc_id"] < 80}) == 4
     assert {(r["doc_id"], r["group"]) for r in density.duplicates(vectors).collect()} == {(80, 80), (81, 80)}
+    near = np.repeat(rng.standard_normal((40, 24)), 3, axis=0) * rng.uniform(0.5, 2, (120, 1)) + 1e-3 * rng.standard_normal((120, 24))
+    x = near / np.linalg.norm(near, axis=1, keepdims=True)
+    got = {(r["doc_id"], r["group"]) for r in density.duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(near)], "doc_id long, embedding array<double>"), 2e-6).collect()}
+    close = (x @ x.T >= 1 - 2e-6) & ~np.eye(120, dtype=bool)
+    assert {i for i, _ in got} == set(np.nonzero(close.any(axis=1))[0].tolist()) and 0 < len(got) < 120
     with pytest.raises(InvalidParameter):
         density.projection(4, 4)
     layers = density.Layers(dimension=12, least=5, thresholds=(0.9, 0.0)).fit(vectors).cache()
