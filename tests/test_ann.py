@@ -86,10 +86,10 @@ def test_saved_graph(spark, data, tmp_path, kind):
 
 @pytest.fixture(scope="module")
 def clustered(spark):
-    """20,000 vectors about 200 centres, and 100 queries."""
+    """10,000 vectors about 200 centres, and 50 queries."""
     rng = np.random.default_rng(7)
     centres = rng.standard_normal((200, 32))
-    x = centres[np.arange(20_000) % 200] + 0.6 * rng.standard_normal((20_000, 32))
+    x = centres[np.arange(10_000) % 200] + 0.6 * rng.standard_normal((10_000, 32))
     vectors = spark.createDataFrame([(i, v.tolist(), i % 5) for i, v in enumerate(x)], "doc_id long, embedding array<double>, kind int").cache()
     queries = vectors.filter("doc_id % 200 = 7").select(F.col("doc_id").alias("query_id"), "embedding").cache()
     return vectors, queries, dense.search_blocks(vectors, queries, 10).cache()
@@ -98,10 +98,10 @@ def clustered(spark):
 def test_graph_compares_few(clustered):
     """Queries go to few shards and meet few of their rows, and still find nearly all neighbours."""
     vectors, queries, truth = clustered
-    index = graphs.Hnsw(degree=12, candidates=64, ef=64, shard_rows=2000, probes=3).build(vectors)
+    index = graphs.Hnsw(degree=12, candidates=64, ef=64, shard_rows=1000, probes=3).build(vectors)
     assert index.shards.count() >= 10 and index.edges().filter("layer > 0").count() > 0
     assert recall(truth, index.search(queries, 10)) >= 0.9
-    assert index.compared(queries, 10).agg(F.avg("compared")).first()[0] < 0.2 * 20_000
+    assert index.compared(queries, 10).agg(F.avg("compared")).first()[0] < 0.2 * 10_000
 
 
 def test_buckets_compare_few(clustered):
@@ -126,12 +126,12 @@ def test_graph_grows(data):
 def test_filtered_graph(clustered):
     """Filters that leave many rows are walked, those that leave few are compared all."""
     vectors, queries, _ = clustered
-    index = graphs.Hnsw(degree=12, candidates=64, ef=80, shard_rows=4000, category="kind").build(vectors.filter("doc_id < 8000"))
+    index = graphs.Hnsw(degree=12, candidates=64, ef=80, shard_rows=2000, category="kind").build(vectors.filter("doc_id < 4000"))
     for where, least in ((F.col("kind") == 2, 0.85), (F.col("doc_id") < 40, 1.0), (F.col("kind") > 9, None)):
-        truth = dense.search_blocks(vectors.filter("doc_id < 8000").filter(where).select("doc_id", "embedding"), queries, 10)
+        truth = dense.search_blocks(vectors.filter("doc_id < 4000").filter(where).select("doc_id", "embedding"), queries, 10)
         found = index.search_filtered(queries, where, 10)
         assert found.count() == 0 if least is None else recall(truth, found) >= least
-    truth = dense.search_blocks(vectors.filter("doc_id < 8000 AND kind = 2").select("doc_id", "embedding"), queries, 10)
+    truth = dense.search_blocks(vectors.filter("doc_id < 4000 AND kind = 2").select("doc_id", "embedding"), queries, 10)
     found = index.search_category(queries, 2, 10)
     assert recall(truth, found) >= 0.85 and found.filter("doc_id % 5 <> 2").count() == 0
 
