@@ -211,6 +211,19 @@ class Shard:
         found, n = beam(self.x, self.neighbours(0), q, start, width, allowed, through)
         return found, compared + n
 
+    def checked(self, q: np.ndarray, found: list[list[tuple[float, int]]], k: int, allowed: np.ndarray) -> list[list[tuple[float, int]]]:
+        """The k nearest ``allowed`` rows of each of some queries, of ties the smaller id: what ``search`` found sets a bound, and the
+        rows that it left out are compared with that."""
+        some = np.nonzero(allowed)[0]
+        s = np.round(q @ self.x[some].T, EXACT)
+        out = []
+        for own, got in zip(s, found, strict=True):
+            bound = 1 - got[k - 1][0] - 10.0**-EXACT if 0 < k <= len(got) else -np.inf
+            at = np.nonzero(own >= bound)[0]
+            at = at[np.argsort(-own[at], kind="stable")[:k]]  # rows are in the order of ids
+            out.append([(1 - v, r) for v, r in zip(own[at].tolist(), some[at].tolist(), strict=True)])
+        return out
+
 
 @dataclass
 class GraphIndex:
@@ -218,7 +231,8 @@ class GraphIndex:
 
     ``layered`` draws levels that thin out by the degree; ``strategy`` "stacked" enters by the layers, "random" by as many
     rows as ``seeds`` besides. ``category`` names an integer column for ``search_category``; each row then gets edges
-    to its nearest of the same category.
+    to its nearest of the same category. With ``exact`` the searches under a filter or within a category compare the rows
+    that the walk left out as well, so that none of the nearest is missed.
     """
 
     degree: int = 16
@@ -235,6 +249,7 @@ class GraphIndex:
     shard_rows: int = SHARD_ROWS
     probes: int = PROBES
     category: str | None = None
+    exact: bool = False
     shards: DataFrame | None = field(default=None, repr=False)
     rows: DataFrame | None = field(default=None, repr=False)
     source: DataFrame | None = field(default=None, repr=False)
@@ -391,8 +406,12 @@ class GraphIndex:
                     elif row["allowed"] is not None:
                         allowed = np.isin(shard.ids, np.frombuffer(row["allowed"], "<i8"))
                     out: list[tuple] = []
-                    for i, q in zip(qids.tolist(), unit(np.frombuffer(row["qdata"], "<f8").reshape(len(qids), -1)), strict=True):
-                        found, compared = shard.search(q, width, allowed, category is not None)
+                    asked = unit(np.frombuffer(row["qdata"], "<f8").reshape(len(qids), -1))
+                    results = [shard.search(q, width, allowed, category is not None) for q in asked]
+                    lists = [found for found, _ in results]
+                    if me.exact and allowed is not None:
+                        lists = shard.checked(asked, lists, first, allowed)
+                    for i, found, (_, compared) in zip(qids.tolist(), lists, results, strict=True):
                         out += [(i, compared, 0.0)] if counted else [(i, int(shard.ids[r]), round(1 - d, EXACT)) for d, r in found[:first]]
                     columns = list(zip(*out, strict=True)) or [[], [], []]
                     yield pa.record_batch([pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=names)
@@ -551,6 +570,8 @@ class DiskAnn(Vamana):
         return max(k, ef or self.ef, self.reorder * k)
 
     def _searched(self, queries: DataFrame, k: int, ef: int | None, masks: DataFrame | None = None, category: int | None = None, counted: bool = False) -> DataFrame:
+        if self.exact:
+            raise InvalidParameter("a search by codes isn't exact")
         quantizer = self.quantizer
 
         def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
