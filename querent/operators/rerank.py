@@ -6,12 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querent.errors import InvalidParameter
 from querent.functions.vectors import cosine, dot
-from querent.operators.topk import ranked
+from querent.operators.topk import best_of, ranked
 from querent.runtime import spread
 
 
@@ -49,13 +51,89 @@ def maxsim_cosine(query: str | Column, doc: str | Column) -> Column:
     return maxsim(query, doc, cosine)
 
 
+#: Documents and queries of a block, about, and queries that are compared at a time.
+BLOCK, ASKED, TILE = 512, 512, 64
+
+
+def _token_blocks(rows: DataFrame, most: int) -> DataFrame:
+    """(ids, data, n, tokens, dim): matrices (id, tokens) in blocks of up to ``most`` rows; data has each row's tokens one behind the
+    other, as little-endian doubles, filled up with zeros to the block's number of tokens (sizes has the true ones) and of components."""
+    kind = rows.schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, most):
+                part = batch.slice(at, most)
+                lists = part.column(1)
+                sizes = np.where(lists.is_null(), 0, pc.fill_null(pc.list_value_length(lists), 0)).astype("<i4")
+                tokens = lists.flatten()
+                width = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(int)
+                # A token that is null or holds a null has no similarity: it is left out.
+                flat = tokens.flatten()
+                value = np.zeros((len(tokens), max(1, int(width.max(initial=0)))))
+                row = np.repeat(np.arange(len(tokens)), width)
+                value[row, np.arange(len(row)) - np.repeat(np.cumsum(width) - width, width)] = pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False)
+                good = tokens.is_valid().to_numpy(zero_copy_only=False)
+                good[row[flat.is_null().to_numpy(zero_copy_only=False)]] = False
+                owner = np.repeat(np.arange(part.num_rows), sizes)[good]
+                sizes = np.bincount(owner, minlength=part.num_rows).astype("<i4")
+                out = np.zeros((part.num_rows, max(1, int(sizes.max(initial=0))), value.shape[1]), "<f8")
+                out[owner, np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = value[good]
+                yield pa.record_batch([pa.array([part.column(0)], pa.list_(part.column(0).type)), pa.array([sizes.tobytes()], pa.binary()), pa.array([out.tobytes()], pa.binary()), pa.array([out.shape[1]], pa.int32()), pa.array([out.shape[2]], pa.int32())], names=["ids", "sizes", "data", "tokens", "dim"])
+
+    return rows.mapInArrow(run, f"ids array<{kind}>, sizes binary, data binary, tokens int, dim int")
+
+
+def maxsim_matrix(q: np.ndarray, d: np.ndarray, q_sizes: np.ndarray, d_sizes: np.ndarray) -> np.ndarray:
+    """MaxSim of every query and every document, (rows, tokens, components) both with their numbers of tokens; 0 if either is empty.
+    Of unequal numbers of components the common ones count."""
+    dim = min(q.shape[2], d.shape[2])
+    places = [np.ascontiguousarray(d[:, j, :dim].T) for j in range(d.shape[1])]
+    whole = [None if (d_sizes > j).all() else d_sizes > j for j in range(d.shape[1])]
+    total = np.zeros((len(q), len(d)))
+    one, best = np.empty_like(total), np.empty_like(total)
+    for i in range(q.shape[1]):
+        own = np.ascontiguousarray(q[:, i, :dim])
+        best.fill(-np.inf)
+        for place, some in zip(places, whole, strict=True):
+            np.matmul(own, place, out=one)
+            np.maximum(best, one, out=best, **({} if some is None else {"where": some[None, :]}))
+        np.add(total, best, out=total, where=(q_sizes > i)[:, None])
+    total[:, d_sizes == 0] = 0.0
+    return total
+
+
 def rank_maxsim(queries: DataFrame, docs: DataFrame, candidates: DataFrame | None = None, k: int | None = 10) -> DataFrame:
     """query_id, doc_id, score, rank by MaxSim of token matrices: ``queries`` (query_id, tokens), ``docs`` (doc_id, tokens).
-    Without candidates every document is scored against the stated queries."""
-    q = queries.select("query_id", F.col("tokens").alias("q"))
-    d = spread(docs.select("doc_id", F.col("tokens").alias("d")))
-    pairs = q.crossJoin(d) if candidates is None else candidates.select("query_id", "doc_id").join(d, "doc_id").join(q, "query_id")
-    return ranked(pairs.select("query_id", "doc_id", maxsim("q", "d").alias("score")), k)
+    Without candidates every document is scored against the stated queries: blocks of both meet, and a pair of blocks returns
+    k rows a query."""
+    if candidates is not None or k is None:
+        q = queries.select("query_id", F.col("tokens").alias("q"))
+        d = spread(docs.select("doc_id", F.col("tokens").alias("d")))
+        pairs = q.crossJoin(d) if candidates is None else candidates.select("query_id", "doc_id").join(d, "doc_id").join(q, "query_id")
+        return ranked(pairs.select("query_id", "doc_id", maxsim("q", "d").alias("score")), k)
+    form = F.col("tokens").cast("array<array<double>>")
+    base = _token_blocks(spread(docs.select("doc_id", form)), BLOCK)
+    asked = _token_blocks(queries.select("query_id", form), ASKED)
+    kinds = (base.schema["ids"].dataType.elementType.simpleString(), asked.schema["ids"].dataType.elementType.simpleString())
+    names = base.columns
+    pairs = base.crossJoin(asked.toDF(*[f"q_{c}" for c in names]))  # a stated query set against all rows, in blocks
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = {c: batch.column(c)[r] for c in batch.schema.names}
+                order = pc.sort_indices(row["ids"].values, null_placement="at_start")
+                ids, qids, at = row["ids"].values.take(order), row["q_ids"].values, order.to_numpy()
+                matrix = lambda p: np.frombuffer(row[f"{p}data"].as_py(), "<f8").reshape(-1, row[f"{p}tokens"].as_py(), row[f"{p}dim"].as_py())  # noqa: B023, E731
+                d, q = matrix("")[at], matrix("q_")
+                sizes, q_sizes = np.frombuffer(row["sizes"].as_py(), "<i4")[at], np.frombuffer(row["q_sizes"].as_py(), "<i4")
+                for i in range(0, len(q), TILE):
+                    s = maxsim_matrix(q[i : i + TILE], d, q_sizes[i : i + TILE], sizes)
+                    mine, top, score = best_of(s, k)
+                    yield pa.record_batch([qids.slice(i, TILE).take(pa.array(mine)), ids.take(pa.array(top)), pa.array(score)], names=["query_id", "doc_id", "score"])
+
+    return ranked(pairs.mapInArrow(run, f"query_id {kinds[1]}, doc_id {kinds[0]}, score double"), k)
 
 
 def alignments(query: str | Column, doc: str | Column) -> Column:

@@ -349,3 +349,15 @@ def test_cross_encoder(spark):
     asked = spark.createDataFrame([(7, "b d")], "query_id long, text string")
     found = rerank.rerank_with(_list(spark, [(7, 1, 9.0, 1), (7, 2, 8.0, 2), (7, 3, 7.0, 3)]), docs, asked, lambda q, d: [len(set(x.split()) & set(y.split())) for x, y in zip(q, d, strict=True)])
     assert [(r["doc_id"], r["score"], r["original_score"]) for r in found.orderBy("rank").collect()] == [(2, 2.0, 8.0), (1, 1.0, 9.0), (3, 0.0, 7.0)]
+
+
+def test_maxsim_blocks(spark):
+    """Blocks give what the column expression gives: matrices of unequal sizes, empty ones, nulls in a token, ties; and no rows for pairs."""
+    rng = np.random.default_rng(3)
+    make = lambda n: [[float(round(v, 1)) for v in rng.standard_normal(3)] for _ in range(n)]
+    docs = [(i, make(i % 4)) for i in range(40)] + [(40, None), (41, [[1.0, None, 2.0], [0.5, 0.5, 0.5]]), (42, [[1.0, 1.0]]), (43, [None])]
+    docs = spark.createDataFrame(docs + [(i + 100, t) for i, t in docs], "doc_id long, tokens array<array<double>>")
+    asked = spark.createDataFrame([(i, make(1 + i % 3)) for i in range(7)] + [(7, [])], "query_id long, tokens array<array<double>>")
+    found, every = rerank.rank_maxsim(asked, docs, k=9), rerank.rank_maxsim(asked, docs, k=None).filter("rank <= 9")
+    assert found.orderBy("query_id", "rank").collect() == every.orderBy("query_id", "rank").collect()
+    assert "maxsim" not in found._jdf.queryExecution().optimizedPlan().toString() and "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
