@@ -361,3 +361,17 @@ def test_maxsim_blocks(spark):
     found, every = rerank.rank_maxsim(asked, docs, k=9), rerank.rank_maxsim(asked, docs, k=None).filter("rank <= 9")
     assert found.orderBy("query_id", "rank").collect() == every.orderBy("query_id", "rank").collect()
     assert "maxsim" not in found._jdf.queryExecution().optimizedPlan().toString() and "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sparse_blocks(spark, monkeypatch):
+    """Blocks give what the join of terms gives: frequent and rare terms, repeated entries, ties, negative and missing weights, ids of text."""
+    monkeypatch.setattr(sparse, "ENTRIES", 300)
+    rng = np.random.default_rng(5)
+    entries = [(f"d{i % 90:02}", f"t{int(t)}", float(round(w, 1))) for i, (t, w) in enumerate(zip(rng.zipf(1.3, 900) % 200, rng.standard_normal(900), strict=True))]
+    entries += [("d91", "t1", None), ("d92", "t1", float("nan")), (None, "t1", 3.0), ("d93", None, 1.0)]
+    rows = spark.createDataFrame(entries, "doc_id string, term_id string, weight double")
+    asked = rows.filter("doc_id < 'd30'").selectExpr("int(substr(doc_id, 2)) AS query_id", "term_id", "float(weight) AS weight")
+    found, every = sparse.retrieve(rows, asked, 7), sparse.retrieve(rows, asked, None).filter("rank <= 7")
+    assert found.orderBy("query_id", "rank").collect() == every.orderBy("query_id", "rank").collect()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join Inner, (term_id" not in plan
