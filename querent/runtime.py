@@ -51,14 +51,14 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove_path(spark, path)
 
 
-def materialize(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+def materialize(df: DataFrame, tag: str, compression: str = "snappy", **options: str) -> DataFrame:
+    """Write ``df`` as Parquet, with further ``options`` of its writer, into the shared folder and read it back.
 
     This cuts lineage so that lost executors cost a re-read and not a recomputation, and gives the
     planner a true size: what is small enough is broadcast by Spark's own threshold, the rest is shuffled.
     """
     path = fresh_path(df.sparkSession, tag)
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

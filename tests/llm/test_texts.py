@@ -7,6 +7,7 @@ import re
 import zlib
 from array import array
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from querent.llm import bpe, flac, mixing, ngramlm, paragraphs, registry, secrets, setlinks, simhash, toxicity, trigrams
 from querent.llm.textlib import count_words
+from querent.runtime import materialize
 
 from .conftest import SCHEMA, prose
 
@@ -725,3 +727,15 @@ def test_pipeline(spark, odd, none, tmp_path):
                 assert seen.columns == docs.columns
         assert seen.columns[0] == "doc_id" and corpus_pipeline.run(spark, d).count() == seen.count()
     assert SCHEMA
+
+
+def test_media_store_finds_equal_streams(spark):
+    """Streams that are equal, megabytes apart, are stored about once."""
+    rng = np.random.default_rng(1)
+    texts = ["".join(map(chr, rng.integers(32, 127, 100_000))) for _ in range(15)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    media = flac.to_media(docs)
+    stored = materialize(media, "media", "zstd", **flac.STORED)
+    size = sum(Path(f.removeprefix("file://")).stat().st_size for f in stored.inputFiles())
+    assert size < 0.75 * media.agg(F.sum(F.octet_length("media"))).first()[0]
+    assert stored.orderBy("doc_id").collect() == media.orderBy("doc_id").collect()
