@@ -35,8 +35,9 @@ from querent.operators.components import components
 from querent.runtime import bounded_batches, materialize, table
 
 WORDS, SEED, BITS = 4, 42, 4
-#: Independent fingerprints of ``similar`` besides the text's own: a pair of Jaccard similarity 0.8 meets with a probability of 0.95.
-ROUNDS = 11
+#: Independent fingerprints of ``similar`` besides the text's own, each with an anchor of so many shingles: a pair of Jaccard
+#: similarity 0.8 agrees in an anchor with a probability of 0.64 and then in one of 8 bytes with 0.81 at least, so it meets with 0.98.
+ROUNDS, ANCHOR = 5, 2
 #: In ``similar``, lists of more sets than SMALL are compared in a task, in blocks of about BLOCK.
 SMALL, BLOCK = 8, 1024
 #: Positions in three groups; a triple inside a group, or two of a group with one of the next.
@@ -104,6 +105,12 @@ def _keys(fp: Column, first: Column) -> Column:
     return F.array(*keys)
 
 
+def _anchored(fp: Column, anchor: Column, round_: Column) -> Column:
+    """The keys under which a fingerprint is posted beside an anchor: one for each of its bytes and their positions."""
+    byte = lambda p: F.shiftrightunsigned(fp, 8 * p).bitwiseAND(F.lit(255))
+    return F.array(*[F.xxhash64(anchor, round_, F.lit(p), byte(p)) for p in range(8)])
+
+
 def _close(a: str, b: str, bits: int) -> Column:
     """The count filter on agreeing bytes, then the bits themselves."""
     differ = F.col(a).bitwiseXOR(F.col(b))
@@ -150,22 +157,26 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, bits:
 
 
 def sketches(docs: DataFrame, words: int, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
-    """doc_id, class (a hash of the set of shingles), size (their number) and wide (the set's fingerprint and ``rounds``
-    independent ones) of every row. Repeats don't count, as they don't in the similarity of sets."""
+    """doc_id, class (a hash of the set of shingles), size (their number), wide (the set's fingerprint and ``rounds``
+    independent ones) and anchors (one for each of these: a hash of the ``ANCHOR`` shingles that are the smallest by as many
+    independent hashes) of every row. Repeats don't count, as they don't in the similarity of sets."""
     from xxhash import xxh64_intdigest as digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, sizes, wide = [], [], []
+            kinds, sizes, wide, anchors = [], [], [], []
             for x in batch.column(1):
                 once = np.unique(shingle_hashes(x.as_py(), words, seed))
                 kinds.append(digest(once.tobytes()))
                 sizes.append(len(once))
                 wide.append([majority(once), *(majority(rehashed(once, k)) for k in range(rounds))])
-            columns = [batch.column(0), pa.array(np.array(kinds, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(wide, pa.list_(pa.int64()))]
-            yield pa.record_batch(columns, names=["doc_id", "class", "size", "wide"])
+                least = np.array([rehashed(once, rounds + k).min(initial=2**64 - 1) for k in range((rounds + 1) * ANCHOR)], np.uint64)
+                anchors.append([digest(a.tobytes()) for a in least.reshape(-1, ANCHOR)])
+            anchors_ = [np.array(a, np.uint64).view(np.int64) for a in anchors]
+            lists = [pa.array(v, pa.list_(pa.int64())) for v in (wide, anchors_)]
+            yield pa.record_batch([batch.column(0), pa.array(np.array(kinds, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), *lists], names=["doc_id", "class", "size", "wide", "anchors"])
 
-    return bounded_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, class long, size int, wide array<long>")
+    return bounded_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, class long, size int, wide array<long>, anchors array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int, seed: int = SEED) -> DataFrame:
@@ -247,7 +258,9 @@ def similar(docs: DataFrame, words: int = 5, jaccard: float = 0.8, rounds: int =
     """(node, component): components, named by the smallest id, of ids whose rows' shingle sets have this Jaccard similarity.
 
     Rows with equal sets are a class. Similar rows' fingerprints may differ in a dozen bits, more than the index of one
-    fingerprint is sure to find; so every class is posted with its fingerprint and ``rounds`` independent ones. All pairs
+    fingerprint is sure to find; so every class is posted with its fingerprint and ``rounds`` independent ones. Lists of byte
+    positions alone would grow with the number of texts, and chance pairs with its square; so a list is one of a byte position beside
+    an anchor, which unrelated texts don't share. All pairs
     that meet in a list count: each class is first compared with the nearest of its lists' first ones, the components of
     the links found are contracted, and members outside the component of their list's first are then compared with all
     members in other components: as pairs in lists of up to ``SMALL``, of which those are dropped whose sizes or whose
@@ -257,8 +270,8 @@ def similar(docs: DataFrame, words: int = 5, jaccard: float = 0.8, rounds: int =
     spark = docs.sparkSession
     named = docs.filter("doc_id IS NOT NULL")
     every = materialize(sketches(named, words, rounds, seed), "simhash")
-    kinds = materialize(every.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("wide").alias("wide")), "simhash")
-    keys = F.flatten(F.transform("wide", lambda fp, k: _keys(fp, k.cast("long") * len(TRIPLES))))
+    kinds = materialize(every.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("wide").alias("wide"), F.first("anchors").alias("anchors")), "simhash")
+    keys = F.flatten(F.transform(F.arrays_zip("wide", "anchors"), lambda x, k: _anchored(x["wide"], x["anchors"], k)))
     posted = kinds.select(F.explode(keys).alias("band"), "class")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     lists = posted.repartition(parts, "band").sortWithinPartitions("band", "class")

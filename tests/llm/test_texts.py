@@ -302,6 +302,18 @@ def test_similar_in_shared_lists(spark, monkeypatch):
         assert len(set(want)) == 6 and [found.get(i, i) for i in range(60)] == want
 
 
+def test_unrelated_sets_share_no_list(spark, monkeypatch):
+    """Chance pairs, whose number would grow with the square of the table, don't meet; a copy with a word more does."""
+    rng = random.Random(24)
+    rows = [(i, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(40))) for i in range(3000)]
+    made = {}
+    monkeypatch.setattr(simhash, "materialize", lambda df, tag: made.setdefault(tuple(df.columns), materialize(df, tag)))
+    docs = spark.createDataFrame([*rows, (5000, rows[7][1] + " end")], "doc_id long, text string")
+    assert [tuple(r) for r in simhash.similar(docs).filter("node <> component").collect()] == [(5000, 7)]
+    met = made["band", "class", "first"]
+    assert 0 < met.count() <= 8 * (simhash.ROUNDS + 1) and met.select("class", "first").distinct().count() == 1
+
+
 def test_listed_members():
     """Lists are cut alike however rows are batched."""
     pa = pytest.importorskip("pyarrow")
