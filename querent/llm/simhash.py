@@ -306,9 +306,12 @@ def similar(docs: DataFrame, words: int = 5, jaccard: float = 0.8, rounds: int =
     many = materialize(with_rest.join(long_.select("band"), "band", "left_semi").select("band", "class").distinct(), "simhash")
     grams = sets_of(named, kinds, many.select("class").distinct(), words, seed).filter(F.size("grams") > 0)
     others = others.unionByName(materialize(block_links(many, grams, long_, jaccard, BLOCK), "simhash"))
-    low = kinds.select("class", F.col("doc_id").alias("low"))
-    between = links.union(others).join(low.withColumnsRenamed({"class": "a", "low": "i"}), "a").join(low.withColumnsRenamed({"class": "b", "low": "j"}), "b").select("i", "j")
-    return components(between.union(every.join(low, "class").select("doc_id", "low")))
+    # Links join classes first, so that one row a class, and not one a link, meets the ids.
+    group = components(links.unionByName(others)).select(F.col("node").alias("class"), F.col("component").alias("group"))
+    group = materialize(group.join(kinds.select("class", "doc_id"), "class"), "simhash")
+    low = group.join(group.groupBy("group").agg(F.min("doc_id").alias("low")), "group").select("class", "low")
+    low = materialize(kinds.select("class", "doc_id").join(low, "class", "left").select("class", F.coalesce("low", "doc_id").alias("low")), "simhash")
+    return components(every.join(low, "class").select("doc_id", "low"))
 
 
 def deduplicate(docs: DataFrame, words: int = 5, jaccard: float = 0.8) -> DataFrame:

@@ -440,6 +440,53 @@ def test_set_links(monkeypatch):
         assert linked_by(range(48), lambda a, b: (a, b) in both or (b, a) in both) == want  # noqa: B023
 
 
+def test_set_links_are_fewer_than_sets(monkeypatch):
+    """Two groups of near copies in one list give back a forest, whatever the tiles; so do blocks whose insides are known."""
+    monkeypatch.setattr(setlinks, "TILE", 7)
+    sets = [np.array([*range(g, g + 40), g + 500 + k]) for g, n in ((0, 60), (1000, 50)) for k in range(n)]
+    sizes, flat = np.array([len(x) for x in sets]), np.concatenate(sets)
+    want = [0] * 60 + [60] * 50
+    i, j = setlinks.set_links(flat, sizes, 0.8)
+    assert len(i) == 108 and roots_of(110, i, j) == want
+    known = np.array([0] * 30 + [30] * 30 + [60] * 20 + [80] * 30)
+    a, b = setlinks.set_links(flat, sizes, 0.8, 30, known)
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(30, 0)]
+    both = np.concatenate([np.arange(110), a]), np.concatenate([known, b])
+    assert roots_of(110, *both) == [0] * 60 + [60] * 20 + [80] * 30
+
+
+def roots_of(n, i, j):
+    pairs = set(zip(i.tolist(), j.tolist(), strict=True))
+    return linked_by(range(n), lambda a, b: (a, b) in pairs or (b, a) in pairs)
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_links_meet_ids_once_a_class(spark, monkeypatch, block):
+    """Two groups of near copies in the same lists: neither the links of a list nor what is joined with ids grows with pairs."""
+    bases = [[f"g{g}n{k}" for k in range(120)] for g in range(2)]
+    rows = [(i, " ".join([f"c{i}" if k == i % 3 * 40 else w for k, w in enumerate(bases[i % 2])])) for i in range(80)]
+    edges, links = [], []
+
+    def counted(frame, of=simhash.components):
+        edges.append(frame.count())
+        return of(frame)
+
+    def listed(members, *rest, of=simhash.block_links):
+        found = of(members, *rest).localCheckpoint()
+        links.append((found.count(), members.count()))
+        return found
+
+    monkeypatch.setattr(simhash, "components", counted)
+    monkeypatch.setattr(simhash, "block_links", listed)
+    monkeypatch.setattr(simhash, "_anchored", lambda fp, anchor, k: F.array(k.cast("long")))
+    monkeypatch.setattr(setlinks, "TILE", 5)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["node"]: r["component"] for r in simhash.similar(docs).collect()}
+    assert [found.get(i, i) for i in range(80)] == [i % 2 for i in range(80)]
+    assert edges[-1] <= 80 and all(0 < n < (m if block > 80 else 2 * m) for n, m in links)
+
+
 def near_texts():
     """Copies of prose with words changed at random, copies of a template, and a passage inside other texts."""
     rng = random.Random(31)
