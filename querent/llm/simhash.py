@@ -21,12 +21,13 @@ is its smallest id, null only if all its ids are null; an empty table gives no r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import acos, ceil, comb, pi
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -254,6 +255,38 @@ def listed_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.record_batch([pa.array(b[~head]), pa.array(c[~head]), pa.array(c[start][~head])], names=["band", "class", "first"])
 
 
+def listed_pairs(jaccard: float, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (a, b) from rows (band, class, own, size, wide) sorted by band and class: the pairs of classes of a list, a < b,
+    that are in different components, and whose sizes and fingerprints don't rule this similarity out. A pair is told once a
+    batch, and again for lists in others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            if not rows.num_rows:
+                continue
+            band, kind, own, size = (rows.column(c).to_numpy() for c in ("band", "class", "own", "size"))
+            wide = pc.list_flatten(rows.column("wide")).to_numpy().reshape(len(band), -1)
+            tail = int(np.searchsorted(band, band[-1]))  # the open list is told of later rows only
+            fresh = 0 if held is None else held.num_rows
+            found = [np.zeros((0, 2), np.int64)]
+            step = 1
+            while step < len(band) and (near := band[step:] == band[:-step]).any():
+                i = np.nonzero(near)[0]
+                i = i[i + step >= fresh]
+                j = i + step
+                i, j = (v[(own[i] != own[j]) & (np.minimum(size[i], size[j]) >= jaccard * np.maximum(size[i], size[j]))] for v in (i, j))
+                close = np.bitwise_count((wide[i] ^ wide[j]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= bits
+                found.append(np.sort(np.stack([kind[i[close]], kind[j[close]]], axis=1), axis=1))
+                step += 1
+            pairs = np.unique(np.concatenate(found), axis=0)
+            held = rows.slice(tail).to_batches()[0]
+            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return run
+
+
 def similar(docs: DataFrame, words: int = 5, jaccard: float = 0.8, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
     """(node, component): components, named by the smallest id, of ids whose rows' shingle sets have this Jaccard similarity.
 
@@ -261,11 +294,11 @@ def similar(docs: DataFrame, words: int = 5, jaccard: float = 0.8, rounds: int =
     fingerprint is sure to find; so every class is posted with its fingerprint and ``rounds`` independent ones. Lists of byte
     positions alone would grow with the number of texts, and chance pairs with its square; so a list is one of a byte position beside
     an anchor, which unrelated texts don't share. All pairs
-    that meet in a list count: each class is first compared with the nearest of its lists' first ones, the components of
+    that meet in a list count: each class is first compared with the one that is the first of most of its lists, the components of
     the links found are contracted, and members outside the component of their list's first are then compared with all
-    members in other components: as pairs in lists of up to ``SMALL``, of which those are dropped whose sizes or whose
-    fingerprints together (``far``) rule the similarity out; in longer lists in tiles (``setlinks``). All links are verified
-    by the shingles: no row is linked unverified.
+    members in other components: in lists of up to ``SMALL`` where the list is read (``listed_pairs``), and rows are made only of
+    pairs whose sizes and whose fingerprints together (``far``) don't rule the similarity out; in longer lists in tiles
+    (``setlinks``). All links are verified by the shingles: no row is linked unverified.
     """
     spark = docs.sparkSession
     named = docs.filter("doc_id IS NOT NULL")
@@ -282,10 +315,10 @@ def similar(docs: DataFrame, words: int = 5, jaccard: float = 0.8, rounds: int =
         both = both.join(kinds.select(F.col("class").alias("b"), F.col("size").alias("n"), F.col("wide").alias("y")), "b")
         both = both.filter(F.least("m", "n") >= F.lit(jaccard) * F.greatest("m", "n"))
         differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, v: acc + v)
-        return both.select("a", "b", differ.alias("differ")).filter(F.col("differ") <= far(jaccard, 64 * (rounds + 1)))
+        return both.filter(differ <= far(jaccard, 64 * (rounds + 1))).select("a", "b")
 
-    nearest = likely(members.select(F.col("class").alias("b"), F.col("first").alias("a")).distinct()).groupBy("b").agg(F.min(F.struct("differ", "a")).alias("to"))
-    tried = materialize(nearest.select(F.col("to.a").alias("a"), "b"), "simhash")
+    votes = members.groupBy("class", "first").agg(F.count("*").alias("n")).groupBy("class").agg(F.max_by("first", F.struct("n", "first")).alias("a"))
+    tried = materialize(likely(votes.select("a", F.col("class").alias("b"))), "simhash")
     links = verified(named, kinds, tried, words, jaccard, seed)
     near = materialize(components(links), "simhash")
     owned = members.join(near.select(F.col("node").alias("class"), F.col("component").alias("own")), "class", "left")
@@ -296,11 +329,10 @@ def similar(docs: DataFrame, words: int = 5, jaccard: float = 0.8, rounds: int =
     with_rest = materialize(owned.join(rest.select("band").distinct(), "band", "left_semi").unionByName(heads), "simhash")
     sizes = materialize(with_rest.groupBy("band").agg(F.countDistinct("class").alias("n")), "simhash")
     few = with_rest.join(sizes.filter(F.col("n") <= SMALL).select("band"), "band", "left_semi")
-    one, two = few.filter("own <> main").alias("p"), few.alias("q")
-    once = (F.col("q.own") == F.col("q.main")) | (F.col("p.class") < F.col("q.class"))
-    met = one.join(two, (F.col("p.band") == F.col("q.band")) & (F.col("p.own") != F.col("q.own")) & once)
-    met = met.select(F.least("p.class", "q.class").alias("a"), F.greatest("p.class", "q.class").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    others = verified(named, kinds, materialize(likely(met).select("a", "b"), "simhash"), words, jaccard, seed)
+    few = few.select("band", "class", "own").join(kinds.select("class", "size", "wide"), "class").select("band", "class", "own", "size", "wide")
+    met = few.repartition(parts, "band").sortWithinPartitions("band", "class").mapInArrow(listed_pairs(jaccard, far(jaccard, 64 * (rounds + 1))), "a long, b long")
+    met = materialize(met.distinct().join(tried, ["a", "b"], "left_anti"), "simhash")
+    others = verified(named, kinds, met, words, jaccard, seed)
     # Longer lists in a task each, so that a group of texts that are alike but not enough makes no rows of pairs.
     long_ = sizes.filter(F.col("n") > SMALL)
     many = materialize(with_rest.join(long_.select("band"), "band", "left_semi").select("band", "class").distinct(), "simhash")

@@ -326,6 +326,39 @@ def test_listed_members():
         assert got == [w for w in want if w[1] != w[2]]
 
 
+def test_listed_pairs():
+    """Pairs inside lists are found alike however rows are batched; sizes, fingerprints and equal components leave some out."""
+    pa = pytest.importorskip("pyarrow")
+    rng = random.Random(25)
+    rows = [(b, c, c % 5, rng.choice((8, 9, 30)), [rng.getrandbits(3) - 4, -1]) for b in (-3, 0, 1, 7) for c in range(-b - 2, 6)]
+    close = lambda x, y: ((x[0] ^ y[0]) & (2**64 - 1)).bit_count() <= 2
+    want = {(p[1], q[1]) for p in rows for q in rows if p[0] == q[0] and p[1] < q[1] and p[2] != q[2] and min(p[3], q[3]) >= 0.8 * max(p[3], q[3]) and close(p[4], q[4])}
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+    for n in (1, 2, 3, 7, 1000):
+        parts = [[], *[rows[i : i + n] for i in range(0, len(rows), n)]]
+        batches = [pa.record_batch([pa.array([r[k] for r in part], kinds[k]) for k in range(5)], names=["band", "class", "own", "size", "wide"]) for part in parts]
+        got = [tuple(r.values()) for out in simhash.listed_pairs(0.8, 2)(iter(batches)) for r in out.to_pylist()]
+        assert set(got) == want and len(want) > 5
+
+
+def test_unlike_pairs_make_no_rows(spark, monkeypatch):
+    """Texts that share short lists and aren't alike join one candidate each, not one for each pair; copies in them are found."""
+    texts = [[f"g{g}n{k}" for k in range(120)] for g in range(60)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(60 + i, " ".join([*texts[i][:-1], "end"])) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(simhash, "_anchored", lambda fp, anchor, k: F.array(F.xxhash64(k, F.pmod(anchor, F.lit(15)))))
+    joined = []
+
+    def join(left, right, on=None, how=None, of=type(docs).join):
+        if isinstance(on, str) and on == "a":
+            joined.append(left.count())
+        return of(left, right, on, how)
+
+    monkeypatch.setattr(type(docs), "join", join)
+    assert {tuple(r) for r in simhash.similar(docs).filter("node <> component").collect()} == {(60 + i, i) for i in range(5)}
+    assert joined and sum(joined) <= 65 + 2 * 65
+
+
 def test_deduplicate(odd):
     kept = simhash.deduplicate(odd)
     assert kept.columns == odd.columns
